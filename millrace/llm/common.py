@@ -7,8 +7,9 @@ import uuid
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Byte classes of the two word definitions, for bytes.translate: lower-cased A-Z, separators become spaces.
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -17,15 +18,16 @@ _ALNUM = bytes(0x20 if b in _SEPARATORS else _LOWER[b] for b in range(256))
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder path below spark.checkpoint.dir, which all executors share.
+    """A new folder path below spark.checkpoint.dir, which driver and executors share.
 
     Only where that setting is absent (a local session, tests) a temporary folder of this machine serves.
     """
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="millrace-")
+        spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -68,14 +70,29 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def extended(df: DataFrame, **kinds: str) -> T.StructType:
+    """The schema of df with further columns of the given types."""
+    return T.StructType([*df.schema.fields, *(T.StructField(c, T.DataType.fromDDL(kind)) for c, kind in kinds.items())])
+
+
+def small(df: DataFrame, limit: int = 100_000) -> DataFrame:
+    """df, written, with a broadcast hint if it has at most ``limit`` rows; a larger one is joined by shuffle."""
+    df = written(df, "small")
+    return F.broadcast(df) if df.count() <= limit else df
+
+
+def text_of(docs: DataFrame, *names: str) -> DataFrame:
+    """Only those columns of docs; a column that is missing is null."""
+    kinds = {"doc_id": "long", "page_id": "long", "item_id": "long"}
+    return docs.select(*(F.col(c).cast(kinds.get(c, "string")).alias(c) if c in docs.columns else F.lit(None).cast(kinds.get(c, "string")).alias(c) for c in names))
+
+
 def running_totals(df: DataFrame, order: list[Column], value: str, before: str, name: str) -> DataFrame:
     """Adds column ``before``: the sum of ``value`` over all rows that come earlier in ``order``.
 
     A range sort, totals within each range, and an offset for each range (one number for a partition); no row
     group meets in one task. order must determine the sequence; its rows are written once, so that ranges stay put.
     """
-    from pyspark.sql import Window
-
     parts = written(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), name)
     within = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     sums = parts.groupBy("_part").agg(F.sum(value).alias("_sum"))

@@ -20,12 +20,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, mixed, space_words, written
+from .common import WordHashes, mixed, space_words, text_of, written
 
 #: A value in more sketches than this counts as frequent and is ordered last.
 FREQUENT = 12
-#: At most so many frequent values are shipped to the tasks (8 bytes each), the most frequent first; others only cost time.
+#: At most so many frequent values are shipped to the tasks (9 bytes each): those above the lowest count that keeps within
+#: it. This decides only in which order "smallest" is meant, never which links are found.
 MAX_FREQUENT = 1_000_000
+#: Every value in the lower part of the hash range is counted exactly (sketches seldom reach further); of the upper part,
+#: those that a task meets at least twice.
+COUNTED = np.uint64(1 << 63)
 #: Pairs with one representative are verified in blocks of about so many.
 BLOCK = 64
 
@@ -49,7 +53,7 @@ def retained(n: int, percent: int) -> int:
 
 def _sketches(width: int, percent: int, frequent):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, last = WordHashes(), frequent.value if frequent else np.empty(0, np.uint64)
+        hashes, (last, rank) = WordHashes(), frequent.value
         for batch in batches:
             keys, sizes, sketches = [], [], []
             for text in batch["text"]:
@@ -57,8 +61,10 @@ def _sketches(width: int, percent: int, frequent):
                 s = shingles(words, hashes, width)
                 k = retained(len(s), percent)
                 if len(last) and k:
-                    late = last[np.minimum(np.searchsorted(last, s), len(last) - 1)] == s
-                    s = np.concatenate([s[~late], s[late]])
+                    at = np.minimum(np.searchsorted(last, s), len(last) - 1)
+                    late = np.where(last[at] == s, rank[at], 0)
+                    if late.any():
+                        s = s[np.argsort(late, kind="stable")]
                 keys.append(xxhash.xxh3_128_digest(b" ".join(words)) if words else None)
                 sizes.append(len(s))
                 sketches.append(s[:k].view(np.int64))
@@ -67,18 +73,35 @@ def _sketches(width: int, percent: int, frequent):
     return run
 
 
-def _values(width: int, percent: int):
+def _values(width: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
         for batch in batches:
             sets = [shingles(space_words(t), hashes, width) for t in batch["text"]]
-            kept = [s[: retained(len(s), percent)] for s in sets]
-            value, count = np.unique(np.concatenate(kept or [np.empty(0, np.uint64)]), return_counts=True)
-            yield pd.DataFrame({"value": value.view(np.int64), "n": count})
+            value, count = np.unique(np.concatenate(sets or [np.empty(0, np.uint64)]), return_counts=True)
+            keep = (value < COUNTED) | (count > 1)
+            yield pd.DataFrame({"value": value[keep].view(np.int64), "n": count[keep].astype(np.int32)})
 
     return run
 
 
+def _frequent(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted values that more than FREQUENT sets hold, and the binary logarithm of how many do."""
+    level = F.floor(F.log2("n") * 4).cast("int")
+    counts = docs.select("text").mapInPandas(_values(width), "value long, n int").groupBy("value").agg(F.sum("n").alias("n"))
+    counts = written(counts.filter(F.col("n") > FREQUENT).select("value", level.alias("level")), "frequent")
+    least, room = 0, MAX_FREQUENT
+    for row in counts.groupBy("level").count().orderBy(F.desc("level")).collect():  # a few dozen levels
+        room -= row["count"]
+        if room < 0:
+            least = row["level"] + 1
+            break
+    found = counts.filter(F.col("level") >= least).toPandas()
+    values = found["value"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(values)
+    return values[order], found["level"].to_numpy(np.uint8)[order]
+
+
 def _verified(width: int, percent: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def exact(text: str) -> set:
@@ -139,11 +162,10 @@ def classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     row of the group has an id. Other columns of docs are not read.
     """
     spark = docs.sparkSession
+    docs = text_of(docs, "doc_id", "text")
     node = F.coalesce("doc_id", -F.shiftrightunsigned(F.xxhash64("text"), 1) - 2)
     docs = docs.select(node.alias("doc_id"), F.col("doc_id").isNull().alias("no_id"), "text")
-    counts = docs.select("text").mapInPandas(_values(width, percent), "value long, n long").groupBy("value").agg(F.sum("n").alias("n"))
-    common = counts.filter(F.col("n") > FREQUENT).orderBy(F.desc("n"), "value").limit(MAX_FREQUENT).select("value").toPandas()["value"]
-    frequent = spark.sparkContext.broadcast(np.sort(common.to_numpy(np.int64).view(np.uint64)))
+    frequent = spark.sparkContext.broadcast(_frequent(docs, width))
     rows = written(docs.select("doc_id", "text").mapInPandas(_sketches(width, percent, frequent), "doc_id long, key binary, n int, sketch array<long>"), "sketches")
 
     nodes = rows.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
@@ -176,7 +198,7 @@ def classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     meets = few.join(here, "value").filter(f"ra <> root and a <> node and (root = top or a < node) and 100 * least(n, na) >= {percent} * greatest(n, na)")
     grouped = meets.groupBy(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).agg(
         F.count("*").alias("c"),
-        (F.max("pa") + F.max("pos") + 2).alias("union_sketch"),  # sizes of both sketches up to the last common value
+        (F.max(F.col("pa") + F.col("pos")) + 2).alias("union_sketch"),  # sizes of both sketches up to the last common value
         F.max(F.col("n") + F.col("na")).alias("both"),
     )
     # Values of only one sketch up to there lie outside the intersection: a bound for the whole sets.
@@ -196,3 +218,9 @@ def classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
 def kept(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """classes() with ``kept``: true for the one document that stays of each component (null ids: where no row has one)."""
     return classes(docs, width, percent).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def deduplicated(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """docs without the rows that kept() denies. Rows without a doc_id stay, since no result can name them."""
+    gone = written(kept(docs, width, percent).filter("not kept and doc_id is not null").select("doc_id").distinct(), "duplicates")
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)

@@ -50,30 +50,28 @@ def _valid(kind: str, m: str) -> str:
     return "true"
 
 
-def _ends(lens: str) -> str:
-    """SQL: running totals of an int array, in blocks, so that long arrays cost little more than short ones."""
-    blocks = f"transform(sequence(0, (size({lens}) - 1) div 128), b -> slice({lens}, b * 128 + 1, 128))"
-    total = "aggregate(x, 0, (a, v) -> a + v)"
-    return (
-        f"flatten(transform(sequence(0, (size({lens}) - 1) div 128), b -> transform(slice({lens}, b * 128 + 1, 128),"
-        f" (v, i) -> aggregate(slice(transform({blocks}, x -> {total}), 1, b), 0, (a, v) -> a + v)"
-        f" + aggregate(slice({lens}, b * 128 + 1, i + 1), 0, (a, v) -> a + v))))"
-    )
+def _let(value: str, body: str, name: str) -> str:
+    """SQL: body with ``name`` bound to value, which is computed once for a row."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
-SPAN = "array<struct<s:int,e:int,kind:string,m:string>>"
+def _ends(lens: str) -> str:
+    """SQL: running totals of an int array, in blocks of 128, so that long arrays cost little more than short ones."""
+    within = "aggregate(b, array(0), (a, v) -> array_append(a, element_at(a, -1) + v))"
+    blocks = f"transform(sequence(0, (size({lens}) - 1) div 128), k -> slice({lens}, k * 128 + 1, 128))"
+    runs = f"transform({blocks}, b -> slice({within}, 2, 128))"
+    offsets = "aggregate(r, array(0), (a, b) -> array_append(a, element_at(a, -1) + element_at(b, -1)))"
+    return _let(runs, _let(offsets, "flatten(transform(r, (b, k) -> transform(b, v -> v + o[k])))", "o"), "r")
 
 
 def _located(df: DataFrame, text: str, pattern: str, needs: str, out: str) -> DataFrame:
     """Adds array ``out`` of (s, e, m, left): matches with code point offsets and up to 40 characters of text before each."""
     rx, test = pattern.replace("'", "\\'"), needs
-    has = f"{text} rlike r'{test}'"
-    df = df.withColumn("_m", F.expr(f"if({has}, regexp_extract_all({text}, r'{rx}', 0), cast(array() as array<string>))"))
-    df = df.withColumn("_g", F.expr(f"if(size(_m) > 0, split({text}, r'{rx}', -1), cast(array() as array<string>))"))
-    df = df.withColumn("_n", F.expr("transform(_m, (m, i) -> char_length(m) + char_length(_g[i]))"))
-    df = df.withColumn("_e", F.expr(f"if(size(_m) > 0, {_ends('_n')}, cast(array() as array<int>))"))
-    item = "named_struct('s', _e[i] - char_length(m), 'e', _e[i], 'm', m, 'left', right(_g[i], 40))"
-    return df.withColumn(out, F.expr(f"transform(_m, (m, i) -> {item})")).drop("_m", "_g", "_n", "_e")
+    item = "named_struct('s', e[i] - char_length(m), 'e', e[i], 'm', m, 'left', right(g[i], 40))"
+    ends = _ends("transform(l, (m, i) -> char_length(m) + char_length(g[i]))")
+    found = _let(f"regexp_extract_all({text}, r'{rx}', 0)", _let(f"split({text}, r'{rx}', -1)", _let(ends, f"transform(l, (m, i) -> {item})", "e"), "g"), "l")
+    none = "cast(array() as array<struct<s:int,e:int,m:string,left:string>>)"
+    return df.withColumn(out, F.expr(f"if({text} rlike r'{test}' and {text} rlike r'{rx}', {found}, {none})"))
 
 
 def base_spans(docs: DataFrame, text: str = "text") -> DataFrame:
