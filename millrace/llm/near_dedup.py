@@ -3,8 +3,8 @@
 A document's set is its distinct word shingles. Its sketch holds the k smallest hashes, k = n - ceil(t n) + 1 for a set of
 n and similarity t: two sets of similarity t or more always share a retained value, so no link is lost. Values that very
 many sketches hold (a common line, a shared passage) go to the end of the order that "smallest" means; the guarantee holds
-for any one order. Inverted lists of retained values give candidate pairs with their overlaps, the union of the two
-sketches up to the last common value bounds the similarity, and the full sets of both texts decide.
+for any one order. Inverted lists of retained values give candidate pairs with their overlaps, what the union of two
+sketches holds of one set only bounds the similarity, and the full sets of both texts decide.
 
 Lists are never expanded into all pairs first: each list's members meet its representative, links found so merge
 classes, and only pairs that lie in different classes of a list remain for the last, complete round.
@@ -17,10 +17,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, mixed, space_words, text_of, written
+from .common import WordHashes, mixed, small, space_words, text_of, written
 
 #: A value in more sketches than this counts as frequent and is ordered last.
 FREQUENT = 12
@@ -29,7 +29,11 @@ FREQUENT = 12
 MAX_FREQUENT = 1_000_000
 #: Every value in the lower part of the hash range is counted exactly (sketches seldom reach further); of the upper part,
 #: those that a task meets at least twice.
-COUNTED = np.uint64(1 << 63)
+COUNTED = np.uint64(3 << 61)
+#: Ids up to which a table of them is broadcast.
+MANY = 1_000_000
+#: A representative's pair is verified at once if it shares one of so many retained values; others wait for the last round.
+STRONG = 4
 #: Pairs with one representative are verified in blocks of about so many.
 BLOCK = 64
 
@@ -123,7 +127,9 @@ def _verified(width: int, percent: int):
 
 
 def _links(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Those pairs (a, b) whose full sets are similar enough. A node a with many pairs is dealt out over several tasks."""
+    """Those pairs (a, b), a table, whose full sets are similar enough. A node a with many pairs is dealt out over several tasks."""
+    ids = small(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), MANY)
+    texts = written(texts.join(ids, "node", "left_semi").groupBy("node", F.md5("text")).agg(F.first("text").alias("text")).select("node", "text"), "texts")
     blocks = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     dealt = pairs.join(blocks, "a").withColumn("block", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int")).drop("blocks")
     left = blocks.join(texts.withColumnsRenamed({"node": "a", "text": "text_a"}), "a")
@@ -157,8 +163,8 @@ def classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """One row for each row of docs (doc_id, text): doc_id, n_shingles, component_id.
 
     component_id is the smallest doc_id that links (100 * intersection >= percent * union of the shingle sets) reach,
-    itself included. Null and empty texts have an empty set and stand alone; rows that repeat a doc_id count as one
-    document; rows without a doc_id stand for the group's id under a negative stand-in and get a null component_id if no
+    itself included. Null and empty texts have an empty set and stand alone; rows that repeat a doc_id are placed by their
+    own text, and with different texts may share each other's links; rows without a doc_id stand for the group's id under a negative stand-in and get a null component_id if no
     row of the group has an id. Other columns of docs are not read.
     """
     spark = docs.sparkSession
@@ -168,26 +174,23 @@ def classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     frequent = spark.sparkContext.broadcast(_frequent(docs, width))
     rows = written(docs.select("doc_id", "text").mapInPandas(_sketches(width, percent, frequent), "doc_id long, key binary, n int, sketch array<long>"), "sketches")
 
-    nodes = rows.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    nodes = written(nodes, "nodes")
-    entries = nodes.select("node", "n", F.posexplode("sketch").alias("pos", "value"))
-    lists = entries.select("value").groupBy("value").agg(F.count("*").alias("df")).filter("df > 1").select("value")
-    entries = written(entries.join(lists, "value"), "lists")  # retained values that two sketches share at least
-
-    active = entries.select("node").distinct()
-    texts = written(docs.select(F.col("doc_id").alias("node"), "text").join(active, "node", "left_semi").groupBy("node", F.md5("text")).agg(F.first("text").alias("text")).select("node", "text"), "texts")
-    root = entries.select("node").distinct().withColumn("root", F.col("node"))
-    links = None
-    for turn in range(2):  # members meet a representative of the list
-        here = entries.join(root, "node")
-        rep = here.groupBy("value").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "root").alias("h"), "node", "n", "root")).alias("rep"), F.min("root").alias("r0"), F.max("root").alias("r1"))
-        rep = rep.filter("r0 <> r1").select("value", "rep.node", "rep.n", "rep.root").toDF("value", "a", "na", "ra")
-        pairs = here.join(rep, "value").filter(f"ra <> root and a <> node and 100 * least(n, na) >= {percent} * greatest(n, na)")
-        pairs = written(pairs.groupBy("a", F.col("node").alias("b")).agg(F.count("*").alias("c")).select("a", "b"), "pairs")
-        found = _links(pairs, texts, width, percent)
-        links = written(found if links is None else links.union(found), "found")
-        known = components(links)
-        root = written(active.join(known, "node", "left").select("node", F.coalesce("root", "node").alias("root")), "roots")
+    here = rows.filter("n > 0").select("key", "doc_id")
+    nodes = written(here.groupBy("key").agg(F.min("doc_id").alias("node")), "nodes")
+    copies = small(here.join(nodes, "key").filter("doc_id <> node").select("doc_id", "key"), MANY)
+    entries = rows.filter("n > 0").join(copies, ["doc_id", "key"], "left_anti").select(F.col("doc_id").alias("node"), "n", F.posexplode("sketch").alias("pos", "value"))
+    beside = Window.partitionBy("value").orderBy("node")
+    entries = entries.withColumns({"before": F.lag("node").over(beside), "after": F.lead("node").over(beside)})
+    entries = written(entries.filter("before is not null or after is not null").drop("before", "after"), "lists")  # retained values that two sketches share at least
+
+    active, texts = entries.select("node").distinct(), docs.select(F.col("doc_id").alias("node"), "text")
+    # Members of a list meet its representative; pairs that share much of a sketch are verified and merge classes.
+    rep = entries.groupBy("value").agg(F.min(F.struct(F.xxhash64("node").alias("h"), "node", "n")).alias("rep")).select("value", F.col("rep.node").alias("a"), F.col("rep.n").alias("na"))
+    pairs = entries.join(rep, "value").filter(f"a <> node and 100 * least(n, na) >= {percent} * greatest(n, na)")
+    pairs = pairs.groupBy("a", F.col("node").alias("b")).agg(F.count("*").alias("c"), F.min(F.least("n", "na")).alias("n"))
+    pairs = pairs.filter(f"{STRONG} * c * 100 >= (100 - {percent}) * n")
+    links = _links(written(pairs.select("a", "b"), "pairs"), texts, width, percent)
+    links = written(links, "found")
+    root = written(active.join(components(links), "node", "left").select("node", F.coalesce("root", "node").alias("root")), "roots")
 
     # The rest: in each list, those outside its largest class against all, in different classes.
     here = entries.join(root, "node")
@@ -196,13 +199,12 @@ def classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     here = written(here.join(largest, "value"), "open")
     few = here.filter("root <> top").select("value", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.col("pos").alias("pa"))
     meets = few.join(here, "value").filter(f"ra <> root and a <> node and (root = top or a < node) and 100 * least(n, na) >= {percent} * greatest(n, na)")
-    grouped = meets.groupBy(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).agg(
-        F.count("*").alias("c"),
-        (F.max(F.col("pa") + F.col("pos")) + 2).alias("union_sketch"),  # sizes of both sketches up to the last common value
-        F.max(F.col("n") + F.col("na")).alias("both"),
-    )
-    # Values of only one sketch up to there lie outside the intersection: a bound for the whole sets.
-    near = grouped.filter(f"(union_sketch - 2 * c) * {100 + percent} <= {100 - percent} * both").select("a", "b")
+    # Of two sketches, the one whose last value comes first lies whole within the reach of the other: its values that aren't
+    # common, and those of the other up to the last common one, are outside the intersection, a bound for the whole sets.
+    size = "{0} - ({1} * {0} + 99) div 100 + 1"
+    known = F.expr(f"least({size.format('na', percent)} + pos + 1, {size.format('n', percent)} + pa + 1)")
+    grouped = meets.groupBy(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).agg(F.count("*").alias("c"), F.max(known).alias("known"), F.max(F.col("n") + F.col("na")).alias("both"))
+    near = grouped.filter(f"(known - 2 * c) * {100 + percent} <= {100 - percent} * both").select("a", "b")
     found = _links(written(near, "rest"), texts, width, percent)
     known = components(written(links.union(found), "all-links"))
 
