@@ -59,13 +59,13 @@ def revenue_daily(spark, d):
 with r as ({_REVENUE}), z as (
   select *, avg(cast(revenue as double)) over w m, stddev_samp(cast(revenue as double)) over w s from r
   window w as (order by day rows between 28 preceding and 1 preceding))
-select day, revenue, round(m, 2) mean_n, round(s, 2) sd_n, coalesce((cast(revenue as double) - m) / nullif(s, 0) < -2, false) is_anomaly,
+select day, revenue, round(m, 4) mean_n, round(s, 4) sd_n, coalesce((cast(revenue as double) - m) / nullif(s, 0) < -2, false) is_anomaly,
   'fact' kind, day period_start, day + interval 1 day period_end, 'orders' source
 from z""")
 def revenue_drop_alert(spark, d):
     r = revenue_daily(spark, d).withColumn("_v", F.col("revenue").cast("double"))
     z = analytics.anomaly_z(r, "day", "_v", 28, 2.0, "low").drop("_v")
-    z = z.withColumns({"mean_n": F.round("mean_n", 2), "sd_n": F.round("sd_n", 2), "kind": F.lit("fact"), "period_start": F.col("day"), "source": F.lit("orders")})
+    z = z.withColumns({"mean_n": F.round("mean_n", 4), "sd_n": F.round("sd_n", 4), "kind": F.lit("fact"), "period_start": F.col("day"), "source": F.lit("orders")})
     return z.withColumn("period_end", F.expr("day + interval 1 day"))
 
 
