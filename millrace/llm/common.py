@@ -51,7 +51,7 @@ def alnum_words(text: str | None) -> list[bytes]:
 class WordHashes(dict):
     """64-bit hashes of words, remembered up to a bound (frequent words make up most of any text)."""
 
-    LIMIT = 500_000
+    LIMIT = 200_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:

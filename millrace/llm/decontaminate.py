@@ -83,7 +83,7 @@ def _pass(docs: DataFrame, items: list[tuple[int, str]], window: int) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = _tables(held.value, window)
-        for batch in batches:
+        for batch in (whole.slice(at, 500) for whole in batches for at in range(0, len(whole), 500)):
             counts, spans, found = [], [], []
             for text, old, known in zip(batch["text"].to_pylist(), batch["_spans"].to_pylist(), batch["_items"].to_pylist(), strict=True):
                 words = alnum_words(text)

@@ -55,7 +55,7 @@ def codewords(k: int, seed: int = 7) -> np.ndarray:
     best, most = None, -1
     for _ in range(200):
         code = rng.choice(np.array([-1, 1], np.float32), (k, length))
-        distance = int((length - (code @ code.T + 2 * length * np.eye(k)).max()) // 2)
+        distance = int((length - (code @ code.T - 2 * length * np.eye(k)).max()) // 2)
         if distance > most and (np.abs(code.sum(0)) < k).all():
             best, most = code, distance
     return best

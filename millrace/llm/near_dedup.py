@@ -15,7 +15,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -55,12 +55,19 @@ def retained(n: int, percent: int) -> int:
     return n + percent * n // -100 + 1 if n else 0
 
 
+def _parts(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, so that a task holds the objects of a few texts only."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.slice(at, rows)
+
+
 def _sketches(width: int, percent: int, frequent):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, (last, rank) = WordHashes(), frequent.value
-        for batch in batches:
+        for batch in _parts(batches, 500):
             keys, sizes, sketches = [], [], []
-            for text in batch["text"]:
+            for text in batch["text"].to_pylist():
                 words = space_words(text)
                 s = shingles(words, hashes, width)
                 k = retained(len(s), percent)
@@ -72,19 +79,21 @@ def _sketches(width: int, percent: int, frequent):
                 keys.append(xxhash.xxh3_128_digest(b" ".join(words)) if words else None)
                 sizes.append(len(s))
                 sketches.append(s[:k].view(np.int64))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "key": keys, "n": sizes, "sketch": sketches})
+            offsets = np.concatenate([[0], np.cumsum([len(x) for x in sketches])]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sketches)))
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), lists], ["doc_id", "key", "n", "sketch"])
 
     return run
 
 
 def _values(width: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in batches:
-            sets = [shingles(space_words(t), hashes, width) for t in batch["text"]]
-            value, count = np.unique(np.concatenate(sets or [np.empty(0, np.uint64)]), return_counts=True)
+        for batch in _parts(batches, 2000):
+            sets = [shingles(space_words(t), hashes, width) for t in batch["text"].to_pylist()]
+            value, count = np.unique(np.concatenate(sets), return_counts=True)
             keep = (value < COUNTED) | (count > 1)
-            yield pd.DataFrame({"value": value[keep].view(np.int64), "n": count[keep].astype(np.int32)})
+            yield pa.RecordBatch.from_arrays([pa.array(value[keep].view(np.int64)), pa.array(count[keep].astype(np.int32))], ["value", "n"])
 
     return run
 
@@ -92,7 +101,7 @@ def _values(width: int):
 def _frequent(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted values that more than FREQUENT sets hold, and the binary logarithm of how many do."""
     level = F.floor(F.log2("n") * 4).cast("int")
-    counts = docs.select("text").mapInPandas(_values(width), "value long, n int").groupBy("value").agg(F.sum("n").alias("n"))
+    counts = docs.select("text").mapInArrow(_values(width), "value long, n int").groupBy("value").agg(F.sum("n").alias("n"))
     counts = written(counts.filter(F.col("n") > FREQUENT).select("value", level.alias("level")), "frequent")
     least, room = 0, MAX_FREQUENT
     for row in counts.groupBy("level").count().orderBy(F.desc("level")).collect():  # a few dozen levels
@@ -107,21 +116,21 @@ def _frequent(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _verified(width: int, percent: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def exact(text: str) -> set:
-            w = space_words(text)
-            return {tuple(w)} if len(w) < width else set(zip(*(w[i:] for i in range(width)), strict=False))
+    def exact(text: str) -> set:
+        w = space_words(text)
+        return {tuple(w)} if len(w) < width else set(zip(*(w[i:] for i in range(width)), strict=False))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         near, near_set = None, set()
-        for batch in batches:
+        for batch in _parts(batches, 100):
             hit = []
-            for a, b in zip(batch["text_a"], batch["text_b"], strict=True):
-                if a is not near:
-                    near, near_set = (a, near_set) if a == near else (a, exact(a))
+            for a, b in zip(batch["text_a"].to_pylist(), batch["text_b"].to_pylist(), strict=True):
+                if a != near:
+                    near, near_set = a, exact(a)
                 other = exact(b)
                 common = len(near_set & other)
                 hit.append(100 * common >= percent * (len(near_set) + len(other) - common))
-            yield batch.loc[hit, ["a", "b"]]
+            yield batch.select(["a", "b"]).filter(pa.array(hit, pa.bool_()))
 
     return run
 
@@ -135,7 +144,7 @@ def _links(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Data
     left = blocks.join(texts.withColumnsRenamed({"node": "a", "text": "text_a"}), "a")
     left = left.select("a", "text_a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     both = dealt.join(texts.withColumnsRenamed({"node": "b", "text": "text_b"}), "b").join(left, ["a", "block"])
-    return both.select("a", "b", "text_a", "text_b").mapInPandas(_verified(width, percent), "a long, b long").distinct()
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(_verified(width, percent), "a long, b long").distinct()
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -172,7 +181,7 @@ def classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     node = F.coalesce("doc_id", -F.shiftrightunsigned(F.xxhash64("text"), 1) - 2)
     docs = docs.select(node.alias("doc_id"), F.col("doc_id").isNull().alias("no_id"), "text")
     frequent = spark.sparkContext.broadcast(_frequent(docs, width))
-    rows = written(docs.select("doc_id", "text").mapInPandas(_sketches(width, percent, frequent), "doc_id long, key binary, n int, sketch array<long>"), "sketches")
+    rows = written(docs.select("doc_id", "text").mapInArrow(_sketches(width, percent, frequent), "doc_id long, key binary, n int, sketch array<long>"), "sketches")
 
     here = rows.filter("n > 0").select("key", "doc_id")
     nodes = written(here.groupBy("key").agg(F.min("doc_id").alias("node")), "nodes")

@@ -97,8 +97,10 @@ def train(bags: list[np.ndarray], y: np.ndarray, prior: float, epochs: int = 14,
     m = Model(mean, scale, {n: v.astype(np.float32) for n, v in w.items()}, 0.0)
     first, second, step = {n: 0 * v for n, v in m.w.items()}, {n: 0 * v for n, v in m.w.items()}, 0
     weight = np.where(y == 1, 0.5 / max(y.mean(), 1e-6), 0.5 / max(1 - y.mean(), 1e-6)).astype(np.float32)
+    groups = max(1, len(bags) // 64)
+    epochs = max(epochs, 500 // groups)  # few documents need more rounds
     for epoch in range(epochs):
-        for rows in np.array_split(rng.permutation(len(bags)), max(1, len(bags) // 64)):
+        for rows in np.array_split(rng.permutation(len(bags)), groups):
             start = np.cumsum([0, *(len(bags[i]) for i in rows[:-1])])
             x = (np.concatenate([bags[i] for i in rows]) - mean) / scale
             f, p = m.forward(x, start), m.w
