@@ -27,13 +27,14 @@ FREQUENT = 12
 #: At most so many frequent values are shipped to the tasks (9 bytes each): those above the lowest count that keeps within
 #: it. This decides only in which order "smallest" is meant, never which links are found.
 MAX_FREQUENT = 1_000_000
-#: Every value in the lower part of the hash range is counted exactly (sketches seldom reach further); of the upper part,
-#: those that a task meets at least twice.
-COUNTED = np.uint64(3 << 61)
+#: Values in this lower part of the hash range are counted, all of them; sketches seldom reach further.
+COUNTED = np.uint64(5 << 61)
 #: Ids up to which a table of them is broadcast.
 MANY = 1_000_000
 #: A representative's pair is verified at once if it shares one of so many retained values; others wait for the last round.
 STRONG = 4
+#: Turns of representatives at most; what they leave is compared in the last round.
+TURNS = 6
 #: Pairs with one representative are verified in blocks of about so many.
 BLOCK = 64
 
@@ -89,11 +90,10 @@ def _sketches(width: int, percent: int, frequent):
 def _values(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in _parts(batches, 2000):
+        for batch in _parts(batches, 500):
             sets = [shingles(space_words(t), hashes, width) for t in batch["text"].to_pylist()]
-            value, count = np.unique(np.concatenate(sets), return_counts=True)
-            keep = (value < COUNTED) | (count > 1)
-            yield pa.RecordBatch.from_arrays([pa.array(value[keep].view(np.int64)), pa.array(count[keep].astype(np.int32))], ["value", "n"])
+            low = np.concatenate([x[: np.searchsorted(x, COUNTED)] for x in sets])
+            yield pa.RecordBatch.from_arrays([pa.array(low.view(np.int64))], ["value"])
 
     return run
 
@@ -101,7 +101,7 @@ def _values(width: int):
 def _frequent(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted values that more than FREQUENT sets hold, and the binary logarithm of how many do."""
     level = F.floor(F.log2("n") * 4).cast("int")
-    counts = docs.select("text").mapInArrow(_values(width), "value long, n int").groupBy("value").agg(F.sum("n").alias("n"))
+    counts = docs.select("text").mapInArrow(_values(width), "value long").groupBy("value").agg(F.count("*").alias("n"))
     counts = written(counts.filter(F.col("n") > FREQUENT).select("value", level.alias("level")), "frequent")
     least, room = 0, MAX_FREQUENT
     for row in counts.groupBy("level").count().orderBy(F.desc("level")).collect():  # a few dozen levels
@@ -192,14 +192,21 @@ def classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     entries = written(entries.filter("before is not null or after is not null").drop("before", "after"), "lists")  # retained values that two sketches share at least
 
     active, texts = entries.select("node").distinct(), docs.select(F.col("doc_id").alias("node"), "text")
-    # Members of a list meet its representative; pairs that share much of a sketch are verified and merge classes.
-    rep = entries.groupBy("value").agg(F.min(F.struct(F.xxhash64("node").alias("h"), "node", "n")).alias("rep")).select("value", F.col("rep.node").alias("a"), F.col("rep.n").alias("na"))
-    pairs = entries.join(rep, "value").filter(f"a <> node and 100 * least(n, na) >= {percent} * greatest(n, na)")
-    pairs = pairs.groupBy("a", F.col("node").alias("b")).agg(F.count("*").alias("c"), F.min(F.least("n", "na")).alias("n"))
-    pairs = pairs.filter(f"{STRONG} * c * 100 >= (100 - {percent}) * n")
-    links = _links(written(pairs.select("a", "b"), "pairs"), texts, width, percent)
-    links = written(links, "found")
-    root = written(active.join(components(links), "node", "left").select("node", F.coalesce("root", "node").alias("root")), "roots")
+    # Members of a list meet its representative, another one in each turn; pairs that share much of a sketch are verified
+    # and merge classes, until a turn finds little. Groups of near copies so become one class without meeting pair by pair.
+    root, links, total = active.withColumn("root", F.col("node")), None, active.count()
+    for turn in range(TURNS):
+        here = entries.join(root, "node")
+        rep = here.groupBy("value").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("h"), "node", "n", "root")).alias("rep"), F.min("root").alias("r0"), F.max("root").alias("r1"))
+        rep = rep.filter("r0 <> r1").select("value", "rep.node", "rep.n", "rep.root").toDF("value", "a", "na", "ra")
+        pairs = here.join(rep, "value").filter(f"root <> ra and 100 * least(n, na) >= {percent} * greatest(n, na)")
+        pairs = pairs.groupBy("a", F.col("node").alias("b")).agg(F.count("*").alias("c"), F.min(F.least("n", "na")).alias("n"))
+        pairs = pairs.filter(f"{STRONG} * c * 100 >= (100 - {percent}) * n")
+        found = written(_links(written(pairs.select("a", "b"), "pairs"), texts, width, percent), "found")
+        links = found if links is None else links.union(found)
+        root = written(active.join(components(links), "node", "left").select("node", F.coalesce("root", "node").alias("root")), "roots")
+        if found.count() * 1000 <= total:
+            break
 
     # The rest: in each list, those outside its largest class against all, in different classes.
     here = entries.join(root, "node")
@@ -208,6 +215,8 @@ def classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     here = written(here.join(largest, "value"), "open")
     few = here.filter("root <> top").select("value", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.col("pos").alias("pa"))
     meets = few.join(here, "value").filter(f"ra <> root and a <> node and (root = top or a < node) and 100 * least(n, na) >= {percent} * greatest(n, na)")
+    # What precedes a common value in both, and what follows it, bounds the intersection.
+    meets = meets.filter(f"(least(pa, pos) + least(na - pa, n - pos)) * {100 + percent} >= {percent} * (n + na)")
     # Of two sketches, the one whose last value comes first lies whole within the reach of the other: its values that aren't
     # common, and those of the other up to the last common one, are outside the intersection, a bound for the whole sets.
     size = "{0} - ({1} * {0} + 99) div 100 + 1"
