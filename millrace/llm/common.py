@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
 import numpy as np
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -48,21 +48,6 @@ def alnum_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "replace").translate(_ALNUM).split() if text else []
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, remembered up to a bound (frequent words make up most of any text)."""
-
-    LIMIT = 200_000
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
 def mixed(h: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit values."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -70,6 +55,46 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+#: One random 64-bit number for each byte (capitals as small letters), and the odd base of the polynomial over a word's bytes.
+_BYTES = np.random.default_rng(7).integers(0, 2**64, 256, np.uint64)[np.frombuffer(_LOWER, np.uint8)]
+_SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
+_BASE = 0x9E3779B97F4A7C15 | 3
+#: Bytes hashed at a time; a longer word makes its block longer.
+_BLOCK = 1 << 20
+
+
+@functools.lru_cache(2)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers 0 to n of the base and of its inverse, modulo 2**64."""
+    factors = np.repeat(np.array([[_BASE], [pow(_BASE, -1, 2**64)]], np.uint64), n + 1, axis=1)
+    factors[:, 0] = 1
+    return tuple(np.cumprod(factors, axis=1, dtype=np.uint64))
+
+
+def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all the texts' space_words(), one after the other, and the n + 1 places where the texts' words begin and end.
+
+    The texts' bytes are hashed together: a word's hash is a polynomial over its bytes, taken from running sums.
+    """
+    data = [t.encode("utf-8", "replace") if t else b"" for t in texts]
+    first = np.cumsum([0] + [len(x) + 1 for x in data])
+    data = np.frombuffer(b" ".join([*data, b""]), np.uint8)
+    space = _SPACE[data]
+    edges = np.flatnonzero(np.diff(space, prepend=True, append=True))
+    starts, ends = edges[::2], edges[1::2]
+    out, at = np.empty(len(starts), np.uint64), 0
+    while at < len(starts):
+        origin = starts[at]
+        to = max(int(np.searchsorted(ends, origin + _BLOCK, "right")), at + 1)
+        power, inverse = _powers(max(_BLOCK, int(ends[to - 1] - origin)))
+        block = _BYTES[data[origin : ends[to - 1]]]
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(block * power[: len(block)], dtype=np.uint64)])
+        begin, end = starts[at:to] - origin, ends[at:to] - origin
+        out[at:to] = mixed((sums[end] - sums[begin]) * inverse[begin] + (end - begin).astype(np.uint64))
+        at = to
+    return out, np.searchsorted(starts, first)
+
+
 def extended(df: DataFrame, **kinds: str) -> T.StructType:
     """The schema of df with further columns of the given types."""
     return T.StructType([*df.schema.fields, *(T.StructField(c, T.DataType.fromDDL(kind)) for c, kind in kinds.items())])

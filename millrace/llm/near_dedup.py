@@ -20,34 +20,44 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, mixed, small, space_words, text_of, written
+from .common import mixed, small, space_words, text_of, word_hashes, written
 
 #: A value in more sketches than this counts as frequent and is ordered last.
 FREQUENT = 12
-#: At most so many frequent values are shipped to the tasks (9 bytes each): those above the lowest count that keeps within
-#: it. This decides only in which order "smallest" is meant, never which links are found.
-MAX_FREQUENT = 1_000_000
-#: Every value in the lower part of the hash range is counted exactly (sketches seldom reach further); of the upper part,
-#: those that a task meets at least twice.
+#: At most so many frequent values of each part of the hash range are shipped to the tasks (9 bytes each): those above the
+#: lowest count that keeps within it. This decides only in which order "smallest" is meant, never which links are found.
+MAX_FREQUENT = 500_000
+#: Values in this lower part of the hash range are counted over all texts; sketches seldom reach further. Of the rest, those
+#: of the documents that do reach further, or into frequent values, are counted.
 COUNTED = np.uint64(3 << 61)
 #: Ids up to which a table of them is broadcast.
 MANY = 1_000_000
-#: A representative's pair is verified at once if it shares one of so many retained values; others wait for the last round.
+#: A representative's pair is verified in the first turn if it shares one of so many retained values; others wait.
 STRONG = 4
+#: Turns of representatives at most. In the second, a member meets one only, however few values they share, and only lists whose largest class has more than FREQUENT members take part.
+TURNS = 2
 #: Pairs with one representative are verified in blocks of about so many.
 BLOCK = 64
 
 
-def shingles(words: list[bytes], hashes: WordHashes, width: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the word shingles; of the whole sequence where it is shorter; none without words."""
-    h = hashes.of(words)
-    if not len(h):
-        return h
-    n = min(width, len(h))
-    out = mixed(h[: len(h) - n + 1] + np.uint64(n))
-    for i in range(1, n):
-        out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + h[i : len(h) - n + 1 + i])
-    return np.unique(out)
+def shingle_sets(texts: list[str | None], width: int) -> tuple[list[np.ndarray], list[bytes | None]]:
+    """For each text, sorted distinct 64-bit hashes of the word shingles (of the whole sequence where it is shorter; none
+    without words), and a digest of the sequence of words (None without words)."""
+    words, ends = word_hashes(texts)
+
+    def joined(h: np.ndarray, n: int) -> np.ndarray:
+        out = mixed(h[: len(h) - n + 1] + np.uint64(n))
+        for i in range(1, n):
+            out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + h[i : len(h) - n + 1 + i])
+        return out
+
+    every = joined(words, width) if len(words) >= width else words[:0]
+    sets, keys = [], []
+    for start, end in zip(ends[:-1], ends[1:], strict=True):
+        n = end - start
+        sets.append(np.unique(every[start : end - width + 1]) if n >= width else joined(words[start:end], n) if n else words[:0])
+        keys.append(xxhash.xxh3_128_digest(words[start:end].tobytes()) if n else None)
+    return sets, keys
 
 
 def retained(n: int, percent: int) -> int:
@@ -63,46 +73,50 @@ def _parts(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBa
 
 
 def _sketches(width: int, percent: int, frequent):
+    """doc_id, key, n, sketch, and far: whether the sketch's last value is frequent or wasn't among those counted first."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, (last, rank) = WordHashes(), frequent.value
+        last, rank = frequent.value
         for batch in _parts(batches, 500):
-            keys, sizes, sketches = [], [], []
-            for text in batch["text"].to_pylist():
-                words = space_words(text)
-                s = shingles(words, hashes, width)
-                k = retained(len(s), percent)
+            sets, keys = shingle_sets(batch["text"].to_pylist(), width)
+            sketches, far = [], []
+            for s in sets:
+                k, reaches = retained(len(s), percent), False
                 if len(last) and k:
                     at = np.minimum(np.searchsorted(last, s), len(last) - 1)
                     late = np.where(last[at] == s, rank[at], 0)
                     if late.any():
-                        s = s[np.argsort(late, kind="stable")]
-                keys.append(xxhash.xxh3_128_digest(b" ".join(words)) if words else None)
-                sizes.append(len(s))
+                        order = np.argsort(late, kind="stable")
+                        s, reaches = s[order], bool(late[order[k - 1]])
                 sketches.append(s[:k].view(np.int64))
+                far.append(reaches or bool(k and s[k - 1] >= COUNTED))
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in sketches])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sketches)))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), lists], ["doc_id", "key", "n", "sketch"])
+            columns = [batch["doc_id"], pa.array(keys, pa.binary()), pa.array(map(len, sets), pa.int32()), lists, pa.array(far, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "n", "sketch", "far"])
 
     return run
 
 
-def _values(width: int):
+def _values(width: int, low: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in _parts(batches, 2000):
-            sets = [shingles(space_words(t), hashes, width) for t in batch["text"].to_pylist()]
-            value, count = np.unique(np.concatenate(sets), return_counts=True)
-            keep = (value < COUNTED) | (count > 1)
-            yield pa.RecordBatch.from_arrays([pa.array(value[keep].view(np.int64)), pa.array(count[keep].astype(np.int32))], ["value", "n"])
+            sets = shingle_sets(batch["text"].to_pylist(), width)[0]
+            every = np.concatenate(sets)
+            value, count = np.unique(every[(every < COUNTED) == low], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(count.astype(np.int32))], ["value", "n"])
 
     return run
 
 
-def _frequent(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted values that more than FREQUENT sets hold, and the binary logarithm of how many do."""
-    level = F.floor(F.log2("n") * 4).cast("int")
-    counts = docs.select("text").mapInArrow(_values(width), "value long, n int").groupBy("value").agg(F.sum("n").alias("n"))
-    counts = written(counts.filter(F.col("n") > FREQUENT).select("value", level.alias("level")), "frequent")
+def _frequent(docs: DataFrame, width: int, low: bool) -> DataFrame:
+    """Values of the lower or the upper part of the range that more than FREQUENT sets hold: value, level (a logarithm of how many)."""
+    counts = docs.select("text").mapInArrow(_values(width, low), "value long, n int").groupBy("value").agg(F.sum("n").alias("n"))
+    return written(counts.filter(F.col("n") > FREQUENT).select("value", F.floor(F.log2("n") * 4).cast("int").alias("level")), "frequent")
+
+
+def _ranked(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted values of counts, and their levels: MAX_FREQUENT at most."""
     least, room = 0, MAX_FREQUENT
     for row in counts.groupBy("level").count().orderBy(F.desc("level")).collect():  # a few dozen levels
         room -= row["count"]
@@ -180,40 +194,70 @@ def classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     docs = text_of(docs, "doc_id", "text")
     node = F.coalesce("doc_id", -F.shiftrightunsigned(F.xxhash64("text"), 1) - 2)
     docs = docs.select(node.alias("doc_id"), F.col("doc_id").isNull().alias("no_id"), "text")
-    frequent = spark.sparkContext.broadcast(_frequent(docs, width))
-    rows = written(docs.select("doc_id", "text").mapInArrow(_sketches(width, percent, frequent), "doc_id long, key binary, n int, sketch array<long>"), "sketches")
+    sketched = "doc_id long, key binary, n int, sketch array<long>, far boolean"
+    ranks = spark.sparkContext.broadcast(_ranked(_frequent(docs, width, True)))
+    rows = written(docs.select("doc_id", "text").mapInArrow(_sketches(width, percent, ranks), sketched), "sketches")
 
     here = rows.filter("n > 0").select("key", "doc_id")
     nodes = written(here.groupBy("key").agg(F.min("doc_id").alias("node")), "nodes")
     copies = small(here.join(nodes, "key").filter("doc_id <> node").select("doc_id", "key"), MANY)
-    entries = rows.filter("n > 0").join(copies, ["doc_id", "key"], "left_anti").select(F.col("doc_id").alias("node"), "n", F.posexplode("sketch").alias("pos", "value"))
+    single = rows.filter("n > 0").join(copies, ["doc_id", "key"], "left_anti")
+    # Sketches that reach far take up values not counted yet: those are counted now and, where frequent, ordered last too.
+    # Other sketches stay as they are, since they end before all values that move.
+    far = small(single.filter("far").select("doc_id").distinct(), MANY)
+    again = docs.select("doc_id", "text").join(far, "doc_id", "left_semi")
+    parts = _ranked(_frequent(again, width, False)), ranks.value  # of different parts of the range
+    values, levels = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(values)
+    ranks = spark.sparkContext.broadcast((values[order], levels[order]))
+    again = again.mapInArrow(_sketches(width, percent, ranks), sketched).filter("n > 0")
+    sketches = single.join(far, "doc_id", "left_anti").select("doc_id", "n", "sketch").union(again.select("doc_id", "n", "sketch"))
+    entries = sketches.select(F.col("doc_id").alias("node"), "n", F.posexplode("sketch").alias("pos", "value"))
     beside = Window.partitionBy("value").orderBy("node")
     entries = entries.withColumns({"before": F.lag("node").over(beside), "after": F.lead("node").over(beside)})
     entries = written(entries.filter("before is not null or after is not null").drop("before", "after"), "lists")  # retained values that two sketches share at least
 
-    active, texts = entries.select("node").distinct(), docs.select(F.col("doc_id").alias("node"), "text")
-    # Members of a list meet its representative; pairs that share much of a sketch are verified and merge classes.
-    rep = entries.groupBy("value").agg(F.min(F.struct(F.xxhash64("node").alias("h"), "node", "n")).alias("rep")).select("value", F.col("rep.node").alias("a"), F.col("rep.n").alias("na"))
-    pairs = entries.join(rep, "value").filter(f"a <> node and 100 * least(n, na) >= {percent} * greatest(n, na)")
-    pairs = pairs.groupBy("a", F.col("node").alias("b")).agg(F.count("*").alias("c"), F.min(F.least("n", "na")).alias("n"))
-    pairs = pairs.filter(f"{STRONG} * c * 100 >= (100 - {percent}) * n")
-    links = _links(written(pairs.select("a", "b"), "pairs"), texts, width, percent)
-    links = written(links, "found")
-    root = written(active.join(components(links), "node", "left").select("node", F.coalesce("root", "node").alias("root")), "roots")
+    # share: how much of a sketch other sketches hold; in a group of near copies, the member with the fewest changes has most.
+    active, texts = written(entries.groupBy("node").agg((F.count("*") / F.first("n")).alias("share")), "active"), docs.select(F.col("doc_id").alias("node"), "text")
+    # In each list, the member of the largest class with the most shared sketch meets those outside the class; pairs found
+    # similar merge classes, so groups of near copies become one class without meeting pair by pair.
+    root, links, total = active.withColumn("root", F.col("node")), None, active.count()
+    for turn in range(TURNS):
+        here = entries.join(root, "node")
+        rep = here.groupBy("value", "root").agg(F.count("*").alias("c"), F.min(F.struct((-F.col("share")).alias("order"), F.xxhash64("node").alias("h"), "node", "n")).alias("rep"))
+        rep = rep.groupBy("value").agg(F.max(F.struct("c", (-F.col("rep.order")).alias("share"), F.xxhash64("root").alias("h"), "rep", "root")).alias("m"), F.count("*").alias("k"))
+        rep = rep.filter(f"k > 1 and ({turn} = 0 or m.c > {FREQUENT})").select("value", "m.rep.node", "m.rep.n", "m.root").toDF("value", "a", "na", "ra")
+        pairs = here.join(rep, "value").filter(f"root <> ra and 100 * least(n, na) >= {percent} * greatest(n, na)")
+        pairs = pairs.groupBy("a", F.col("node").alias("b")).agg(F.count("*").alias("c"), F.min(F.least("n", "na")).alias("n"))
+        if turn:  # one representative for each member: the one it shares most with
+            pairs = pairs.groupBy("b").agg(F.max_by("a", F.struct("c", "a")).alias("a"))
+        else:
+            pairs = pairs.filter(f"{STRONG} * c * 100 >= (100 - {percent}) * n")
+        found = written(_links(written(pairs.select("a", "b"), "pairs"), texts, width, percent), "found")
+        links = found if links is None else links.union(found)
+        left, right = (root.select(F.col("node").alias(n), F.col("root").alias(f"r{n}")) for n in "ab")
+        merged = components(found.join(left, "a").join(right, "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))).toDF("root", "least")
+        root = written(root.join(merged, "root", "left").select("node", "share", F.coalesce("least", "root").alias("root")), "roots")
+        if found.count() * 1000 <= total:
+            break
 
     # The rest: in each list, those outside its largest class against all, in different classes.
-    here = entries.join(root, "node")
+    here = entries.join(root.drop("share"), "node")
     sizes = here.groupBy("value", "root").agg(F.count("*").alias("c"))
     largest = sizes.groupBy("value").agg(F.max(F.struct("c", "root")).alias("m"), F.count("*").alias("k")).filter("k > 1").select("value", F.col("m.root").alias("top"))
     here = written(here.join(largest, "value"), "open")
     few = here.filter("root <> top").select("value", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.col("pos").alias("pa"))
     meets = few.join(here, "value").filter(f"ra <> root and a <> node and (root = top or a < node) and 100 * least(n, na) >= {percent} * greatest(n, na)")
+    # What precedes a common value in both, and what follows it, bounds the intersection.
+    meets = meets.filter(f"(least(pa, pos) + least(na - pa, n - pos)) * {100 + percent} >= {percent} * (n + na)")
     # Of two sketches, the one whose last value comes first lies whole within the reach of the other: its values that aren't
     # common, and those of the other up to the last common one, are outside the intersection, a bound for the whole sets.
-    size = "{0} - ({1} * {0} + 99) div 100 + 1"
-    known = F.expr(f"least({size.format('na', percent)} + pos + 1, {size.format('n', percent)} + pa + 1)")
-    grouped = meets.groupBy(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).agg(F.count("*").alias("c"), F.max(known).alias("known"), F.max(F.col("n") + F.col("na")).alias("both"))
-    near = grouped.filter(f"(known - 2 * c) * {100 + percent} <= {100 - percent} * both").select("a", "b")
+    ends = [F.when(F.col("a") < F.col("node"), F.struct(F.col(x).alias("n"), F.col(y).alias("pos"))).otherwise(F.struct(F.col(z).alias("n"), F.col(w).alias("pos"))) for x, y, z, w in (("na", "pa", "n", "pos"), ("n", "pos", "na", "pa"))]
+    meets = meets.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"), ends[0].alias("x"), ends[1].alias("y"))
+    grouped = meets.groupBy("a", "b", F.col("x.n").alias("na"), F.col("y.n").alias("nb")).agg(F.count("*").alias("c"), F.max("x.pos").alias("pa"), F.max("y.pos").alias("pb"))
+    size = "({0} - ({1} * {0} + 99) div 100 + 1)"
+    bound = F.expr(f"greatest(least(na - {size.format('na', percent)}, nb - pb - 1), least(na - pa - 1, nb - {size.format('nb', percent)})) + c")
+    near = grouped.filter(bound * (100 + percent) >= percent * (F.col("na") + F.col("nb"))).select("a", "b").distinct()
     found = _links(written(near, "rest"), texts, width, percent)
     known = components(written(links.union(found), "all-links"))
 
