@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import extended
+from .common import extended, written
 
 #: Samples in a frame, samples in a second (stated in the stream, without meaning here), frames between seek points.
 BLOCK, RATE, SEEK = 4608, 8000, 64
@@ -395,10 +395,11 @@ def padded(text: str | None) -> tuple[int, bytes]:
     return len(b), b.ljust(max(1, -(-len(b) // UNIT)) * UNIT, b" ")
 
 
-def stored(docs: DataFrame, text: str = "text") -> DataFrame:
+def stored(docs: DataFrame, text: str = "text", lpc: int = 0) -> DataFrame:
     """docs with n_bytes and media, the FLAC stream of the padded text, in place of the text. Null texts count as empty.
 
-    Other columns are kept, columns of these names replaced.
+    lpc: order of fitted predictors that are tried beside the fixed ones, 0 for none. Other columns are kept, columns of
+    these names replaced.
     """
     docs = docs.drop("n_bytes", "media")
     keep = [c for c in docs.columns if c != text]
@@ -409,64 +410,107 @@ def stored(docs: DataFrame, text: str = "text") -> DataFrame:
             for at in range(0, len(whole), 256):
                 batch = whole.slice(at, 256)
                 pairs = [padded(t) for t in batch[text].to_pylist()]
-                yield pa.RecordBatch.from_arrays([*(batch[c] for c in keep), pa.array([n for n, _ in pairs], pa.int64()), pa.array([encode(p) for _, p in pairs], pa.binary())], [*keep, "n_bytes", "media"])
+                yield pa.RecordBatch.from_arrays([*(batch[c] for c in keep), pa.array([n for n, _ in pairs], pa.int64()), pa.array([encode(p, lpc=lpc) for _, p in pairs], pa.binary())], [*keep, "n_bytes", "media"])
 
     return docs.mapInArrow(run, schema)
 
 
-def pcm(media: DataFrame, start: int = 0) -> DataFrame:
-    """One row for each PCM block of each stream: the other columns, sample_offset, n_samples, pcm (8-bit mono as bytes)."""
+def _sets(streams: list[bytes | None]) -> Iterator[range]:
+    """Places of the streams that are decoded together: at most 512, and at most 8 MB unless a single one is longer."""
+    at, size = 0, 0
+    for i, s in enumerate(streams):
+        if i > at and (i - at == 512 or size + len(s or b"") > 8 << 20):
+            yield range(at, i)
+            at, size = i, 0
+        size += len(s or b"")
+    yield range(at, len(streams))
+
+
+def pcm(media: DataFrame, start: int = 0, outer: bool = False) -> DataFrame:
+    """One row for each PCM block of each stream: the other columns, sample_offset, n_samples, pcm (8-bit mono as bytes).
+
+    A stream's rows follow each other in order. A null or empty stream has none, or with ``outer`` one with nulls.
+    """
     keep = [c for c in media.columns if c not in ("media", "sample_offset", "n_samples", "pcm")]
     schema = extended(media.select(*keep), sample_offset="long", n_samples="int", pcm="binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, stream in enumerate(batch["media"].to_pylist()):
-                for first, x in decode([stream], start)[0] if stream else ():
-                    block = pa.array([(x[0] + 128).astype(np.uint8).tobytes()], pa.binary())
-                    yield pa.RecordBatch.from_arrays([*(batch[c].slice(i, 1) for c in keep), pa.array([first], pa.int64()), pa.array([x.shape[1]], pa.int32()), block], [*keep, "sample_offset", "n_samples", "pcm"])
+            streams = batch["media"].to_pylist()
+            for some in _sets(streams):
+                there, rows = iter(decode([streams[i] for i in some if streams[i]], start)), []
+                for i in some:
+                    if streams[i]:
+                        rows += ((i, first, x.shape[1], (x[0] + 128).astype(np.uint8).tobytes()) for first, x in next(there))
+                    elif outer:
+                        rows.append((i, None, None, None))
+                if rows:
+                    of, first, size, data = zip(*rows, strict=True)
+                    new = [pa.array(first, pa.int64()), pa.array(size, pa.int32()), pa.array(data, pa.binary())]
+                    yield pa.RecordBatch.from_arrays([*(batch[c].take(pa.array(of)) for c in keep), *new], [*keep, "sample_offset", "n_samples", "pcm"])
 
     return media.mapInArrow(run, schema)
 
 
+class _Stream:
+    """Running digests and sums over a stream's PCM blocks."""
+
+    def __init__(self):
+        self.digest, self.tail, self.n, self.blocks, self.total, self.steps, self.turns, self.last = hashlib.sha256(), b"", 0, 0, 0, 0, 0, None
+
+    def add(self, offset: int, block: bytes) -> None:
+        if offset != self.n:
+            raise BadStream("a block is missing")
+        self.digest.update(block)
+        x = np.frombuffer(block, np.uint8).astype(np.int64) - 128
+        self.tail, self.n, self.blocks = (self.tail + block)[-16:], self.n + len(block), self.blocks + 1
+        y = x if self.last is None else np.concatenate([[self.last], x])
+        self.total, self.steps, self.last = self.total + int(x.sum()), self.steps + int(np.abs(np.diff(y)).sum()), x[-1]
+        self.turns += int(np.count_nonzero((y[:-1] < -32) != (y[1:] < -32)))
+
+    def out(self) -> tuple:
+        if not self.n:
+            return None, None, None, None
+        n = self.n
+        return n, self.digest.hexdigest(), zlib.crc32(self.tail), f"{self.blocks}:{self.total / n:.4f}:{self.steps / n:.4f}:{self.turns / n:.4f}"
+
+
 def measured(media: DataFrame) -> DataFrame:
     """media (.., n_bytes, media) read back: payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature.
 
     feature: number of blocks, mean of the samples, their mean step and the share of sign changes, over the whole stream.
-    A null stream gives nulls.
+    A null stream gives nulls. Taken from the rows of pcm(), a stream's from its block at sample 0 to the next such block.
     """
     new = {"payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "feature": pa.string()}
     kinds = {"payload_bytes": "long", "payload_sha256": "string", "tail_crc32": "long", "feature": "string"}
-    media = media.drop(*new, "media_bytes", "media_sha256").withColumns({"media_bytes": F.octet_length("media").cast("long"), "media_sha256": F.sha2("media", 256)})
+    media = media.drop(*new, "media_bytes", "media_sha256", "sample_offset", "n_samples", "pcm")
+    media = media.withColumns({"media_bytes": F.octet_length("media").cast("long"), "media_sha256": F.sha2("media", 256)})
     keep = [c for c in media.columns if c != "media"]
     schema = extended(media.select(*keep), **kinds)
 
-    def read(found: list | None) -> tuple:
-        if found is None:
-            return None, None, None, None
-        digest, tail, n, blocks, total, steps, turns, last = hashlib.sha256(), b"", 0, 0, 0, 0, 0, None
-        for _, x in found:
-            b = (x[0] + 128).astype(np.uint8).tobytes()
-            digest.update(b)
-            tail, n, blocks = (tail + b)[-16:], n + len(b), blocks + 1
-            y = x[0] if last is None else np.concatenate([[last], x[0]])
-            total, steps, last = total + int(x[0].sum()), steps + int(np.abs(np.diff(y)).sum()), x[0][-1]
-            turns += int(np.count_nonzero((y[:-1] < -32) != (y[1:] < -32)))
-        return n, digest.hexdigest(), zlib.crc32(tail), f"{blocks}:{total / n:.4f}:{steps / n:.4f}:{turns / n:.4f}"
+    def put(streams: list[tuple[pa.RecordBatch, _Stream]]) -> pa.RecordBatch:
+        got = list(zip(*(s.out() for _, s in streams), strict=True))
+        return pa.RecordBatch.from_arrays([*(pa.concat_arrays([row[c] for row, _ in streams]) for c in keep), *(pa.array(v, t) for v, t in zip(got, new.values(), strict=True))], [*keep, *new])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, len(whole), 512):
-                batch = whole.slice(at, 512)
-                streams = batch["media"].to_pylist()
-                there = iter(decode([s for s in streams if s is not None]))
-                got = list(zip(*(read(None if s is None else next(there)) for s in streams), strict=True))
-                yield pa.RecordBatch.from_arrays([*(batch[c] for c in keep), *(pa.array(v, t) for v, t in zip(got, new.values(), strict=True))], [*keep, *new])
-
-    return media.mapInArrow(run, schema)
-
-
-def digest(docs: DataFrame) -> DataFrame:
-    """The columns of op9, from the streams read back. They pass from task to task's reader as a column; no row moves."""
-    media = stored(docs.select("doc_id", "text"))
+        streams = []
+        for batch in batches:
+            others = batch.select(keep)
+            for i, (offset, block) in enumerate(zip(batch["sample_offset"].to_pylist(), batch["pcm"].to_pylist(), strict=True)):
+                if not offset:
+                    if len(streams) == 512:
+                        yield put(streams)
+                        streams = []
+                    streams.append((others.slice(i, 1), _Stream()))
+                if offset is not None:
+                    streams[-1][1].add(offset, block)
+        if streams:
+            yield put(streams)
+
+    return pcm(media, outer=True).mapInArrow(run, schema)
+
+
+def digest(docs: DataFrame, lpc: int = 0) -> DataFrame:
+    """The columns of op9. The media table is written to the shared folder, and all digests are of what is read back from it."""
+    media = written(stored(docs.select("doc_id", "text"), lpc=lpc), "media")
     return measured(media).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")

@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.llm import common, decontaminate, flac, language, licenses, mixing, near_dedup, pii, quality, tokens, warc
 from millrace.llm.queries import RANKS
@@ -224,6 +225,26 @@ def test_flac_column(spark):
     assert rows[0].sample_offset == 4608 and rows[0].n_samples == 4608
 
 
+def test_flac_media_is_stored_and_read_back(spark, monkeypatch):
+    wrote = []
+    monkeypatch.setattr(flac, "written", lambda df, name: wrote.append(common.written(df, name)) or wrote[-1], raising=False)
+    docs = docs_of(spark, [*ODD, say(3000), say(3000)])
+    docs = docs.unionByName(docs.filter("doc_id = 9").withColumn("doc_id", F.lit(None).cast("long")))
+    out = flac.digest(docs)
+    assert len(wrote) == 1 and set(out.inputFiles()) == set(wrote[0].inputFiles())
+    kept = [(r.doc_id, hashlib.sha256(r.media).hexdigest()) for r in wrote[0].collect()]
+    assert sorted(kept, key=str) == sorted(((r.doc_id, r.media_sha256) for r in out.collect()), key=str) and len(kept) == len(ODD) + 3
+    lost = flac.measured(wrote[0].withColumn("media", F.when(F.col("doc_id") != 1, F.col("media")))).filter("payload_bytes is null")
+    assert sorted(str(r.doc_id) for r in lost.collect()) == ["1", "None"]
+
+
+def test_flac_fitted_predictors(spark):
+    text = "".join(chr(64 + int(50 * np.sin(i * 1.2) + random.random())) for i in range(4608))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    fixed, fitted = (flac.digest(docs, lpc=lpc).first() for lpc in (0, 8))
+    assert fitted.media_bytes < fixed.media_bytes and fitted.payload_sha256 == fixed.payload_sha256 == hashlib.sha256(text.encode()).hexdigest()
+
+
 def test_warc_round_trip(spark):
     html = [None, "", "short", "short", "x" * 100, "x" * 100, "é" * 60, "é" * 60, "y" * 40_000]
     pages = spark.createDataFrame([(i, f"http://h/{i}", h, 1) for i, h in enumerate(html)] + [(None, None, "x" * 100, 1), (20, None, "z" * 200, 1), (20, None, "z" * 200, 1)], "page_id long, url string, html string, digest int")
