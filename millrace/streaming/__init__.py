@@ -4,10 +4,8 @@ from __future__ import annotations
 
 import uuid
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..sources import events_stream
 
@@ -38,17 +36,13 @@ def once(events: DataFrame, key: str, late: str = "1 hour") -> DataFrame:
 
 
 def conversation_state(events: DataFrame) -> DataFrame:
-    """user_id, last_type, n: running state of each user, updated by each batch of events in order of (ts, event_id)."""
+    """user_id, last_type, n: running state of each user, put out for each batch that has events of the user.
 
-    def update(key, batches, state: GroupState):
-        n, last = state.get if state.exists else (0, "")
-        for pdf in batches:
-            pdf = pdf.sort_values(["ts", "event_id"])
-            n, last = n + len(pdf), pdf["event_type"].iloc[-1]
-        state.update((n, last))
-        yield pd.DataFrame({"user_id": [key[0]], "last_type": [last], "n": [n]})
-
-    return events.groupBy("user_id").applyInPandasWithState(update, "user_id long, last_type string, n long", "n long, last string", "update", GroupStateTimeout.NoTimeout)
+    last_type is the type of the newest event by (ts, event_id) of all batches so far, in whatever order they come. The
+    state is an aggregate with this event and the count: parts of it are made before events are dealt out by user.
+    """
+    newest = F.max_by("event_type", F.when(F.col("event_type").isNotNull(), F.struct("ts", "event_id")))
+    return events.groupBy("user_id").agg(newest.alias("last_type"), F.count("*").alias("n"))
 
 
 def stream_hourly_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
