@@ -1,43 +1,24 @@
-"""What several corpus operators share: scratch tables, word hashing, distributed running totals."""
+"""What several corpus operators share: word hashing, schemas, small tables; scratch tables are those of millrace.store."""
 
 from __future__ import annotations
 
 import functools
-import tempfile
-import uuid
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..store import running_totals, scratch, written
+
+__all__ = ["alnum_words", "extended", "mixed", "running_totals", "scratch", "small", "space_words", "text_of", "word_hashes", "written"]
+
 #: Byte classes of the two word definitions, for bytes.translate: lower-cased A-Z, separators become spaces.
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _SEPARATORS = {*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)}
 _ALNUM = bytes(0x20 if b in _SEPARATORS else _LOWER[b] for b in range(256))
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder path below spark.checkpoint.dir, which driver and executors share.
-
-    Only where that setting is absent (a local session, tests) a temporary folder of this machine serves.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="millrace-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: lineage is cut and lost executors cost no recomputation."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def space_words(text: str | None) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text with A-Z lower-cased, as UTF-8; a null has none."""
     return text.encode("utf-8", "replace").lower().split() if text else []
@@ -110,18 +91,3 @@ def text_of(docs: DataFrame, *names: str) -> DataFrame:
     """Only those columns of docs; a column that is missing is null."""
     kinds = {"doc_id": "long", "page_id": "long", "item_id": "long"}
     return docs.select(*(F.col(c).cast(kinds.get(c, "string")).alias(c) if c in docs.columns else F.lit(None).cast(kinds.get(c, "string")).alias(c) for c in names))
-
-
-def running_totals(df: DataFrame, order: list[Column], value: str, before: str, name: str) -> DataFrame:
-    """Adds column ``before``: the sum of ``value`` over all rows that come earlier in ``order``.
-
-    A range sort, totals within each range, and an offset for each range (one number for a partition); no row
-    group meets in one task. order must determine the sequence; its rows are written once, so that ranges stay put.
-    """
-    parts = written(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), name)
-    within = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    sums = parts.groupBy("_part").agg(F.sum(value).alias("_sum"))
-    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row for a partition
-    offsets = sums.select("_part", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_offset"))
-    local = parts.withColumn(before, F.coalesce(F.sum(value).over(within), F.lit(0)))
-    return local.join(F.broadcast(offsets), "_part").withColumn(before, F.col(before) + F.col("_offset")).drop("_part", "_offset")

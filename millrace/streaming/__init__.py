@@ -2,20 +2,31 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..sources import events_stream
+from ..store import scratch
 
 
 def drained(stream: DataFrame, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
-    """Runs a stream over all that is there and returns what it has put out (a table in memory: for tests and small results)."""
-    name = f"s{uuid.uuid4().hex}"
-    writer = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True)
-    (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start().awaitTermination()
-    return stream.sparkSession.table(name)
+    """Runs a stream over all that is there and returns what it has put out, read from Parquet files in the shared folder.
+
+    Executors write the rows; none pass the driver. checkpoint: a folder for state and output, by which a later call goes
+    on and returns the output of all calls; by default a new one.
+    """
+    spark = stream.sparkSession
+    folder = checkpoint or scratch(spark, "stream")
+    out, schema = f"{folder}/out", T.StructType([T.StructField(f.name, f.dataType) for f in stream.schema])  # without marks of watermarks
+    spark.createDataFrame([], schema).write.mode("ignore").parquet(out if mode == "append" else f"{out}/none")  # a stream without events writes nothing
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
+    if mode == "append":
+        writer = writer.format("parquet").option("path", out)
+    else:  # a batch that is tried again replaces its files; in complete mode each replaces the one before
+        writer = writer.foreachBatch(lambda df, i: df.write.mode("overwrite").parquet(f"{out}/{i if mode == 'update' else 'all'}"))
+    writer.start().awaitTermination()
+    return spark.read.schema(schema).option("recursiveFileLookup", mode != "append").parquet(out)
 
 
 def hourly_counts(events: DataFrame, late: str = "1 hour") -> DataFrame:

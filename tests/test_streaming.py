@@ -36,3 +36,26 @@ def test_state_keeps_the_newest_event(spark, arriving):
     for r in out:
         last[r.user_id] = max(last.get(r.user_id, (0, "")), (r.n, r.last_type))
     assert last == {1: (23, "tie"), 2: (1, "b")}
+
+
+def test_output_is_stored_in_the_shared_folder(spark, arriving, tmp_path):
+    day = lambda d: f"2024-01-{d:02d} 00:00:00"
+    shared = spark.conf.get("spark.checkpoint.dir")
+    first, second = [(1, day(1), 1, "a"), (1, day(1), 1, "a"), (2, day(1), 1, "b")], [(1, day(1), 1, "a"), (3, day(2), 1, "b")]
+    events = arriving(first, second)
+    out = streaming.drained(streaming.once(events, "event_id"))
+    assert out.inputFiles() and all(f.startswith(f"{shared}/stream-") for f in out.inputFiles())
+    assert sorted(r.event_id for r in out.collect()) == [1, 2, 3]
+    state = streaming.drained(streaming.conversation_state(events), "update")
+    assert state.inputFiles() and all(f.startswith(f"{shared}/stream-") for f in state.inputFiles())
+    assert sorted(r.n for r in state.collect()) == [3, 5]
+    assert [r.n for r in streaming.drained(streaming.conversation_state(events), "complete").collect()] == [5]
+    for _ in range(2):  # goes on from the checkpoint
+        again = streaming.drained(streaming.once(events, "event_id"), checkpoint=f"file://{tmp_path}/kept")
+        assert again.count() == 3
+
+
+def test_stream_without_events(spark, arriving):
+    events = arriving([])
+    assert streaming.drained(streaming.once(events, "event_id")).count() == 0
+    assert streaming.drained(streaming.conversation_state(events), "update").count() == 0
