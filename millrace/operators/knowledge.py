@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import cosine, strip_tags
 
 #: Rows of a query set up to which it is sent to all tasks.
 QUERY_ROWS = 20_000
+#: Words, and which of them are names.
+WORD, NAME = r"\p{L}+", r"^\p{Lu}\p{Ll}+$"
 
 
 def chunk(docs: DataFrame, size: int = 800, overlap: int = 0) -> DataFrame:
@@ -58,6 +60,33 @@ def entities(docs: DataFrame, pattern: str) -> DataFrame:
     return docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)))).alias("entity"))
 
 
+def _named(w: Column) -> Column:
+    return w.rlike(NAME)
+
+
+def names(docs: DataFrame) -> DataFrame:
+    """doc_id, entity for each distinct whole word of a document that is a capital and small letters."""
+    words = F.filter(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), _named)
+    return docs.select("doc_id", F.explode(F.array_distinct(words)).alias("entity"))
+
+
+def cooccurrence(docs: DataFrame, reach: int = 10) -> DataFrame:
+    """src, dst, docs: pairs of different names (src < dst) of which one is among the ``reach`` words after the other, and in how many documents.
+
+    Each occurrence meets the names of the following words only, so that pairs grow with the words of a document.
+    """
+
+    def after(words: Column, a: Column, i: Column) -> Column:
+        near = F.transform(F.sequence(i + 1, i + reach), lambda j: F.get(words, j))
+        return F.transform(F.filter(near, lambda b: _named(b) & (b != a)), lambda b: F.struct(F.least(a, b).alias("src"), F.greatest(a, b).alias("dst")))
+
+    def met(words: Column) -> Column:
+        return F.flatten(F.array_compact(F.transform(words, lambda a, i: F.when(_named(a), after(words, a, i)))))
+
+    pairs = F.flatten(F.transform(F.array(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))), met))  # the words are taken once
+    return docs.select("doc_id", F.inline(pairs)).groupBy("src", "dst").agg(F.count_distinct("doc_id").alias("docs"))
+
+
 def neighbours(edges: DataFrame, start: DataFrame, hops: int) -> DataFrame:
     """id, hop of all nodes within that many hops of start (id) over edges (src, dst); the least hop of each."""
     seen = start.select("id", F.lit(0).alias("hop")).distinct()

@@ -242,12 +242,28 @@ def kb_entities(spark, d):
 p as (select doc_id, entity, lead(entity) over (partition by doc_id order by entity) other from e)
 select entity src, other dst, count(*) docs from p where other is not null group by 1, 2 having count(*) >= 2""")
 def kb_edges(spark, d):
-    """Neighbouring entities of a document, by name: as many edges as entities, no pairs within a document."""
+    """Neighbouring entities of a document, by name: as many edges as entities, no pairs within a document. Not co-occurrence, see kb_cooccurrence."""
     e = knowledge.entities(table(spark, d, "documents"), _WORD)
     p = e.withColumn("dst", F.lead("entity").over(Window.partitionBy("doc_id").orderBy("entity"))).filter("dst is not null")
     return analytics.metric_by(p, [F.col("entity").alias("src"), "dst"], docs=F.count("*")).filter("docs >= 2")
 
 
+_NAMES = rf"""w as (select row_number() over () r, doc_id, regexp_extract_all(text, '{knowledge.WORD}') w from documents),
+o as (select * from (select r, doc_id, unnest(w) entity, generate_subscripts(w, 1) pos from w) where regexp_matches(entity, '{knowledge.NAME}'))"""
+
+
+@query(f"with {_NAMES} select entity, count(distinct doc_id) docs from o group by 1")
+def kb_names(spark, d):
+    return analytics.metric_by(knowledge.names(table(spark, d, "documents")), ["entity"], docs=F.count_distinct("doc_id"))
+
+
+@query(f"""with {_NAMES} select least(a.entity, b.entity) src, greatest(a.entity, b.entity) dst, count(distinct a.doc_id) docs
+from o a join o b on a.r = b.r and b.pos - a.pos between 1 and 10 and a.entity <> b.entity group by 1, 2 having count(distinct a.doc_id) >= 2""")
+def kb_cooccurrence(spark, d):
+    """Names within ten words of each other; names further apart don't count, unlike in full co-occurrence by document."""
+    return knowledge.cooccurrence(table(spark, d, "documents")).filter("docs >= 2")
+
+
 @query("select doc_id, regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+[.][A-Za-z]') email, regexp_matches(text, '(?i)(api[_-]?key|secret|token|password) *[=:]') secret, regexp_matches(text, '[0-9]{13}') card from documents")
 def guardrail_pii_secret(spark, d):
     t = F.col("text")

@@ -105,3 +105,10 @@ def test_chunks_and_graph(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d")], "src string, dst string")
     got = knowledge.neighbours(edges, spark.createDataFrame([("a",)], "id string"), 2).collect()
     assert sorted(map(tuple, got)) == [("a", 0), ("b", 1), ("c", 2)]
+
+
+def test_cooccurrence_by_position(spark):
+    docs = spark.createDataFrame([(1, "Anna met Bo and Cleo. " + "x " * 10 + "Dora"), (2, "Cleo, Anna; McCoy É Élan"), (3, None), (4, ""), (None, "Anna Cleo")], "doc_id long, text string")
+    got = {(r.src, r.dst): r.docs for r in knowledge.cooccurrence(docs).collect()}
+    assert got == {("Anna", "Bo"): 1, ("Anna", "Cleo"): 2, ("Bo", "Cleo"): 1, ("Cleo", "Élan"): 1, ("Anna", "Élan"): 1}
+    assert {r.entity for r in knowledge.names(docs).collect()} == {"Anna", "Bo", "Cleo", "Dora", "Élan"}
