@@ -16,12 +16,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import extended, text_of
+from .common import extended, mixed, text_of
 
 #: Hashed shape trigrams of a passage; densities beside them; bytes up to which a line is one passage; width of the encoding.
 SHAPES, DENSITIES, PASSAGE, HIDDEN = 192, 9, 400, 16
-#: Bounds of the fitting sample: documents, and passages of them.
-SAMPLE, SAMPLE_PASSAGES = 3000, 60_000
+#: Bounds of the fitting sample: documents, and passages of each of them.
+SAMPLE, SAMPLE_PASSAGES = 3000, 64
 #: Score from which a document counts as good.
 GOOD = 0.3
 
@@ -129,11 +129,20 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, sample: int = SAMPLE) -> Model | None:
+def _some(x: np.ndarray, doc_id: int, most: int) -> np.ndarray:
+    """At most ``most`` of a bag's passages, in their order."""
+    if len(x) <= most:
+        return x
+    draw = mixed(mixed(np.array([doc_id]).astype(np.uint64)) + np.arange(len(x), dtype=np.uint64))
+    return x[np.sort(np.argsort(draw, kind="stable")[:most])]
+
+
+def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, sample: int = SAMPLE, most: int = SAMPLE_PASSAGES) -> Model | None:
     """The model from documents whose label in labels (doc_id, quality) is 0 or 1; None unless both occur.
 
-    About sample / 2 documents of each label are chosen by a hash of doc_id, and their passages up to SAMPLE_PASSAGES are
-    used, in the order of that hash. A document with several labels counts with their mean, rounded.
+    About sample / 2 documents of each label are chosen by a hash of doc_id. Of a document with more than ``most`` passages,
+    that many are learned from, chosen by a hash of doc_id and place; no document's use depends on another's length. A
+    document with several labels counts with their mean, rounded.
     """
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y")).filter("doc_id is not null and y in (0, 1)")
     marks = (marks if learn is None else marks.filter(learn)).groupBy("doc_id").agg(F.round(F.avg("y")).cast("int").alias("y"))
@@ -147,14 +156,13 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, sample:
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = [passages(t).astype(np.float16).tobytes() for t in batch["text"].to_pylist()]
+            x = [_some(passages(t), i, most).astype(np.float16).tobytes() for i, t in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["draw"], batch["y"], pa.array(x, pa.binary())], ["doc_id", "draw", "y", "x"])
 
     rows = rows.select("doc_id", "draw", "y", "text").mapInArrow(featured, "doc_id long, draw long, y int, x binary")
     got = rows.limit(2 * sample).toPandas().sort_values(["draw", "doc_id"])
     bags = [np.frombuffer(v, np.float16).reshape(-1, SHAPES + DENSITIES).astype(np.float32) for v in got["x"]]
-    use = np.cumsum([len(x) for x in bags]) <= SAMPLE_PASSAGES if bags else np.zeros(0, bool)
-    bags, y = [x for x, u in zip(bags, use, strict=True) if u], got["y"].to_numpy()[use]
+    y = got["y"].to_numpy()
     if len(set(y)) < 2:
         return None
     return train(bags, y.astype(np.float32), sizes[1] / (sizes[0] + sizes[1]))

@@ -129,6 +129,16 @@ def test_quality(spark):
     assert quality.fit(docs, labels.limit(0)) is None
 
 
+def test_quality_sample_bears_long_documents(spark, monkeypatch):
+    draws = spark.range(40).select("id", F.pmod(F.xxhash64("id", F.lit(23)), F.lit(1_000_000)).alias("d")).orderBy("d").collect()
+    first, seen = draws[0].id, []
+    docs = spark.createDataFrame([(i, "x\n" * 70_000 if i == first else say(9)) for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    monkeypatch.setattr(quality, "train", lambda bags, y, prior: seen.append((sorted(map(len, bags)), sorted(y))) or "model")
+    assert quality.fit(docs, labels) == "model"
+    assert seen == [([1] * 39 + [64], [0] * 20 + [1] * 20)]
+
+
 def test_attention_gradient():
     """The fit's derivatives agree with differences: loss falls on separable bags."""
     rng = np.random.default_rng(1)
