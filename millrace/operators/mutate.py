@@ -67,17 +67,28 @@ def migrate(names: list[str], steps: dict[str, Callable[[DataFrame], DataFrame |
 def fold_status(events: DataFrame, key: str, order: list[str], transitions: dict[str, list[str]], start: str) -> DataFrame:
     """key, status, n_ignored: events (key, to, order) folded in order; transitions that aren't allowed are ignored and counted.
 
-    A key's events are folded as an array in one row, with partial collection; a machine's history is bounded by nature.
+    Events are range-partitioned by key and order. Each range's events of a key make one map from every state to the state
+    and count they lead to; a key's few maps are applied in order, so that no task needs a key's whole history.
     """
     allowed = F.create_map(*(F.lit(x) for a, bs in transitions.items() for b in bs for x in (f"{a}>{b}", True)))
-    rows = events.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, "to"))).alias("_e"))
-    first = F.struct(F.lit(start).alias("status"), F.lit(0).cast("long").alias("n_ignored"))
+    states = sorted({start, *transitions, *(b for bs in transitions.values() for b in bs)})
+    ranged = events.select(key, *order, "to").repartitionByRange(key, *order, "to").withColumn("_part", F.spark_partition_id())
+    rows = ranged.groupBy(key, "_part").agg(F.array_sort(F.collect_list(F.struct(*order, "to"))).alias("_e"))
+
+    def begin(state: str) -> Column:
+        return F.struct(F.lit(state).alias("status"), F.lit(0).cast("long").alias("n_ignored"))
 
     def step(s: Column, e: Column) -> Column:
         ok = F.coalesce(F.element_at(allowed, F.concat(s["status"], F.lit(">"), e["to"])), F.lit(False))
         return F.struct(F.when(ok, e["to"]).otherwise(s["status"]).alias("status"), (s["n_ignored"] + F.when(ok, 0).otherwise(1)).cast("long").alias("n_ignored"))
 
-    return rows.select(key, F.aggregate("_e", first, step).alias("s")).select(key, "s.status", "s.n_ignored")
+    def follow(s: Column, part: Column) -> Column:
+        to = F.element_at(part["to"], F.array_position(F.array(*map(F.lit, states)), s["status"]).cast("int"))
+        return F.struct(to["status"].alias("status"), (s["n_ignored"] + to["n_ignored"]).alias("n_ignored"))
+
+    maps = rows.select(key, "_part", F.array(*(F.aggregate("_e", begin(s), step) for s in states)).alias("to"))
+    parts = maps.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_part", "to"))).alias("_p"))
+    return parts.select(key, F.aggregate("_p", begin(start), follow).alias("s")).select(key, "s.status", "s.n_ignored")
 
 
 def validate(df: DataFrame, rules: list[tuple[str, Column, str]]) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .. import functions, streaming
+from .. import functions, store, streaming
 from ..operators import analytics, harness, knowledge, mutate
 from ..sources import table
 
@@ -376,9 +376,10 @@ def surface_setops(spark, d):
 @query("""select o_orderkey, ntile(4) over (partition by o_orderpriority order by o_totalprice, o_orderkey) quartile,
   count(*) over (partition by o_custkey order by o_orderdate range between interval 30 days preceding and current row) recent from orders""")
 def surface_frames(spark, d):
-    w = Window.partitionBy("o_orderpriority").orderBy("o_totalprice", "o_orderkey")
     near = Window.partitionBy("o_custkey").orderBy(F.datediff("o_orderdate", F.lit("1970-01-01"))).rangeBetween(-30, 0)
-    return table(spark, d, "orders").select("o_orderkey", F.ntile(4).over(w).cast("long").alias("quartile"), F.count("*").over(near).alias("recent"))
+    orders = store.ranked(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority", "o_totalprice"), "o_orderpriority", ["o_totalprice", "o_orderkey"], "r", "n", "frames")
+    quartile = F.expr("if(r < n % 4 * (n div 4 + 1), r div (n div 4 + 1), n % 4 + (r - n % 4 * (n div 4 + 1)) div greatest(n div 4, 1)) + 1")  # the first n % 4 have one row more
+    return orders.select("o_orderkey", quartile.alias("quartile"), F.count("*").over(near).alias("recent"))
 
 
 @query("select p_partkey, unnest(string_split(p_type, ' ')) word from part")

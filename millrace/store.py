@@ -1,4 +1,4 @@
-"""Tables in the folder that driver and executors share, and running totals over them."""
+"""Tables in the folder that driver and executors share, running totals and ranks over them."""
 
 from __future__ import annotations
 
@@ -43,3 +43,18 @@ def running_totals(df: DataFrame, order: list[Column], value: str, before: str,
     offsets = sums.select("_part", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_offset"))
     local = parts.withColumn(before, F.coalesce(F.sum(value).over(within), F.lit(0)))
     return local.join(F.broadcast(offsets), "_part").withColumn(before, F.col(before) + F.col("_offset")).drop("_part", "_offset")
+
+
+def ranked(df: DataFrame, group: str, order: list[str], rank: str, size: str, name: str) -> DataFrame:
+    """Adds ``rank``, from 0, by order within each value of group, and ``size``, the rows of that value; no value meets in one task.
+
+    A range sort, ranks within each range, and an offset for each range and value. order must determine the sequence.
+    """
+    parts = written(df.repartitionByRange(group, *order).withColumn("_part", F.spark_partition_id()), name)
+    counts = parts.groupBy("_part", F.col(group).alias("_group")).agg(F.count("*").alias("_n"))
+    every = Window.partitionBy("_group")  # a value has one row for each of its ranges
+    earlier = F.sum("_n").over(every.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select(F.col("_part").alias("_of"), "_group", F.coalesce(earlier, F.lit(0)).alias("_offset"), F.sum("_n").over(every).alias(size))
+    local = parts.withColumn(rank, F.row_number().over(Window.partitionBy("_part", group).orderBy(*order)) - 1)
+    out = local.join(offsets, (F.col("_part") == F.col("_of")) & F.col(group).eqNullSafe(F.col("_group")))
+    return out.withColumn(rank, F.col(rank) + F.col("_offset")).drop("_part", "_of", "_group", "_offset")

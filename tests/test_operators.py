@@ -1,9 +1,11 @@
 """Inline cases: migrations, validation, invitations, status machines, guardrails, properties."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from millrace import functions
+from millrace import functions, store
 from millrace.operators import analytics, harness, knowledge, mutate
 from millrace.sources import records, table
 
@@ -112,3 +114,32 @@ def test_cooccurrence_by_position(spark):
     got = {(r.src, r.dst): r.docs for r in knowledge.cooccurrence(docs).collect()}
     assert got == {("Anna", "Bo"): 1, ("Anna", "Cleo"): 2, ("Bo", "Cleo"): 1, ("Cleo", "Élan"): 1, ("Anna", "Élan"): 1}
     assert {r.entity for r in knowledge.names(docs).collect()} == {"Anna", "Bo", "Cleo", "Dora", "Élan"}
+
+
+def test_long_history_is_folded_in_parts(spark):
+    rng, machine, want = random.Random(3), {"a": ["b"], "b": ["c", "a"], "c": ["a"]}, {}
+    rows = [(k, t, rng.choice(["a", "b", "c", "x", None])) for k in ("hot", "cold", None) for t in range(2000 if k == "hot" else 7)]
+    for k, _, to in rows:
+        at, n = want.get(k, ("a", 0))
+        want[k] = (to, n) if to in machine[at] else (at, n + 1)
+    rng.shuffle(rows)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = mutate.fold_status(spark.createDataFrame(rows, "k string, t int, to string"), "k", ["t"], machine, "a")
+        assert {r.k: (r.status, r.n_ignored) for r in out.collect()} == want
+        assert "RepartitionByExpression" in out._jdf.queryExecution().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_ranks_of_a_large_group(spark):
+    df = spark.createDataFrame([("g" if i % 9 else None, i * 7 % 1000) for i in range(1000)] + [("one", 5)], "g string, v int")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = store.ranked(df, "g", ["v"], "r", "n", "t").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(got) == 1001
+    for g in ("g", None, "one"):
+        rows = sorted((r.r, r.v, r.n) for r in got if r.g == g)
+        assert rows == [(i, v, len(rows)) for i, v in enumerate(sorted(r[1] for r in rows))]
