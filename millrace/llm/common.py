@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-import functools
+import hashlib
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..store import running_totals, scratch, written
 
-__all__ = ["alnum_words", "extended", "mixed", "running_totals", "scratch", "small", "space_words", "text_of", "word_hashes", "written"]
+__all__ = ["alnum_words", "extended", "mixed", "pieces", "running_totals", "scratch", "small", "space_words", "text_of", "word_hashes", "written"]
 
 #: Byte classes of the two word definitions, for bytes.translate: lower-cased A-Z, separators become spaces.
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -36,44 +40,56 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-#: One random 64-bit number for each byte (capitals as small letters), and the odd base of the polynomial over a word's bytes.
-_BYTES = np.random.default_rng(7).integers(0, 2**64, 256, np.uint64)[np.frombuffer(_LOWER, np.uint8)]
 _SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
-_BASE = 0x9E3779B97F4A7C15 | 3
-#: Bytes hashed at a time; a longer word makes its block longer.
-_BLOCK = 1 << 20
+#: The lowest 0 to 8 bytes of a 64-bit value; words longer than LONG bytes are hashed one by one.
+_LOW = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+LONG = 64
 
 
-@functools.lru_cache(2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0 to n of the base and of its inverse, modulo 2**64."""
-    factors = np.repeat(np.array([[_BASE], [pow(_BASE, -1, 2**64)]], np.uint64), n + 1, axis=1)
-    factors[:, 0] = 1
-    return tuple(np.cumprod(factors, axis=1, dtype=np.uint64))
+def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[bytes | None]]:
+    """64-bit hashes of all the texts' space_words(), one after the other; the n + 1 places where the texts' words begin and
+    end; and for each text a 128-bit digest of its words joined by spaces (None without words).
 
-
-def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all the texts' space_words(), one after the other, and the n + 1 places where the texts' words begin and end.
-
-    The texts' bytes are hashed together: a word's hash is a polynomial over its bytes, taken from running sums.
+    The texts' bytes are hashed together, eight bytes of every word at a time, each step a bijection of these bytes.
     """
-    data = [t.encode("utf-8", "replace") if t else b"" for t in texts]
-    first = np.cumsum([0] + [len(x) + 1 for x in data])
-    data = np.frombuffer(b" ".join([*data, b""]), np.uint8)
+    parts = [t.encode("utf-8", "replace").lower() if t else b"" for t in texts]
+    first = np.cumsum([0] + [len(x) + 1 for x in parts])
+    joined = b" ".join([*parts, b" " * 8])
+    data = np.frombuffer(joined, np.uint8)
     space = _SPACE[data]
     edges = np.flatnonzero(np.diff(space, prepend=True, append=True))
     starts, ends = edges[::2], edges[1::2]
-    out, at = np.empty(len(starts), np.uint64), 0
-    while at < len(starts):
-        origin = starts[at]
-        to = max(int(np.searchsorted(ends, origin + _BLOCK, "right")), at + 1)
-        power, inverse = _powers(max(_BLOCK, int(ends[to - 1] - origin)))
-        block = _BYTES[data[origin : ends[to - 1]]]
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(block * power[: len(block)], dtype=np.uint64)])
-        begin, end = starts[at:to] - origin, ends[at:to] - origin
-        out[at:to] = mixed((sums[end] - sums[begin]) * inverse[begin] + (end - begin).astype(np.uint64))
-        at = to
-    return out, np.searchsorted(starts, first)
+    size = ends - starts
+    out = mixed(size.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    eights, at = np.ndarray(len(joined) - 7, "<u8", joined, strides=(1,)), np.arange(len(starts))
+    for j in range(0, LONG, 8):
+        at = at[size[at] > j]
+        if not len(at):
+            break
+        piece = eights[starts[at] + j] & _LOW[np.minimum(size[at] - j, 8)]
+        out[at] = mixed((out[at] ^ piece) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(j + 1))
+    for i in np.flatnonzero(size > LONG):
+        out[i] = xxhash.xxh3_64_intdigest(joined[starts[i] : ends[i]])
+    bounds = np.searchsorted(starts, first)
+    keep = ~space
+    keep[1:] |= ~space[:-1]  # every word and one space after it
+    plain, place = np.where(space, np.uint8(32), data)[keep].tobytes(), np.cumsum(np.concatenate([[0], size + 1]))[bounds]
+    keys = [hashlib.blake2b(plain[a:b], digest_size=16).digest() if b > a else None for a, b in zip(place[:-1], place[1:], strict=True)]
+    return out, bounds, keys
+
+
+def pieces(batches: Iterator[pa.RecordBatch], *texts: str, rows: int = 500, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, of at most ``rows`` rows and ``size`` bytes in the columns ``texts`` (a longer row is alone)."""
+    for batch in batches:
+        ends, at = np.zeros(len(batch), np.int64), 0
+        for c in texts:
+            ends += pc.fill_null(pc.binary_length(batch[c]), 0).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(ends)
+        while at < len(batch):
+            to = int(np.searchsorted(ends, size + (ends[at - 1] if at else 0), "right"))
+            to = min(max(to, at + 1), at + rows)
+            yield batch.slice(at, to - at)
+            at = to
 
 
 def extended(df: DataFrame, **kinds: str) -> T.StructType:
@@ -81,10 +97,13 @@ def extended(df: DataFrame, **kinds: str) -> T.StructType:
     return T.StructType([*df.schema.fields, *(T.StructField(c, T.DataType.fromDDL(kind)) for c, kind in kinds.items())])
 
 
-def small(df: DataFrame, limit: int = 100_000) -> DataFrame:
-    """df, written, with a broadcast hint if it has at most ``limit`` rows; a larger one is joined by shuffle."""
+def small(df: DataFrame, limit: int = 100_000, most: int = 64 << 20) -> DataFrame:
+    """df, written, with a broadcast hint if it has at most ``limit`` rows and about ``most`` bytes; a larger one is joined by shuffle."""
     df = written(df, "small")
-    return F.broadcast(df) if df.count() <= limit else df
+    fields = [(f.name, f.dataType) for f in df.schema.fields]
+    width = sum((F.coalesce(F.octet_length(n), F.lit(0)) if isinstance(t, (T.StringType, T.BinaryType)) else F.lit(32 if isinstance(t, T.StructType) else 8) for n, t in fields), F.lit(16))
+    told = df.agg(F.count("*").alias("n"), F.coalesce(F.sum(width), F.lit(0)).alias("bytes")).first()
+    return F.broadcast(df) if told["n"] <= limit and told["bytes"] <= most else df
 
 
 def text_of(docs: DataFrame, *names: str) -> DataFrame:

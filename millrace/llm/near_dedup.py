@@ -7,7 +7,10 @@ for any one order. Inverted lists of retained values give candidate pairs with t
 sketches holds of one set only bounds the similarity, and the full sets of both texts decide.
 
 Lists are never expanded into all pairs first: each list's members meet its representative, links found so merge
-classes, and only pairs that lie in different classes of a list remain for the last, complete round.
+classes, and only pairs that lie in different classes of a list remain for the last, complete round. There, two sets meet
+in a value only if it is among the first that their own two sizes call for: sets of sizes a and b need an intersection of
+at least i = ceil(t (a + b) / (1 + t)), so that the first a - i + 1 values of one and b - i + 1 of the other share one. A
+member whose own changes fill these places meets nobody.
 """
 
 from __future__ import annotations
@@ -16,11 +19,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mixed, small, space_words, text_of, word_hashes, written
+from .common import mixed, pieces, small, space_words, text_of, word_hashes, written
 
 #: A value in more sketches than this counts as frequent and is ordered last.
 FREQUENT = 12
@@ -42,8 +44,8 @@ BLOCK = 64
 
 def shingle_sets(texts: list[str | None], width: int) -> tuple[list[np.ndarray], list[bytes | None]]:
     """For each text, sorted distinct 64-bit hashes of the word shingles (of the whole sequence where it is shorter; none
-    without words), and a digest of the sequence of words (None without words)."""
-    words, ends = word_hashes(texts)
+    without words), and a digest of the words themselves (None without words)."""
+    words, ends, keys = word_hashes(texts)
 
     def joined(h: np.ndarray, n: int) -> np.ndarray:
         out = mixed(h[: len(h) - n + 1] + np.uint64(n))
@@ -52,11 +54,10 @@ def shingle_sets(texts: list[str | None], width: int) -> tuple[list[np.ndarray],
         return out
 
     every = joined(words, width) if len(words) >= width else words[:0]
-    sets, keys = [], []
+    sets = []
     for start, end in zip(ends[:-1], ends[1:], strict=True):
         n = end - start
         sets.append(np.unique(every[start : end - width + 1]) if n >= width else joined(words[start:end], n) if n else words[:0])
-        keys.append(xxhash.xxh3_128_digest(words[start:end].tobytes()) if n else None)
     return sets, keys
 
 
@@ -65,19 +66,12 @@ def retained(n: int, percent: int) -> int:
     return n + percent * n // -100 + 1 if n else 0
 
 
-def _parts(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
-    """The same rows in smaller batches, so that a task holds the objects of a few texts only."""
-    for batch in batches:
-        for at in range(0, len(batch), rows):
-            yield batch.slice(at, rows)
-
-
 def _sketches(width: int, percent: int, frequent):
-    """doc_id, key, n, sketch, and far: whether the sketch's last value is frequent or wasn't among those counted first."""
+    """key, n, sketch and far (whether the sketch's last value is frequent or wasn't among those counted first) beside other columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, rank = frequent.value
-        for batch in _parts(batches, 500):
+        for batch in pieces(batches, "text"):
             sets, keys = shingle_sets(batch["text"].to_pylist(), width)
             sketches, far = [], []
             for s in sets:
@@ -92,15 +86,16 @@ def _sketches(width: int, percent: int, frequent):
                 far.append(reaches or bool(k and s[k - 1] >= COUNTED))
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in sketches])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sketches)))
-            columns = [batch["doc_id"], pa.array(keys, pa.binary()), pa.array(map(len, sets), pa.int32()), lists, pa.array(far, pa.bool_())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "n", "sketch", "far"])
+            others = [c for c in batch.schema.names if c != "text"]
+            columns = [*(batch[c] for c in others), pa.array(keys, pa.binary()), pa.array(map(len, sets), pa.int32()), lists, pa.array(far, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, [*others, "key", "n", "sketch", "far"])
 
     return run
 
 
 def _values(width: int, low: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _parts(batches, 2000):
+        for batch in pieces(batches, "text", rows=2000, size=8 << 20):
             sets = shingle_sets(batch["text"].to_pylist(), width)[0]
             every = np.concatenate(sets)
             value, count = np.unique(every[(every < COUNTED) == low], return_counts=True)
@@ -136,7 +131,7 @@ def _verified(width: int, percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         near, near_set = None, set()
-        for batch in _parts(batches, 100):
+        for batch in pieces(batches, "text_a", "text_b", rows=100):
             hit = []
             for a, b in zip(batch["text_a"].to_pylist(), batch["text_b"].to_pylist(), strict=True):
                 if a != near:
@@ -149,10 +144,12 @@ def _verified(width: int, percent: int):
     return run
 
 
-def _links(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+def _links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Those pairs (a, b), a table, whose full sets are similar enough. A node a with many pairs is dealt out over several tasks."""
-    ids = small(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), MANY)
-    texts = written(texts.join(ids, "node", "left_semi").groupBy("node", F.md5("text")).agg(F.first("text").alias("text")).select("node", "text"), "texts")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    ids = small(nodes.join(small(ids, MANY), "node").select("node", F.col("doc_id").alias("_dedup_of"), "same"), MANY)
+    texts = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_dedup_of")) & (F.xxhash64("text") == F.col("same")))
+    texts = written(texts.groupBy("node").agg(F.first("text").alias("text")), "texts")
     blocks = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     dealt = pairs.join(blocks, "a").withColumn("block", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int")).drop("blocks")
     left = blocks.join(texts.withColumnsRenamed({"node": "a", "text": "text_a"}), "a")
@@ -161,14 +158,14 @@ def _links(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Data
     return both.select("a", "b", "text_a", "text_b").mapInArrow(_verified(width, percent), "a long, b long").distinct()
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """Connected components of links (a, b): node, root (the smallest node of its component), for nodes with links.
 
-    Rounds of large-star and small-star on edge tables; each round is one written table, and hot nodes are only ever
-    aggregated to their smallest neighbour.
+    Rounds of large-star and small-star on edge tables, until nothing changes; each round is one written table, and hot
+    nodes are only ever aggregated to their smallest neighbour.
     """
     edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "links")
-    for _ in range(rounds):
+    while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").filter("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -183,42 +180,44 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
 
 
 def classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """One row for each row of docs (doc_id, text): doc_id, n_shingles, component_id.
+    """One row for each row of docs (doc_id, text): doc_id, n_shingles, component_id, and same and stays, see below.
 
     component_id is the smallest doc_id that links (100 * intersection >= percent * union of the shingle sets) reach,
-    itself included. Null and empty texts have an empty set and stand alone; rows that repeat a doc_id are placed by their
-    own text, and with different texts may share each other's links; rows without a doc_id stand for the group's id under a negative stand-in and get a null component_id if no
-    row of the group has an id. Other columns of docs are not read.
+    itself included. Null and empty texts have an empty set and stand alone. Rows are told apart by their text as well as
+    their doc_id: where a doc_id repeats with other texts, each is placed by its own text; rows without a doc_id belong to
+    groups as any other and get a null component_id if no row of the group has an id. ``same`` is a hash of the text;
+    ``stays`` marks the one (doc_id, text) of each group that remains of it, the smallest. Other columns of docs are not read.
     """
     spark = docs.sparkSession
     docs = text_of(docs, "doc_id", "text")
-    node = F.coalesce("doc_id", -F.shiftrightunsigned(F.xxhash64("text"), 1) - 2)
-    docs = docs.select(node.alias("doc_id"), F.col("doc_id").isNull().alias("no_id"), "text")
-    sketched = "doc_id long, key binary, n int, sketch array<long>, far boolean"
+    given, sketched = docs.select("doc_id", F.xxhash64("text").alias("same"), "text"), "doc_id long, same long, key binary, n int, sketch array<long>, far boolean"
     ranks = spark.sparkContext.broadcast(_ranked(_frequent(docs, width, True)))
-    rows = written(docs.select("doc_id", "text").mapInArrow(_sketches(width, percent, ranks), sketched), "sketches")
-
-    here = rows.filter("n > 0").select("key", "doc_id")
-    nodes = written(here.groupBy("key").agg(F.min("doc_id").alias("node")), "nodes")
-    copies = small(here.join(nodes, "key").filter("doc_id <> node").select("doc_id", "key"), MANY)
-    single = rows.filter("n > 0").join(copies, ["doc_id", "key"], "left_anti")
+    rows = given.mapInArrow(_sketches(width, percent, ranks), sketched)
+    rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "sketches")
+
+    # Equal sequences of words, by the digest of their bytes, are one node; the row with the smallest doc_id stands for it.
+    own = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "same", "row")).alias("x")
+    nodes = written(rows.filter("n > 0").groupBy("key").agg(own, F.count("*").alias("copies")).select("key", F.col("x.row").alias("node"), "x.no_id", "x.doc_id", "x.same", "copies"), "nodes")
+    copied = small(nodes.filter("copies > 1").select("key", "node"), MANY)
+    single = rows.filter("n > 0").join(copied, "key", "left").filter("node is null or node = row").select(F.col("row").alias("node"), "doc_id", "same", "n", "sketch", "far")
     # Sketches that reach far take up values not counted yet: those are counted now and, where frequent, ordered last too.
     # Other sketches stay as they are, since they end before all values that move.
-    far = small(single.filter("far").select("doc_id").distinct(), MANY)
-    again = docs.select("doc_id", "text").join(far, "doc_id", "left_semi")
+    far = small(single.filter("far").select("node", "doc_id", "same"), MANY)
+    again = given.alias("d").join(far.alias("f"), F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("d.same") == F.col("f.same")))
+    again = again.select("node", "d.doc_id", "d.same", "text")
     parts = _ranked(_frequent(again, width, False)), ranks.value  # of different parts of the range
     values, levels = (np.concatenate(x) for x in zip(*parts, strict=True))
     order = np.argsort(values)
     ranks = spark.sparkContext.broadcast((values[order], levels[order]))
-    again = again.mapInArrow(_sketches(width, percent, ranks), sketched).filter("n > 0")
-    sketches = single.join(far, "doc_id", "left_anti").select("doc_id", "n", "sketch").union(again.select("doc_id", "n", "sketch"))
-    entries = sketches.select(F.col("doc_id").alias("node"), "n", F.posexplode("sketch").alias("pos", "value"))
+    again = again.mapInArrow(_sketches(width, percent, ranks), f"node long, {sketched}")
+    sketches = single.filter("not far").select("node", "n", "sketch").union(again.select("node", "n", "sketch"))
+    entries = sketches.select("node", "n", F.posexplode("sketch").alias("pos", "value"))
     beside = Window.partitionBy("value").orderBy("node")
     entries = entries.withColumns({"before": F.lag("node").over(beside), "after": F.lead("node").over(beside)})
-    entries = written(entries.filter("before is not null or after is not null").drop("before", "after"), "lists")  # retained values that two sketches share at least
+    entries = written(entries.filter("before <> node or after <> node").drop("before", "after"), "lists")  # retained values that two sketches share at least
 
     # share: how much of a sketch other sketches hold; in a group of near copies, the member with the fewest changes has most.
-    active, texts = written(entries.groupBy("node").agg((F.count("*") / F.first("n")).alias("share")), "active"), docs.select(F.col("doc_id").alias("node"), "text")
+    active = written(entries.groupBy("node").agg((F.count("*") / F.first("n")).alias("share")), "active")
     # In each list, the member of the largest class with the most shared sketch meets those outside the class; pairs found
     # similar merge classes, so groups of near copies become one class without meeting pair by pair.
     root, links, total = active.withColumn("root", F.col("node")), None, active.count()
@@ -233,7 +232,7 @@ def classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
             pairs = pairs.groupBy("b").agg(F.max_by("a", F.struct("c", "a")).alias("a"))
         else:
             pairs = pairs.filter(f"{STRONG} * c * 100 >= (100 - {percent}) * n")
-        found = written(_links(written(pairs.select("a", "b"), "pairs"), texts, width, percent), "found")
+        found = written(_links(written(pairs.select("a", "b"), "pairs"), nodes, docs, width, percent), "found")
         links = found if links is None else links.union(found)
         left, right = (root.select(F.col("node").alias(n), F.col("root").alias(f"r{n}")) for n in "ab")
         merged = components(found.join(left, "a").join(right, "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))).toDF("root", "least")
@@ -248,34 +247,46 @@ def classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     here = written(here.join(largest, "value"), "open")
     few = here.filter("root <> top").select("value", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.col("pos").alias("pa"))
     meets = few.join(here, "value").filter(f"ra <> root and a <> node and (root = top or a < node) and 100 * least(n, na) >= {percent} * greatest(n, na)")
+    # The value must be among the first that these two sizes call for.
+    beyond = f"(({percent} * (n + na) + {99 + percent}) div {100 + percent})"
+    meets = meets.filter(f"pa <= na - {beyond} and pos <= n - {beyond}")
     # What precedes a common value in both, and what follows it, bounds the intersection.
     meets = meets.filter(f"(least(pa, pos) + least(na - pa, n - pos)) * {100 + percent} >= {percent} * (n + na)")
-    # Of two sketches, the one whose last value comes first lies whole within the reach of the other: its values that aren't
+    # Of two such beginnings, the one whose last value comes first lies whole within the reach of the other: its values that aren't
     # common, and those of the other up to the last common one, are outside the intersection, a bound for the whole sets.
     ends = [F.when(F.col("a") < F.col("node"), F.struct(F.col(x).alias("n"), F.col(y).alias("pos"))).otherwise(F.struct(F.col(z).alias("n"), F.col(w).alias("pos"))) for x, y, z, w in (("na", "pa", "n", "pos"), ("n", "pos", "na", "pa"))]
     meets = meets.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"), ends[0].alias("x"), ends[1].alias("y"))
     grouped = meets.groupBy("a", "b", F.col("x.n").alias("na"), F.col("y.n").alias("nb")).agg(F.count("*").alias("c"), F.max("x.pos").alias("pa"), F.max("y.pos").alias("pb"))
-    size = "({0} - ({1} * {0} + 99) div 100 + 1)"
-    bound = F.expr(f"greatest(least(na - {size.format('na', percent)}, nb - pb - 1), least(na - pa - 1, nb - {size.format('nb', percent)})) + c")
-    near = grouped.filter(bound * (100 + percent) >= percent * (F.col("na") + F.col("nb"))).select("a", "b").distinct()
-    found = _links(written(near, "rest"), texts, width, percent)
+    grouped = grouped.withColumn("need", F.expr(f"({percent} * (na + nb) + {99 + percent}) div {100 + percent}"))
+    bound = F.expr("greatest(least(need - 1, nb - pb - 1), least(na - pa - 1, need - 1)) + c")
+    near = grouped.filter(bound >= F.col("need")).select("a", "b").distinct()
+    found = _links(written(near, "rest"), nodes, docs, width, percent)
     known = components(written(links.union(found), "all-links"))
 
-    by_key = nodes.select("key", "node").join(known, "node", "left").select("key", F.coalesce("root", "node").alias("root"))
-    least_id = rows.select("key", "doc_id").filter("key is not null").join(by_key, "key")
-    ids = docs.filter("no_id").select("doc_id").distinct().withColumn("no_id", F.lit(True))
-    smallest = least_id.join(ids, "doc_id", "left").groupBy("root").agg(F.min(F.when(F.col("no_id").isNull(), F.col("doc_id"))).alias("component_id"))
-    out = rows.select("doc_id", "key", F.col("n").cast("long").alias("n_shingles")).join(by_key, "key", "left").join(smallest, "root", "left").join(ids, "doc_id", "left")
-    own = F.when(F.col("no_id").isNull(), F.col("doc_id"))
-    return out.select(own.alias("doc_id"), "n_shingles", F.when(F.col("root").isNull(), own).otherwise(F.col("component_id")).alias("component_id"))
+    # One row for each text first, so that copies of a text meet only what stands for them; texts without links or copies need nothing.
+    placed = nodes.join(known, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = F.min(F.struct("no_id", "doc_id", "same")).alias("least")
+    least = placed.groupBy("root").agg(least, F.sum("copies").alias("rows")).filter("rows > 1")
+    placed = small(placed.select("key", "root").join(least, "root").select("key", "least"), MANY)
+    out = rows.select("doc_id", "same", "key", F.col("n").cast("long").alias("n_shingles")).join(placed, "key", "left")
+    stays = F.col("least").isNull() | (F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("same") == F.col("least.same")))
+    return out.select("doc_id", "n_shingles", F.when(F.col("least").isNull(), F.col("doc_id")).otherwise(F.col("least.doc_id")).alias("component_id"), "same", stays.alias("stays"))
 
 
 def kept(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """classes() with ``kept``: true for the one document that stays of each component (null ids: where no row has one)."""
-    return classes(docs, width, percent).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    """classes() with ``kept``: true for the document that stays of each component (null ids: where no row has one)."""
+    return classes(docs, width, percent).drop("same", "stays").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def deduplicated(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """docs without the rows that kept() denies. Rows without a doc_id stay, since no result can name them."""
-    gone = written(kept(docs, width, percent).filter("not kept and doc_id is not null").select("doc_id").distinct(), "duplicates")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """One row of docs for each component, that with the smallest doc_id; rows without words all stay."""
+    told = written(classes(docs, width, percent), "classes")
+    said = [F.col("doc_id").alias("_dedup_of"), F.col("same").alias("_dedup_same")]
+    here = F.col("doc_id").cast("long").eqNullSafe(F.col("_dedup_of")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_dedup_same"))
+    gone = told.filter("not stays").select(*said).distinct()
+    repeated = written(told.filter("stays and n_shingles > 0").groupBy("doc_id", "same").count().filter("count > 1").select(*said), "repeated")
+    left = docs.join(small(gone, MANY), here, "left_anti")
+    if repeated.isEmpty():
+        return left.select(docs.columns)
+    once = left.join(repeated, here, "left_semi").dropDuplicates(["doc_id", "text"])
+    return left.join(repeated, here, "left_anti").select(docs.columns).unionByName(once.select(docs.columns))

@@ -1,8 +1,11 @@
 """Operators against brute force, round trips, and the cases every operator must bear."""
 
+import gzip
 import hashlib
+import json
 import random
 import re
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -67,7 +70,7 @@ def test_near_dedup_odd_rows(spark):
     t = say(30)
     rows = spark.createDataFrame([(None, t), (5, t), (5, t), (7, None), (None, None)], "doc_id long, text string")
     got = sorted((r.doc_id or -1, r.component_id or -1) for r in near_dedup.classes(rows).collect())
-    assert got == [(-1, -1), (-1, 5), (5, 5), (5, 5), (7, 7)]
+    assert got == [(-1, -1), (-1, 5), (5, 5), (5, 5), (7, 7)], got
     assert near_dedup.classes(rows.limit(0)).count() == 0
 
 
@@ -263,6 +266,23 @@ def test_warc_round_trip(spark):
     assert got == sorted(want, key=str)
 
 
+def test_warc_ids_and_rolling(spark, monkeypatch):
+    rows = [(1, "http://a", "x" * 150), (1, "http://a", "x" * 150), (1, "http://b", "x" * 150), (2, None, "x" * 150), (None, None, "")] * 2 + [(i, f"http://h/{i}", say(60)) for i in range(10, 30)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for many in (warc.MANY_FILES, 1):  # first keys in the tasks, and keys joined
+        monkeypatch.setattr(warc, "MANY_FILES", many)
+        folder = common.scratch(spark, "t")
+        done = {r.file: r for r in warc.write(pages, folder, roll=1500).collect()}
+        ids, said = [], (Path(folder.removeprefix("file://")) / "MANIFEST.json").read_text().splitlines()
+        for name, r in done.items():
+            data = (Path(folder.removeprefix("file://")) / name).read_bytes()
+            assert len(data) == r.bytes and hashlib.sha256(data).hexdigest() == r.sha256
+            ids += re.findall(rb"WARC-Record-ID: (\S+)", gzip.decompress(data))
+        assert len(ids) == len(set(ids)) == len(rows) and len(done) > 3
+        assert [json.loads(x)["file"] for x in said[1:]] == sorted(done) and json.loads(said[0])["records"] == len(rows)
+        assert not list((Path(folder.removeprefix("file://")) / "_temporary").iterdir())
+
+
 def test_warc_files_do_not_depend_on_partitions(spark):
     pages = spark.createDataFrame([(i, f"http://h/{i}", say(50)) for i in range(60)], "page_id long, url string, html string")
     sums = []
@@ -302,3 +322,39 @@ def test_pipeline(spark, tmp_path):
     assert sorted(r.doc_id for r in docs.collect()) == [*range(3, 33), 34]
     assert all("[EMAIL]" in r.text and r.n_chars == len(r.text) for r in docs.collect() if r.doc_id < 33)
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} <= {*range(3, 33), 34}
+
+
+def test_near_dedup_words_of_equal_polynomials(spark):
+    """The Thue-Morse word over a and b and its complement have equal polynomial hashes modulo 2**64, and nothing in common."""
+    word = "".join("ab"[i.bit_count() % 2] for i in range(512))
+    other = word.translate(str.maketrans("ab", "ba"))
+    got = {r.doc_id: r for r in near_dedup.kept(spark.createDataFrame([(1, word), (2, other), (3, word.upper())], "doc_id long, text string"), 3, 85).collect()}
+    assert [got[i].component_id for i in (1, 2, 3)] == [1, 2, 1]
+
+
+def test_components_of_a_long_chain(spark):
+    links = spark.range(1000).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    got = near_dedup.components(links)
+    assert got.count() == 1000 and got.filter("root <> 0").count() == 0  # all but the root itself
+
+
+def test_near_dedup_group_about_the_threshold(spark):
+    """A large group whose members' changes leave some just above and some just below the threshold to all others."""
+    text, rng, texts = say(160).split(), random.Random(2), []
+    for _ in range(150):
+        w = list(text)
+        for i in rng.sample(range(len(w)), rng.choice([0, 1, 3, 5, 7])):
+            w[i] = f"c{rng.random()}"
+        texts.append(" ".join(w))
+    sets = [{tuple(t.split()[i : i + 3]) for i in range(158)} for t in texts]
+    want = links(sets, 85)
+    got = {r.doc_id: r.component_id for r in near_dedup.kept(docs_of(spark, texts), 3, 85).collect()}
+    assert [got[i] for i in range(len(texts))] == want and 1 < len(set(want)) < 150
+
+
+def test_deduplicated_keeps_one_row_of_each_group(spark):
+    t, other = say(30), say(40)
+    rows = [(None, t, 1), (None, t, 1), (3, t, 2), (3, t, 2), (3, other, 3), (None, "solo words here", 4), (None, "solo words here", 4), (8, None, 5), (8, "", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, node int")
+    got = sorted(((r.doc_id, r.text, r.node) for r in near_dedup.deduplicated(docs).collect()), key=str)
+    assert got == sorted([(3, t, 2), (3, other, 3), (None, "solo words here", 4), (8, None, 5), (8, "", 5)], key=str)
