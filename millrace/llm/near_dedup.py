@@ -158,6 +158,23 @@ def _links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, perc
     return both.select("a", "b", "text_a", "text_b").mapInArrow(_verified(width, percent), "a long, b long").distinct()
 
 
+def _near(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Those pairs (a, b), a table, which the union of both sketches leaves possible.
+
+    Of two sketches, the one whose last value comes first lies whole within the reach of the other: its values that aren't
+    common, and those of the other up to the last common one, are outside the intersection.
+    """
+    ids = small(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), MANY)
+    sketches = written(sketches.join(ids, "node", "left_semi"), "asked")
+    x, y = (sketches.toDF(c, f"n{c}", f"s{c}") for c in "ab")
+    both = pairs.join(x, "a").join(y, "b").withColumn("common", F.array_intersect("sa", "sb")).withColumn("c", F.size("common")).filter("c > 0")
+    at = {x: F.expr(f"cast(array_position(s{x}, element_at(common, -1)) as int)") for x in "ab"}  # from 1
+    first = F.least(F.expr("na - size(sa)"), F.col("nb") - at["b"])
+    second = F.least(F.col("na") - at["a"], F.expr("nb - size(sb)"))
+    most = F.greatest(first, second) + F.col("c")
+    return both.filter(most * (100 + percent) >= percent * (F.col("na") + F.col("nb"))).select("a", "b")
+
+
 def components(links: DataFrame) -> DataFrame:
     """Connected components of links (a, b): node, root (the smallest node of its component), for nodes with links.
 
@@ -209,8 +226,8 @@ def classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     values, levels = (np.concatenate(x) for x in zip(*parts, strict=True))
     order = np.argsort(values)
     ranks = spark.sparkContext.broadcast((values[order], levels[order]))
-    again = again.mapInArrow(_sketches(width, percent, ranks), f"node long, {sketched}")
-    sketches = single.filter("not far").select("node", "n", "sketch").union(again.select("node", "n", "sketch"))
+    again = written(again.mapInArrow(_sketches(width, percent, ranks), f"node long, {sketched}").select("node", "n", "sketch"), "far")
+    sketches = single.filter("not far").select("node", "n", "sketch").union(again)
     entries = sketches.select("node", "n", F.posexplode("sketch").alias("pos", "value"))
     beside = Window.partitionBy("value").orderBy("node")
     entries = entries.withColumns({"before": F.lag("node").over(beside), "after": F.lead("node").over(beside)})
@@ -252,14 +269,11 @@ def classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     meets = meets.filter(f"pa <= na - {beyond} and pos <= n - {beyond}")
     # What precedes a common value in both, and what follows it, bounds the intersection.
     meets = meets.filter(f"(least(pa, pos) + least(na - pa, n - pos)) * {100 + percent} >= {percent} * (n + na)")
-    # Of two such beginnings, the one whose last value comes first lies whole within the reach of the other: its values that aren't
-    # common, and those of the other up to the last common one, are outside the intersection, a bound for the whole sets.
-    ends = [F.when(F.col("a") < F.col("node"), F.struct(F.col(x).alias("n"), F.col(y).alias("pos"))).otherwise(F.struct(F.col(z).alias("n"), F.col(w).alias("pos"))) for x, y, z, w in (("na", "pa", "n", "pos"), ("n", "pos", "na", "pa"))]
-    meets = meets.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"), ends[0].alias("x"), ends[1].alias("y"))
-    grouped = meets.groupBy("a", "b", F.col("x.n").alias("na"), F.col("y.n").alias("nb")).agg(F.count("*").alias("c"), F.max("x.pos").alias("pa"), F.max("y.pos").alias("pb"))
-    grouped = grouped.withColumn("need", F.expr(f"({percent} * (na + nb) + {99 + percent}) div {100 + percent}"))
-    bound = F.expr("greatest(least(need - 1, nb - pb - 1), least(na - pa - 1, need - 1)) + c")
-    near = grouped.filter(bound >= F.col("need")).select("a", "b").distinct()
+    pairs = meets.groupBy(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).agg(F.first("n").alias("n"), F.first("na").alias("na"), F.count("*").alias("c"), F.max(F.least("pa", "pos")).alias("at"))
+    # Of the two beginnings, the one whose last value comes first lies whole within the reach of the other: what it holds up
+    # to the last common value isn't common but for these.
+    pairs = written(pairs.filter(f"greatest(n, na) - at - 1 + c >= {beyond}").select("a", "b"), "met")
+    near = _near(pairs, sketches, percent)
     found = _links(written(near, "rest"), nodes, docs, width, percent)
     known = components(written(links.union(found), "all-links"))
 
