@@ -17,23 +17,28 @@ def latest_contract(contracts: DataFrame) -> DataFrame:
     return contracts.filter("active").withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 
-def guard(calls: DataFrame, contracts: DataFrame, chunks: DataFrame, min_conf: float = 0.7) -> DataFrame:
+def guard(calls: DataFrame, contracts: DataFrame, chunks: DataFrame, min_conf: float = 0.7, approvals: DataFrame | None = None) -> DataFrame:
     """calls with guardrail_result (passed, reasons) of seven checks, and needs_approval and escalate.
 
     calls: tool_call_id, tenant_id, agent_id, agent_tenant_id, tool_name, output, text, confidence, tags, flags, sources.
-    A missing value fails its check. sources are matched with chunk ids by a join, once for each distinct pair.
+    A missing value fails its check. sources are matched with chunk ids by a join. approvals: tool_call_id, status; a discount
+    or refund that is approved passes.
     """
-    cited = calls.select("tool_call_id", F.explode_outer("sources").alias("chunk_id")).filter("chunk_id is not null").distinct()
+    cited = calls.select("tool_call_id", F.explode_outer("sources").alias("chunk_id")).filter("chunk_id is not null")
     missing = cited.join(chunks.select("chunk_id").distinct(), "chunk_id", "left_anti").select("tool_call_id").distinct().withColumn("_missing", F.lit(True))
     c = latest_contract(contracts).select("agent_id", "allowed_tools", "requires_approval", "must_escalate_when", F.map_keys(F.from_json("output_schema", "map<string,string>")).alias("_needs"))
     df = calls.join(c, "agent_id", "left").join(missing, "tool_call_id", "left")
+    told = F.lit(False)
+    if approvals is not None:
+        yes = approvals.filter("status = 'approved'").select("tool_call_id", F.lit(True).alias("_approved")).distinct()
+        df, told = df.join(yes, "tool_call_id", "left"), F.coalesce("_approved", F.lit(False))
     keys = F.coalesce(F.json_object_keys("output"), F.array().cast("array<string>"))
     checks = {
         "tenant": F.col("tenant_id") == F.col("agent_tenant_id"),
         "permission": F.array_contains("allowed_tools", F.col("tool_name")),
         "schema": F.size(F.array_except("_needs", keys)) == 0,
         "internal_info": ~F.coalesce(F.col("text"), F.lit("")).rlike("(?i)" + INTERNAL),
-        "discount_or_refund": ~F.arrays_overlap("tags", F.array(F.lit("discount"), F.lit("refund"))),
+        "discount_or_refund": told | ~F.arrays_overlap("tags", F.array(F.lit("discount"), F.lit("refund"))),
         "confidence": F.col("confidence") >= min_conf,
         "source": F.col("_missing").isNull(),
     }

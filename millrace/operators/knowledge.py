@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import cosine, strip_tags
+from ..functions import dot, strip_tags, unit_vector
 
-#: Rows of a query set up to which it is sent to all tasks.
+#: Rows of a query set that are sent to all tasks at once.
 QUERY_ROWS = 20_000
 #: Words, and which of them are names.
 WORD, NAME = r"\p{L}+", r"^\p{Lu}\p{Ll}+$"
@@ -34,19 +36,22 @@ def links(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", host.alias("host"), F.regexp_count("html", F.lit('href="')).cast("long").alias("n_links"), F.length(strip_tags(F.col("html"))).cast("long").alias("text_chars"))
 
 
-def top_cosine(queries: DataFrame, vectors: DataFrame, k: int = 5, floor: float = -1.0) -> DataFrame:
+def top_cosine(queries: DataFrame, vectors: DataFrame, k: int = 5, floor: float = -1.0, block: int = QUERY_ROWS) -> DataFrame:
     """query_id, vec_id, score, rank: the k best vectors of each query, from ``floor`` on.
 
-    The query set is counted and must be small; it goes to every task, which keeps its own best k for each query before
-    anything is shuffled. Ties go to the smaller vec_id.
+    The query set is counted and goes to every task, in blocks if it is large (a scan of the vectors for each); tasks keep
+    their own best k for each query before anything is shuffled. Lengths are taken out once for each vector. Ties go to the
+    smaller vec_id.
     """
-    n = queries.count()
-    if n > QUERY_ROWS:
-        raise ValueError(f"{n} queries at once; give at most {QUERY_ROWS}")
-    q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    scored = vectors.join(F.broadcast(q), F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(cosine("q", "embedding"), 4).alias("score"))
+    unit = lambda df, names: df.select("vec_id", unit_vector("embedding").alias("u")).filter("u is not null").toDF(*names)
+    q, v, blocks = unit(queries, ("query_id", "q")), unit(vectors, ("vec_id", "u")), -(-queries.count() // block)
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return scored.filter(F.col("score") >= floor).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    parts = []
+    for i in range(max(1, blocks)):
+        some = q if blocks < 2 else q.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
+        scored = v.join(F.broadcast(some), F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(dot("q", "u"), 4).alias("score"))
+        parts.append(scored.filter(F.col("score") >= floor).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def answer(found: DataFrame, queries: DataFrame, floor: float) -> DataFrame:

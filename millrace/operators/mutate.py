@@ -20,6 +20,17 @@ def upsert(current: DataFrame, changes: DataFrame, keys: list[str], order: list[
     return kept.unionByName(last.filter(F.coalesce(F.col("op"), F.lit("upsert")) != "delete").select(current.columns))
 
 
+def patch(current: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
+    """current with the other columns of changes in place of its own for rows with a key of changes; keys must be unique there.
+
+    Other rows and columns stay as they are; a null in changes is set as such; keys that current lacks change nothing.
+    """
+    new = [c for c in changes.columns if c not in keys]
+    marked = changes.select(*keys, *(F.col(c).alias(f"_new_{c}") for c in new), F.lit(True).alias("_found"))
+    out = current.join(marked, keys, "left")
+    return out.select(*(F.when(F.col("_found"), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in current.columns))
+
+
 def erase(tables: dict[str, DataFrame], column: str, ids: DataFrame) -> dict[str, DataFrame]:
     """All tables without the rows of those ids, in the tables that have the column."""
     return {n: t.join(ids.select(column).distinct(), column, "left_anti").select(t.columns) if column in t.columns else t for n, t in tables.items()}
@@ -42,10 +53,11 @@ def run_prefix(results: DataFrame, order: str, ok: str, has_run: str) -> DataFra
     return results.withColumn("status", status)
 
 
-def migrate(names: list[str], steps: dict[str, Callable[[DataFrame], DataFrame | None]], applied: set[str], df: DataFrame) -> tuple[DataFrame, list[tuple[str, str]]]:
+def migrate(names: list[str], steps: dict[str, Callable[[DataFrame], DataFrame | None]], applied: set[str], df: DataFrame, reasons: dict[str, str] | None = None) -> tuple[DataFrame, list[tuple[str, str]]]:
     """Applies registered steps in order of their names to df, until one fails; returns df and each name's status.
 
-    A step returns the new DataFrame, or None if it changes nothing; anything else is a failure, as is an exception.
+    A step returns the new DataFrame, or None if it changes nothing; anything else is a failure, as is an exception. reasons:
+    a dictionary that gets why a step failed.
     """
     said, stopped = [], False
     for name in sorted(n for n in names if n not in applied):
@@ -56,39 +68,67 @@ def migrate(names: list[str], steps: dict[str, Callable[[DataFrame], DataFrame |
         else:
             try:
                 out = steps[name](df)
-            except Exception:
-                out = False
+                why = f"returned {type(out).__name__}"
+            except Exception as error:
+                out, why = False, f"{type(error).__name__}: {error}"
             stopped = out is not None and not isinstance(out, DataFrame)
+            if stopped and reasons is not None:
+                reasons[name] = why
             df = df if stopped or out is None else out
             said.append((name, "failed" if stopped else "applied"))
     return df, said
 
 
-def fold_status(events: DataFrame, key: str, order: list[str], transitions: dict[str, list[str]], start: str) -> DataFrame:
-    """key, status, n_ignored: events (key, to, order) folded in order; transitions that aren't allowed are ignored and counted.
+def _states(transitions: dict[str, list[str]], start: str) -> list[str]:
+    return sorted({start, *transitions, *(b for bs in transitions.values() for b in bs)})
 
-    Events are range-partitioned by key and order. Each range's events of a key make one map from every state to the state
-    and count they lead to; a key's few maps are applied in order, so that no task needs a key's whole history.
-    """
+
+def _begin(state: Column) -> Column:
+    return F.struct(state.alias("status"), F.lit(0).cast("long").alias("n_ignored"))
+
+
+def _follow(states: list[str]) -> Callable[[Column, Column], Column]:
+    """The state and count that a map leads a state and count to; without a map they stay."""
+
+    def step(s: Column, part: Column) -> Column:
+        to = F.element_at(part["to"], F.array_position(F.array(*map(F.lit, states)), s["status"]).cast("int"))
+        return F.struct(F.coalesce(to["status"], s["status"]).alias("status"), (s["n_ignored"] + F.coalesce(to["n_ignored"], F.lit(0))).alias("n_ignored"))
+
+    return step
+
+
+def _parts(events: DataFrame, key: str, order: list[str], transitions: dict[str, list[str]], start: str) -> DataFrame:
+    """key, _p: for each key its maps in order, one of each range of events, from every state to the state and count it leads to."""
     allowed = F.create_map(*(F.lit(x) for a, bs in transitions.items() for b in bs for x in (f"{a}>{b}", True)))
-    states = sorted({start, *transitions, *(b for bs in transitions.values() for b in bs)})
     ranged = events.select(key, *order, "to").repartitionByRange(key, *order, "to").withColumn("_part", F.spark_partition_id())
     rows = ranged.groupBy(key, "_part").agg(F.array_sort(F.collect_list(F.struct(*order, "to"))).alias("_e"))
 
-    def begin(state: str) -> Column:
-        return F.struct(F.lit(state).alias("status"), F.lit(0).cast("long").alias("n_ignored"))
-
     def step(s: Column, e: Column) -> Column:
         ok = F.coalesce(F.element_at(allowed, F.concat(s["status"], F.lit(">"), e["to"])), F.lit(False))
         return F.struct(F.when(ok, e["to"]).otherwise(s["status"]).alias("status"), (s["n_ignored"] + F.when(ok, 0).otherwise(1)).cast("long").alias("n_ignored"))
 
-    def follow(s: Column, part: Column) -> Column:
-        to = F.element_at(part["to"], F.array_position(F.array(*map(F.lit, states)), s["status"]).cast("int"))
-        return F.struct(to["status"].alias("status"), (s["n_ignored"] + to["n_ignored"]).alias("n_ignored"))
+    maps = rows.select(key, "_part", F.array(*(F.aggregate("_e", _begin(F.lit(s)), step) for s in _states(transitions, start))).alias("to"))
+    return maps.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_part", "to"))).alias("_p"))
+
 
-    maps = rows.select(key, "_part", F.array(*(F.aggregate("_e", begin(s), step) for s in states)).alias("to"))
-    parts = maps.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_part", "to"))).alias("_p"))
-    return parts.select(key, F.aggregate("_p", begin(start), follow).alias("s")).select(key, "s.status", "s.n_ignored")
+def fold_status(events: DataFrame, key: str, order: list[str], transitions: dict[str, list[str]], start: str) -> DataFrame:
+    """key, status, n_ignored: events (key, to, order) folded in order; transitions that aren't allowed are ignored and counted.
+
+    Events are range-partitioned by key and order. Each range's events of a key make one map from every state to the state
+    and count they lead to; a key's few maps are applied in order, so that no task needs a key's whole history.
+    """
+    parts = _parts(events, key, order, transitions, start)
+    return parts.select(key, F.aggregate("_p", _begin(F.lit(start)), _follow(_states(transitions, start))).alias("s")).select(key, "s.status", "s.n_ignored")
+
+
+def advance(current: DataFrame, events: DataFrame, key: str, order: list[str], transitions: dict[str, list[str]], start: str) -> DataFrame:
+    """current (key, status, n_ignored) after further events, which come later than those it has seen; new keys begin at start."""
+    parts = _parts(events, key, order, transitions, start).withColumnRenamed(key, "_key")
+    both = current.join(parts, F.col(key).eqNullSafe(F.col("_key")), "full")
+    known = F.struct(F.coalesce("status", F.lit(start)).alias("status"), F.coalesce("n_ignored", F.lit(0).cast("long")).alias("n_ignored"))
+    none = F.array().cast(both.schema["_p"].dataType)
+    s = F.aggregate(F.coalesce("_p", none), known, _follow(_states(transitions, start)))
+    return both.select(F.coalesce(key, "_key").alias(key), s.alias("s")).select(key, "s.status", "s.n_ignored")
 
 
 def validate(df: DataFrame, rules: list[tuple[str, Column, str]]) -> DataFrame:

@@ -94,7 +94,7 @@ def unanswered_conversations(spark, d):
 where o_orderstatus = 'O' and date_diff('day', o_orderdate, (select max(o_orderdate) from orders)) > 90""")
 def overdue_open_orders(spark, d):
     orders = table(spark, d, "orders")
-    now = F.lit(orders.agg(F.max("o_orderdate")).first()[0])
+    now = orders.agg(F.max("o_orderdate")).scalar()
     return analytics.overdue(orders.filter("o_orderstatus = 'O'"), "o_orderdate", now, 90).select("o_orderkey", "age_days")
 
 
@@ -282,7 +282,7 @@ select event_id, list_filter([
 def _guarded(spark, d):
     """Tool calls made of events: the keyed number k sets what each call violates."""
     k = F.get_json_object("props", "$.k").cast("int")
-    calls = table(spark, d, "events").select(F.col("event_id").alias("tool_call_id"), F.lit("t1").alias("tenant_id"), F.when(F.col("user_id") % 50 == 0, "t2").otherwise("t1").alias("agent_tenant_id"), F.lit("a").alias("agent_id"), F.col("event_type").alias("tool_name"), F.when(k % 10 == 0, '{"x":1}').otherwise('{"summary":1}').alias("output"), F.when(k % 13 == 0, "token = x").otherwise("fine").alias("text"), (k / 100.0).cast("double").alias("confidence"), F.when(k % 17 == 0, F.array(F.lit("refund"))).otherwise(F.array(F.lit("reply"))).alias("tags"), F.when(k % 19 == 0, F.array(F.lit("legal"))).otherwise(F.array(F.lit("calm"))).alias("flags"), F.array(k).cast("array<string>").alias("sources"))
+    calls = table(spark, d, "events").select(F.col("event_id").alias("tool_call_id"), F.lit("t1").alias("tenant_id"), F.col("ts").alias("created_at"), F.when(F.col("user_id") % 50 == 0, "t2").otherwise("t1").alias("agent_tenant_id"), F.lit("a").alias("agent_id"), F.col("event_type").alias("tool_name"), F.when(k % 10 == 0, '{"x":1}').otherwise('{"summary":1}').alias("output"), F.when(k % 13 == 0, "token = x").otherwise("fine").alias("text"), (k / 100.0).cast("double").alias("confidence"), F.when(k % 17 == 0, F.array(F.lit("refund"))).otherwise(F.array(F.lit("reply"))).alias("tags"), F.when(k % 19 == 0, F.array(F.lit("legal"))).otherwise(F.array(F.lit("calm"))).alias("flags"), F.array(k).cast("array<string>").alias("sources"))
     contract = spark.createDataFrame([("a", "1", ["view", "click", "signup"], ["refund"], ["legal"], '{"summary":"string"}', True, 1)], "agent_id string, version string, allowed_tools array<string>, requires_approval array<string>, must_escalate_when array<string>, output_schema string, active boolean, created_at int")
     return harness.guard(calls, contract, spark.range(90).select(F.col("id").cast("string").alias("chunk_id")), 0.2)
 
@@ -299,25 +299,22 @@ def route_response(spark, d):
 
 @query("select item_id, count(*) docs from documents join benchmark b on contains(documents.text, b.text) group by 1")
 def eval_contains(spark, d):
-    """Each passage's whole first eight words pick the documents to compare, so that the containment test isn't all pairs."""
-    docs, cases = table(spark, d, "documents"), table(spark, d, "benchmark")
-    n, words = 8, F.filter(F.split("text", r"[^A-Za-zÀ-ÿ]+"), lambda w: w != "")
-    grams = F.expr(f"array_distinct(transform(sequence(1, size(w) - {n - 1}), i -> xxhash64(array_join(slice(w, i, {n}), ' '))))")
-    many = docs.select("doc_id", "text", words.alias("w")).filter(F.size("w") >= n).select("doc_id", F.explode(grams).alias("g"))
-    inner = F.expr(f"xxhash64(array_join(slice(w, 2, {n}), ' '))")  # the first word may be part of a longer one
-    keyed = cases.select("item_id", words.alias("w")).filter(F.size("w") >= n + 2).select("item_id", inner.alias("g"))
-    met = many.join(keyed, "g").select("doc_id", "item_id").distinct()
-    short = cases.select("item_id", F.col("text").alias("passage"), words.alias("w")).filter(F.size("w") < n + 2).drop("w")
-    hits = met.join(docs.select("doc_id", "text"), "doc_id").join(cases.select("item_id", F.col("text").alias("passage")), "item_id").filter(F.contains("text", F.col("passage"))).select("item_id", "doc_id")
-    rest = docs.join(short, F.contains("text", F.col("passage"))).select("item_id", "doc_id") if short.limit(1).count() else hits.limit(0)
-    return analytics.metric_by(hits.unionByName(rest), ["item_id"], docs=F.count("*"))
+    """The longest inner word of each passage picks the documents to compare, so that the containment test isn't all pairs."""
+    docs, cases = table(spark, d, "documents"), table(spark, d, "benchmark").select("item_id", F.col("text").alias("passage"))
+    words = lambda c: F.filter(F.split(c, r"[^A-Za-zÀ-ÿ]+"), lambda w: w != "")
+    inner = F.filter(words("passage"), lambda w, i: (i > 0) & (i < F.size(words("passage")) - 1))  # first and last may be parts of longer words
+    anchor = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    cases = cases.withColumn("w", anchor)
+    met = docs.select("doc_id", F.explode(F.array_distinct(words("text"))).alias("w")).join(cases.filter("w is not null").select("item_id", "w"), "w").select("doc_id", "item_id")
+    hits = met.join(docs.select("doc_id", "text"), "doc_id").join(cases, "item_id").filter(F.contains("text", F.col("passage"))).select("item_id", "doc_id")
+    short = docs.join(cases.filter("w is null"), F.contains("text", F.col("passage"))).select("item_id", "doc_id")  # one or two words
+    return analytics.metric_by(hits.unionByName(short), ["item_id"], docs=F.count("*"))
 
 
 @query(f"select event_id, {_CHANNEL_SQL} channel, user_id from events")
 def unify_inbox(spark, d):
-    e = table(spark, d, "events").select("event_id", F.expr(_CHANNEL).alias("channel"), "user_id")
-    parts = [e.filter(F.col("channel") == c) for c in ("website_chat", "facebook_messenger", "zalo_oa")]
-    return parts[0].unionByName(parts[1], allowMissingColumns=True).unionByName(parts[2], allowMissingColumns=True)
+    """One scan: the channels' rows lie in one table, with the channel as a column."""
+    return table(spark, d, "events").select("event_id", F.expr(_CHANNEL).alias("channel"), "user_id")
 
 
 @query("""select user_id, event_type, value from events where event_type <> 'error' qualify row_number() over (partition by user_id order by ts desc, event_id desc) = 1
@@ -344,22 +341,26 @@ def document_status(spark, d):
     return mutate.fold_status(e, "user_id", ["ts", "event_id"], machine, "pending").drop("n_ignored")
 
 
-@query()
+@query("""with f(filename) as (values ('0002_b.py'), ('0001_a.py'), ('__init__.py'), ('x.txt'), ('0003_c.py')), a(filename) as (values ('0001_a.py'))
+select filename from f where ends_with(filename, '.py') and filename <> '__init__.py' and filename not in (select filename from a)""")
 def migration_pending(spark, d):
     files = spark.createDataFrame([("0002_b.py",), ("0001_a.py",), ("__init__.py",), ("x.txt",), ("0003_c.py",)], "filename string")
     return mutate.pending(files, spark.createDataFrame([("0001_a.py",)], "filename string"))
 
 
-@query()
+@query("""with r(filename, has_run, ok) as (values ('0001_a.py', true, true), ('0002_b.py', true, null), ('0003_c.py', false, null), ('0004_d.py', true, false), ('0005_e.py', true, true)),
+b as (select *, has_run and not coalesce(ok, true) failed, coalesce(bool_or(has_run and not coalesce(ok, true)) over (order by filename rows between unbounded preceding and 1 preceding), false) earlier from r)
+select filename, has_run, ok, case when earlier then 'not_run' when not has_run then 'skipped' when failed then 'failed' else 'applied' end status from b""")
 def migration_prefix_stop(spark, d):
     rows = [("0001_a.py", True, True), ("0002_b.py", True, None), ("0003_c.py", False, None), ("0004_d.py", True, False), ("0005_e.py", True, True)]
     return mutate.run_prefix(spark.createDataFrame(rows, "filename string, has_run boolean, ok boolean"), "filename", "ok", "has_run")
 
 
-@query()
+@query(f"""with v(email, password) as (values ('', 'a'), ('a@b.co', 'secret'), ('a@b', null))
+select email, password, concat_ws(', ', case when not coalesce(regexp_matches(email, '{functions.EMAIL}'), false) then '''email'': invalid email' end, case when coalesce(length(password), 0) < 6 then '''password'': too short' end) message from v""")
 def validation_messages(spark, d):
     df = spark.createDataFrame([("", "a"), ("a@b.co", "secret"), ("a@b", None)], "email string, password string")
-    return mutate.validate(df, [("email", F.col("email").rlike(functions.EMAIL), "invalid email"), ("password", F.length("password") >= 6, "too short")])
+    return mutate.validate(df, [("email", F.col("email").rlike(functions.EMAIL), "invalid email"), ("password", F.length("password") >= 6, "too short")]).drop("errors")
 
 
 @query("select o_orderstatus, o_orderpriority, cast(grouping(o_orderstatus, o_orderpriority) as bigint) g, count(*) n, count(distinct o_custkey) customers from orders group by cube(o_orderstatus, o_orderpriority)")
@@ -391,5 +392,8 @@ def surface_udtf(spark, d):
 from orders join customer on o_custkey = c_custkey group by 1""")
 def customer_rfm(spark, d):
     orders = table(spark, d, "orders")
-    now = F.lit(orders.agg(F.max("o_orderdate")).first()[0])
+    now = orders.agg(F.max("o_orderdate")).scalar()
     return analytics.metric_by(orders.select("o_orderdate", "o_totalprice", F.col("o_custkey").alias("c_custkey")).join(table(spark, d, "customer").select("c_custkey"), "c_custkey"), ["c_custkey"], recency=F.datediff(now, F.max("o_orderdate")).cast("long"), frequency=F.count("*"), monetary=_money("o_totalprice"))
+
+
+from . import product  # noqa: E402, F401  registers its queries

@@ -19,6 +19,23 @@ def table(spark: SparkSession, sf_dir: str, name: str, tenant=None) -> DataFrame
     return df.filter(F.col(TENANT[name]) == F.lit(tenant))
 
 
+def scoped(spark: SparkSession, sf_dir: str, name: str, tenant, columns: dict[str, str] = TENANT) -> DataFrame:
+    """A tenant's rows of a table; columns names the column that holds the tenant, by table. There is no reading without a tenant."""
+    if tenant is None or name not in columns:
+        raise ValueError(f"{name} is read for a tenant only, by one of its columns")
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet").filter(F.col(columns[name]) == F.lit(tenant))
+
+
+def settings(spark: SparkSession, prefix: str, defaults: dict[str, str]) -> dict[str, str]:
+    """The session's settings below a prefix, with defaults for those that aren't set; others are ignored."""
+    return {k: spark.conf.get(f"{prefix}.{k}", v) for k, v in defaults.items()}
+
+
+def facts(spark: SparkSession, rows: list[tuple[str, str, str]]) -> DataFrame:
+    """Facts entered by hand: question, answer, kind."""
+    return spark.createDataFrame(rows, "question string, answer string, kind string")
+
+
 def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as a stream, ts as a timestamp."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema

@@ -6,26 +6,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators import mutate
 from ..sources import events_stream
+from ..functions import hmac_sha256
 from ..store import scratch
 
 
-def drained(stream: DataFrame, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
+def drained(stream: DataFrame, mode: str = "append", checkpoint: str | None = None, every: str | None = None) -> DataFrame:
     """Runs a stream over all that is there and returns what it has put out, read from Parquet files in the shared folder.
 
     Executors write the rows; none pass the driver. checkpoint: a folder for state and output, by which a later call goes
-    on and returns the output of all calls; by default a new one.
+    on and returns the output of all calls; by default a new one. every: run batches at this interval until nothing is left
+    (a service would let the query run on); by default as fast as they come.
     """
     spark = stream.sparkSession
     folder = checkpoint or scratch(spark, "stream")
     out, schema = f"{folder}/out", T.StructType([T.StructField(f.name, f.dataType) for f in stream.schema])  # without marks of watermarks
     spark.createDataFrame([], schema).write.mode("ignore").parquet(out if mode == "append" else f"{out}/none")  # a stream without events writes nothing
-    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state")
+    writer = writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
     if mode == "append":
         writer = writer.format("parquet").option("path", out)
     else:  # a batch that is tried again replaces its files; in complete mode each replaces the one before
         writer = writer.foreachBatch(lambda df, i: df.write.mode("overwrite").parquet(f"{out}/{i if mode == 'update' else 'all'}"))
-    writer.start().awaitTermination()
+    running = writer.start()
+    if every:
+        running.processAllAvailable()
+        running.stop()
+    else:
+        running.awaitTermination()
     return spark.read.schema(schema).option("recursiveFileLookup", mode != "append").parquet(out)
 
 
@@ -46,6 +55,31 @@ def once(events: DataFrame, key: str, late: str = "1 hour") -> DataFrame:
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
 
 
+def signed(events: DataFrame, body: str, signature: str, key: bytes) -> DataFrame:
+    """Events whose signature is the HMAC-SHA256 of their body; without body or signature none is."""
+    return events.filter(hmac_sha256(F.col(body), key) == F.lower(F.col(signature)))
+
+
+def machine(stream: DataFrame, key: str, order: list[str], transitions: dict[str, list[str]], start: str, checkpoint: str | None = None) -> DataFrame:
+    """key, status, n_ignored after all that the stream holds: a status machine whose state is a table in the shared folder.
+
+    Each batch's events, in their order, are folded by ranges into maps of states (see mutate.fold_status), which advance the
+    table of the batch before; a batch that is tried again writes the same table again. Events later than their batch count
+    when they come. checkpoint: a folder by which a later call goes on.
+    """
+    spark, folder, schema = stream.sparkSession, checkpoint or scratch(stream.sparkSession, "machine"), T.StructType([stream.schema[key], T.StructField("status", T.StringType()), T.StructField("n_ignored", T.LongType())])
+    at = f"{folder}/states"
+    spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{at}/batch=-1")
+
+    def step(df: DataFrame, i: int) -> None:
+        before = df.sparkSession.read.schema(schema).parquet(f"{at}/batch={i - 1}")
+        mutate.advance(before, df, key, order, transitions, start).write.mode("overwrite").parquet(f"{at}/batch={i}")
+
+    stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    every = spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.LongType())])).parquet(at)
+    return every.filter(F.col("batch") == every.agg(F.max("batch")).scalar()).drop("batch")
+
+
 def conversation_state(events: DataFrame) -> DataFrame:
     """user_id, last_type, n: running state of each user, put out for each batch that has events of the user.
 

@@ -143,3 +143,54 @@ def test_ranks_of_a_large_group(spark):
     for g in ("g", None, "one"):
         rows = sorted((r.r, r.v, r.n) for r in got if r.g == g)
         assert rows == [(i, v, len(rows)) for i, v in enumerate(sorted(r[1] for r in rows))]
+
+
+def test_patch_changes_given_columns_only(spark):
+    now = spark.createDataFrame([(1, "a", 1), (2, "b", 2), (None, "c", 3)], "k int, v string, w int")
+    got = mutate.patch(now, spark.createDataFrame([(1, None), (9, "z")], "k int, v string"), ["k"])
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, None, 1), (2, "b", 2), (None, "c", 3)], key=str)
+
+
+def test_failing_step_tells_why(spark):
+    def broken(df):
+        raise KeyError("x")
+
+    why = {}
+    assert mutate.migrate(["a"], {"a": broken}, set(), spark.range(1), why)[1] == [("a", "failed")] and why == {"a": "KeyError: 'x'"}
+
+
+def test_hmac(spark):
+    import hashlib
+    import hmac
+
+    df = spark.createDataFrame([("",), ("é message",), (None,)], "m string")
+    for key in (b"k", b"long" * 40):
+        got = [r[0] for r in df.select(functions.hmac_sha256(F.col("m"), key)).collect()]
+        assert got == [hmac.new(key, m.encode(), hashlib.sha256).hexdigest() for m in ("", "é message")] + [None]
+
+
+def test_approved_refund_passes(spark):
+    calls = spark.createDataFrame([(i, "t", "t", "a", "say", '{"s":1}', "hi", 0.9, ["refund"], [], []) for i in (1, 2)], "tool_call_id long, tenant_id string, agent_tenant_id string, agent_id string, tool_name string, output string, text string, confidence double, tags array<string>, flags array<string>, sources array<string>")
+    contracts = spark.createDataFrame([("a", "1", ["say"], [], [], '{"s":"string"}', True, 1)], "agent_id string, version string, allowed_tools array<string>, requires_approval array<string>, must_escalate_when array<string>, output_schema string, active boolean, created_at int")
+    approvals = spark.createDataFrame([(1, "approved"), (1, "approved"), (2, "rejected")], "tool_call_id long, status string")
+    got = harness.guard(calls, contracts, spark.createDataFrame([], "chunk_id string"), approvals=approvals).collect()
+    assert sorted((r.tool_call_id, r.guardrail_result.passed) for r in got) == [(1, True), (2, False)]
+
+
+def test_cosine_in_blocks(spark):
+    v = spark.createDataFrame([(i, [float(i % 5), 1.0, float(i % 3)]) for i in range(30)] + [(99, [0.0, 0.0, 0.0])], "vec_id long, embedding array<float>")
+    whole, parts = (sorted(map(tuple, knowledge.top_cosine(v.filter("vec_id < 9"), v, 3, block=n).collect())) for n in (100, 2))
+    assert whole == parts and len(whole) == 27
+
+
+def test_scoped_reads_and_settings(spark):
+    from millrace.sources import scoped, settings
+
+    sf = "/root/testdata/sf0.001"
+    assert scoped(spark, sf, "documents", "src1").count() == table(spark, sf, "documents", "src1").count()
+    assert scoped(spark, sf, "part", "x", {"part": "p_brand"}).count() == 0
+    for args in (("documents", None), ("region", "x")):
+        with pytest.raises(ValueError):
+            scoped(spark, sf, *args)
+    spark.conf.set("app.a", "1")
+    assert settings(spark, "app", {"a": "0", "b": "2"}) == {"a": "1", "b": "2"}

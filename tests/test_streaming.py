@@ -59,3 +59,12 @@ def test_stream_without_events(spark, arriving):
     events = arriving([])
     assert streaming.drained(streaming.once(events, "event_id")).count() == 0
     assert streaming.drained(streaming.conversation_state(events), "update").count() == 0
+
+
+def test_machine_goes_on_from_its_table(spark, arriving, tmp_path):
+    day = lambda d: f"2024-01-{d:02d} 00:00:00"
+    events = arriving([(2, day(2), 1, "b"), (1, day(1), 1, "a"), (3, day(3), None, "a")], [(4, day(4), 1, "a"), (5, day(5), 1, "x"), (6, day(6), 2, None)])
+    steps = {"new": ["a"], "a": ["b"], "b": ["a"]}
+    for _ in range(2):  # the second call finds nothing new
+        out = streaming.machine(events.withColumn("to", F.col("event_type")), "user_id", ["ts", "event_id"], steps, "new", checkpoint=f"file://{tmp_path}/m")
+        assert {r.user_id: (r.status, r.n_ignored) for r in out.collect()} == {1: ("a", 1), None: ("a", 0), 2: ("new", 1)}
