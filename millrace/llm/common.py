@@ -78,7 +78,7 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[b
     return out, bounds, keys
 
 
-def pieces(batches: Iterator[pa.RecordBatch], *texts: str, rows: int = 500, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], *texts: str, rows: int = 500, size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in smaller batches, of at most ``rows`` rows and ``size`` bytes in the columns ``texts`` (a longer row is alone)."""
     for batch in batches:
         ends, at = np.zeros(len(batch), np.int64), 0

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import alnum_words, text_of, written
+from .common import alnum_words, pieces, text_of, written
 
 WINDOW = 13
 #: A broadcast set of tables holds items of at most so many bytes of text (one longer item makes a set of its own).
@@ -83,7 +83,7 @@ def _pass(docs: DataFrame, items: list[tuple[int, str]], window: int) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = _tables(held.value, window)
-        for batch in (whole.slice(at, 500) for whole in batches for at in range(0, len(whole), 500)):
+        for batch in pieces(batches, "text"):
             counts, spans, found = [], [], []
             for text, old, known in zip(batch["text"].to_pylist(), batch["_spans"].to_pylist(), batch["_items"].to_pylist(), strict=True):
                 words = alnum_words(text)

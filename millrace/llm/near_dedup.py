@@ -95,7 +95,7 @@ def _sketches(width: int, percent: int, frequent):
 
 def _values(width: int, low: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text", rows=2000, size=8 << 20):
+        for batch in pieces(batches, "text", rows=1000):
             sets = shingle_sets(batch["text"].to_pylist(), width)[0]
             every = np.concatenate(sets)
             value, count = np.unique(every[(every < COUNTED) == low], return_counts=True)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import extended, mixed, text_of
+from .common import extended, mixed, pieces, text_of
 
 #: Hashed shape trigrams of a passage; densities beside them; bytes up to which a line is one passage; width of the encoding.
 SHAPES, DENSITIES, PASSAGE, HIDDEN = 192, 9, 400, 16
@@ -180,13 +180,11 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
-        for whole in batches:
-            for at in range(0, len(whole), 64):
-                batch = whole.slice(at, 64)
-                score, most = np.full(len(batch), 0.5), np.ones(len(batch))
-                for i, t in enumerate(batch[text].to_pylist() if m else []):
-                    p, attention = m.score([passages(t)])
-                    score[i], most[i] = p[0], attention[0].max()
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score), pa.array((score >= GOOD).astype(np.int32)), pa.array(most)], [*batch.schema.names, "score", "predicted", "attention"])
+        for batch in pieces(batches, text, rows=64):
+            score, most = np.full(len(batch), 0.5), np.ones(len(batch))
+            for i, t in enumerate(batch[text].to_pylist() if m else []):
+                p, attention = m.score([passages(t)])
+                score[i], most[i] = p[0], attention[0].max()
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score), pa.array((score >= GOOD).astype(np.int32)), pa.array(most)], [*batch.schema.names, "score", "predicted", "attention"])
 
     return docs.mapInArrow(run, schema)
