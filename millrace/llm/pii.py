@@ -1,9 +1,12 @@
 """Personal data: base formats by pattern, and further identifiers by bootstrapped contextual extraction.
 
-Everything is DataFrame and SQL functions. Four formats (email, ip, card, phone) give the seeds. Each identifier-like
-token is an instance, the words on its left are a lexical pattern, and the two form a graph of distinct edges. Pattern
-confidence (share of trusted instances) and instance confidence (noisy-or over patterns) are computed in turn; tokens of
-confident patterns that no base format covers are reported as well, under the kind of the pattern.
+Everything is DataFrame and SQL functions. Four formats (email, ip, card, phone) give the seeds, and a fifth, of keys and
+digests, seeds secrets. Each identifier-like token is an instance with several lexical patterns, from narrow to wide: the
+words on its left, the last of them with the token's shape or with what follows, and the punctuation about it. Patterns and
+instances form a graph of distinct edges. Pattern confidence (share of trusted instances) and instance confidence (noisy-or
+over patterns) are computed in turn; tokens of confident patterns that no base format covers are reported as well, under
+the kind of the pattern. A secret is reported only where a confident pattern holds it, be it a seed or not. Tokens that a
+base format matches and rejects (a number that fails its check digit) are no instances.
 """
 
 from __future__ import annotations
@@ -11,10 +14,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import small, written
 
 KINDS = ("email", "ip", "card", "phone")
 
+#: Kind of what the method alone reports beside these, and its seeds: digests, and keys by their prefixes.
+SECRET = "secret"
+SECRETS = r"(?=[0-9]*+[a-f])(?=[a-f]*+[0-9])(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64})|AKIA[0-9A-Z]{16}|gh[ps]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,}"
+
 #: Leftmost non-overlapping matches of the four formats. Possessive repeats and the guard at the left (a match begins a
 #: run of its characters or follows a match) change no match but keep the search linear on long runs.
 PATTERNS = {
@@ -26,8 +33,8 @@ PATTERNS = {
 #: A quick test that a text can hold a match of the kind at all.
 NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9]", "phone": r"\+[0-9]"}
 
-#: Identifier-like tokens: phone numbers, or runs without spaces and quotes that hold a digit or an at sign.
-TOKEN = r"\+[0-9][ ().0-9-]+[0-9]|(?<![A-Za-z0-9._%+@-])(?=[A-Za-z._%+-]*+[0-9@])[A-Za-z0-9._%+@-]{6,}+"
+#: Identifier-like tokens: phone numbers, spaced cards, or runs without spaces and quotes that hold a digit or an at sign.
+TOKEN = r"\+[0-9][ ().0-9-]+[0-9]|(?<![0-9])[0-9]{4}(?:[ -][0-9]{3,6}){2,4}(?![0-9])|(?<![A-Za-z0-9._%+@-])(?=[A-Za-z._%+-]*+[0-9@])[A-Za-z0-9._%+@-]{6,}+"
 
 
 def _digits(m: str) -> str:
@@ -65,12 +72,12 @@ def _ends(lens: str) -> str:
 
 
 def _located(df: DataFrame, text: str, pattern: str, needs: str, out: str) -> DataFrame:
-    """Adds array ``out`` of (s, e, m, left): matches with code point offsets and up to 40 characters of text before each."""
+    """Adds array ``out`` of (s, e, m, left, right): matches with code point offsets and up to 40 characters of text on either side."""
     rx, test = pattern.replace("'", "\\'"), needs
-    item = "named_struct('s', e[i] - char_length(m), 'e', e[i], 'm', m, 'left', right(g[i], 40))"
+    item = "named_struct('s', e[i] - char_length(m), 'e', e[i], 'm', m, 'left', right(g[i], 40), 'right', left(g[i + 1], 40))"
     ends = _ends("transform(l, (m, i) -> char_length(m) + char_length(g[i]))")
     found = _let(f"regexp_extract_all({text}, r'{rx}', 0)", _let(f"split({text}, r'{rx}', -1)", _let(ends, f"transform(l, (m, i) -> {item})", "e"), "g"), "l")
-    none = "cast(array() as array<struct<s:int,e:int,m:string,left:string>>)"
+    none = "cast(array() as array<struct<s:int,e:int,m:string,left:string,right:string>>)"
     return df.withColumn(out, F.expr(f"if({text} rlike r'{test}' and {text} rlike r'{rx}', {found}, {none})"))
 
 
@@ -88,33 +95,45 @@ def base_spans(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def occurrences(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Identifier-like tokens of all distinct texts: text_key, s, e, instance, pattern (the one or two words at its left)."""
+    """Identifier-like tokens of all distinct texts: text_key, s, e, instance, and patterns, an array."""
     df = docs.filter(F.col(text).rlike("[0-9@]")).select(F.col(text).alias("_t"), F.md5(text).alias("text_key"))
     df = _located(df, "_t", TOKEN, "[0-9@]", "_x").select("text_key", F.explode("_x").alias("x"))
-    context = F.regexp_extract(F.lower(F.col("x.left")), r"(\S*\s*\S+\s*)$", 1)
-    return df.select("text_key", "x.s", "x.e", F.col("x.m").alias("instance"), F.regexp_replace(context, r"[0-9]+", "9").alias("pattern")).distinct()
-
-
-def discover(found: DataFrame, rounds: int = 3, min_support: int = 3, min_pattern: float = 0.6, min_instance: float = 0.8) -> DataFrame:
-    """Instances that confident patterns give a kind: instance, kind, score. Seeds themselves are left out.
+    df = df.select("text_key", "x.s", "x.e", F.col("x.m").alias("instance"), *(F.regexp_replace(F.lower(F.col(f"x.{c}")), "[0-9]+", "9").alias(c) for c in ("left", "right")))
+    word = F.regexp_extract("left", r"([\p{L}\p{N}_]+[^\p{L}\p{N}_]*+)$", 1)
+    signs = F.concat(F.regexp_extract("left", r"([^\p{L}\p{N}_]*+)$", 1), F.lit("*"), F.regexp_extract("right", r"^([^\p{L}\p{N}_]*+)", 1))
+    shape = F.left(F.regexp_replace(F.regexp_replace("instance", "[0-9]+", "9"), "[A-Za-z]+", "a"), F.lit(24))
+    near = F.when(word != "", word)
+    every = F.array_compact(F.array(
+        F.concat(F.lit("words:"), F.regexp_extract("left", r"(\S++\s+\S+\s*)$", 1)),
+        F.concat(F.lit("word:"), near),
+        F.concat(F.lit("shape:"), near, shape),
+        F.concat(F.lit("follows:"), near, F.lit("*"), F.regexp_extract("right", r"^\s*+(\S+)", 1)),
+        F.when(F.length(F.regexp_replace(signs, r"\s", "")) > 2, F.concat(F.lit("signs:"), signs)),
+    ))
+    return df.select("text_key", "s", "e", "instance", F.filter(every, lambda p: p != "words:").alias("patterns")).distinct()
+
+
+def discover(found: DataFrame, rounds: int = 3, min_support: int = 3, min_pattern: float = 0.7, min_instance: float = 0.8) -> DataFrame:
+    """Instances that confident patterns give a kind: instance, kind, score. Seeds of the base kinds are left out.
 
     found: occurrences(). A pattern needs min_support distinct instances. Each round's scores are aggregates over
     distinct (pattern, instance) edges, so that neither copies of a text nor a frequent pattern weigh more.
     """
-    edges = written(found.filter("pattern <> ''").select("pattern", "instance").distinct(), "pii-edges")
-    kind = F.coalesce(*(F.when(F.expr(f"regexp_like(instance, r'^(?:{PATTERNS[k]})$') and {_valid(k, 'instance')}"), F.lit(k)) for k in KINDS))
-    seeds = edges.select("instance").distinct().withColumn("kind", kind).filter("kind is not null").withColumn("score", F.lit(1.0))
-    seeds = written(seeds, "pii-seeds")
+    kind = F.coalesce(*(F.when(F.expr(f"regexp_like(instance, r'^(?:{PATTERNS[k]})$') and {_valid(k, 'instance')}"), F.lit(k)) for k in KINDS), F.when(F.expr(f"regexp_like(instance, r'^(?:{SECRETS})$')"), F.lit(SECRET)))
+    refused = F.expr(" or ".join(f"regexp_like(instance, r'^(?:{PATTERNS[k]})$')" for k in KINDS)) & F.col("kind").isNull()
+    edges = found.select(F.explode("patterns").alias("pattern"), "instance").distinct().withColumn("kind", kind).filter(~refused)
+    edges = written(edges, "pii-edges")
+    seeds = written(edges.filter("kind is not null").select("instance", "kind").distinct().withColumn("score", F.lit(1.0)), "pii-seeds")
     support = written(edges.groupBy("pattern").agg(F.count("*").alias("support")).filter(F.col("support") >= min_support), "pii-support")
-    scores = seeds
+    edges, scores = edges.select("pattern", "instance").join(support.select("pattern"), "pattern", "left_semi"), seeds
     for _ in range(rounds):
         sums = edges.join(scores, "instance").groupBy("pattern", "kind").agg(F.sum("score").alias("trusted"))
         patterns = sums.join(support, "pattern").withColumn("confidence", F.col("trusted") / F.col("support"))
         patterns = patterns.filter(F.col("confidence") >= min_pattern)
-        new = edges.join(patterns, "pattern").groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log(1.0001 - F.col("confidence"))))).alias("score"))
-        new = new.filter(F.col("score") >= min_instance).join(seeds.select("instance"), "instance", "left_anti")
-        scores = written(seeds.unionByName(new), "pii-scores")
-    return scores.join(seeds.select("instance"), "instance", "left_anti")
+        told = edges.join(patterns, "pattern").groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log(1.0001 - F.col("confidence"))))).alias("score"))
+        told = written(told.filter(F.col("score") >= min_instance), "pii-told")
+        scores = written(seeds.unionByName(told.join(seeds.select("instance"), "instance", "left_anti")), "pii-scores")
+    return told.join(seeds.filter(F.col("kind") != SECRET).select("instance"), "instance", "left_anti")
 
 
 def find(docs: DataFrame, text: str = "text", **params) -> DataFrame:
@@ -125,11 +144,12 @@ def find(docs: DataFrame, text: str = "text", **params) -> DataFrame:
     and base, spans, text_key are reserved).
     """
     found = written(occurrences(docs, text), "pii-tokens")
-    extra = found.join(discover(found, **params), "instance")
+    extra = found.select("text_key", "s", "e", "instance").join(discover(found, **params), "instance")
     extra = extra.groupBy("text_key").agg(F.collect_set(F.struct("s", "e", "kind", F.col("instance").alias("m"))).alias("_extra"))
+    extra = small(extra, 1_000_000)
     df = base_spans(docs.drop("base", "spans", "text_key"), text).withColumn("text_key", F.md5(text)).join(extra, "text_key", "left")
     free = "filter(coalesce(_extra, array()), x -> not exists(base, b -> b.s < x.e and x.s < b.e))"
-    rank = " ".join(f"when '{k}' then {i}" for i, k in enumerate(KINDS))
+    rank = " ".join(f"when '{k}' then {i}" for i, k in enumerate((*KINDS, SECRET)))
     every = f"transform(concat(base, {free}), x -> named_struct('s', x.s, 'k', case x.kind {rank} end, 'e', x.e, 'kind', x.kind, 'm', x.m))"
     spans = F.expr(f"if(_extra is null, base, transform(array_sort({every}), x -> named_struct('s', x.s, 'e', x.e, 'kind', x.kind, 'm', x.m)))")
     return df.withColumn("spans", spans).drop("_extra", "text_key")
@@ -153,4 +173,4 @@ def digest(found: DataFrame) -> DataFrame:
     """The columns of op1 from find()'s rows."""
     said = "array_join(transform({0}, x -> concat_ws(':', x.kind, x.s, x.e)), ',')"
     counts = [F.expr(f"cast(size(filter(base, x -> x.kind = '{k}')) as long)").alias(f"n_{k}") for k in KINDS]
-    return found.select("doc_id", *counts, F.sha2(F.expr(said.format("base")), 256).alias("base_sha256"), F.expr(said.format("spans")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(F.expr(said.format("base")), 256).alias("base_sha256"), F.expr(said.format("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"), F.expr("cast(size(spans) - size(base) as long)").alias("n_added"))
