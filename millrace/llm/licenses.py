@@ -77,23 +77,29 @@ def spans(found: DataFrame, k: int = K, covered: float = COVERED, drift: int = D
     near = near.withColumns({"covers": places, "first": F.col("diagonal") + F.array_min("ts"), "last": F.col("diagonal") + F.array_max("ts") + k - 1})
     alone = near.withColumn("n", F.size(F.array_distinct("covers")))
     merged = near.groupBy("text_key", "template", "island").agg(F.first("label").alias("label"), F.first("n_words").alias("n_words"), F.min("first").alias("first"), F.max("last").alias("last"), F.size(F.array_distinct(F.flatten(F.collect_list("covers")))).alias("n"), F.count("*").alias("diagonals"))
-    both = alone.unionByName(merged.filter("diagonals > 1"), allowMissingColumns=True)
+    both = alone.unionByName(merged.filter("diagonals > 1"), allowMissingColumns=True).filter("last >= first")
     score = F.least(F.col("n") / F.col("n_words"), F.col("n") / (F.col("last") - F.col("first") + 1))
-    both = both.select("text_key", "label", F.lit(False).alias("exact"), "first", "last", score.alias("score")).filter(F.col("score") >= covered)
-    return exact.unionByName(both.distinct())
+    both = both.select("text_key", "label", F.lit(False).alias("exact"), "first", "last", score.alias("score")).filter(F.col("score") >= covered).distinct()
+    # Of notices that overlap, directly or through others, the best stands: the one with most of its words, then the longest.
+    place = Window.partitionBy("text_key").orderBy("first", "last")
+    apart = F.coalesce((F.col("first") > F.max("last").over(place.rowsBetween(Window.unboundedPreceding, -1))).cast("int"), F.lit(1))
+    both = both.withColumn("_apart", apart).withColumn("_group", F.sum("_apart").over(place.rowsBetween(Window.unboundedPreceding, 0)))
+    best = Window.partitionBy("text_key", "_group").orderBy(F.desc("score"), F.desc(F.col("last") - F.col("first")))
+    both = both.withColumn("_rank", F.rank().over(best)).filter("_rank = 1").drop("_apart", "_group", "_rank")
+    return exact.unionByName(both)
 
 
 def scan(docs: DataFrame, phrases=PHRASES, notices=NOTICES, k: int = K, **params) -> DataFrame:
     """docs with n_words, places (array of (first, label), by first word) of the phrases, labels (sorted, distinct) and score.
 
-    score is the best of all spans, 0 without any. Null and empty texts have no words and no spans; equal texts get equal
+    score is the best of all spans, 0 without any. Of notices that overlap only the best counts. Null and empty texts have no words and no spans; equal texts get equal
     values. Other columns are kept; columns of these names and text_key are replaced.
     """
     grams = small(templates(docs.sparkSession, phrases, notices, k))
-    found = spans(votes(text_of(docs, "text"), grams, k), k, **params)
+    found = spans(written(votes(text_of(docs, "text"), grams, k), "votes"), k, **params)
     place = F.when(F.col("exact"), F.struct(F.col("first").cast("long").alias("first"), "label"))
     found = found.groupBy("text_key").agg(F.array_sort(F.collect_list(place)).alias("places"), F.array_sort(F.collect_set("label")).alias("labels"), F.max("score").alias("score"))
-    found = written(found, "licenses")
+    found = small(found, 1_000_000)
     docs = docs.drop("n_words", "places", "labels", "score", "text_key")
     out = docs.withColumns({"n_words": F.size(words()).cast("long"), "text_key": F.md5("text")}).join(found, "text_key", "left").drop("text_key")
     return out.withColumns({"places": F.coalesce("places", F.array().cast("array<struct<first:bigint,label:string>>")), "labels": F.coalesce("labels", F.array().cast("array<string>")), "score": F.coalesce("score", F.lit(0.0))})
