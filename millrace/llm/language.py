@@ -7,7 +7,6 @@ runner-up is close, the row is flagged as ambiguous. Classifiers are fitted on a
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import extended, text_of
+from .common import extended, pieces, text_of
 
 UNKNOWN = "und"
 #: Hashed n-gram features; sizes of n-grams in bytes.
@@ -26,7 +25,6 @@ SAMPLE = 3000
 #: A text is ambiguous if the runner-up is at least this likely in relation to the winner.
 AMBIGUOUS = 0.8
 
-_LETTER = re.compile(r"[^\W\d_]")
 _KEEP = np.array([b if b >= 128 or chr(b).isalpha() else 32 for b in range(256)], np.uint32)
 
 
@@ -134,16 +132,14 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
-        for whole in batches:
-            for at in range(0, len(whole), 512):
-                batch = whole.slice(at, 512)
-                texts = batch[text].to_pylist()
-                lang, score, unsure = [UNKNOWN] * len(texts), [0.0] * len(texts), [True] * len(texts)
-                rows = [i for i, t in enumerate(texts) if t and _LETTER.search(t)] if m else []
-                if rows:
-                    for i, k, s, u in zip(rows, *m.decode(np.stack([features(texts[i]) for i in rows])), strict=True):
-                        lang[i], score[i], unsure[i] = m.languages[k], float(s), bool(u)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(unsure, pa.bool_())], [*batch.schema.names, "lang_pred", "score", "ambiguous"])
+        for batch in pieces(batches, text):
+            texts = batch[text].to_pylist()
+            lang, score, unsure = [UNKNOWN] * len(texts), [0.0] * len(texts), [True] * len(texts)
+            rows = [i for i, t in enumerate(texts) if t and any(c.isalpha() for c in t)] if m else []
+            if rows:
+                for i, k, s, u in zip(rows, *m.decode(np.stack([features(texts[i]) for i in rows])), strict=True):
+                    lang[i], score[i], unsure[i] = m.languages[k], float(s), bool(u)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(unsure, pa.bool_())], [*batch.schema.names, "lang_pred", "score", "ambiguous"])
 
     return docs.mapInArrow(run, schema)
 
