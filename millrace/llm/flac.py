@@ -15,10 +15,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import extended, written
+from .common import extended, pieces, written
 
 #: Samples in a frame, samples in a second (stated in the stream, without meaning here), frames between seek points.
 BLOCK, RATE, SEEK = 4608, 8000, 64
+#: Order of the fitted predictors that are tried beside the fixed ones.
+LPC = 12
 #: Payloads are filled with spaces up to a positive multiple of this.
 UNIT = 192
 
@@ -84,12 +86,17 @@ def _bits(value: int, width: int) -> np.ndarray:
     return (value >> np.arange(width - 1, -1, -1) & 1).astype(np.uint8)
 
 
-def _rice(residual: np.ndarray) -> np.ndarray:
-    """Bits of residuals in one Rice partition: method and parameter, then each value."""
+def _folded(residual: np.ndarray) -> tuple[int, np.ndarray, int]:
+    """Bits of residuals in one Rice partition, the residuals without signs, and the parameter."""
     u = (residual << 1) ^ (residual >> 31)
     mean = int(u.sum()) // max(len(u), 1)
-    k = min(range(max(0, mean.bit_length() - 2), mean.bit_length() + 1), key=lambda k: int((u >> k).sum()) + len(u) * (k + 1))
-    k = min(k, 14)
+    sizes = {k: int((u >> k).sum()) + len(u) * (k + 1) for k in range(max(0, min(14, mean.bit_length() - 2)), min(14, mean.bit_length()) + 1)}
+    k = min(sizes, key=sizes.get)
+    return sizes[k] + 10, u, k
+
+
+def _rice(u: np.ndarray, k: int) -> np.ndarray:
+    """Method and parameter of one partition, then each value: its quotient in zeros, a one, k bits."""
     end = np.cumsum((u >> k) + (1 + k), dtype=np.int64)
     out = np.zeros(int(end[-1]) if len(u) else 0, np.uint8)
     out[end - k - 1] = 1
@@ -99,10 +106,11 @@ def _rice(residual: np.ndarray) -> np.ndarray:
 
 
 def _fitted(x: np.ndarray, order: int, precision: int = 10) -> tuple[list[int], int]:
-    """Coefficients of a linear predictor by least squares, quantised: whole numbers and the shift."""
-    n = len(x)
-    past = np.stack([x[order - 1 - i : n - 1 - i] for i in range(order)], 1).astype(float)
-    c = np.linalg.lstsq(past, x[order:].astype(float), rcond=None)[0]
+    """Coefficients of a linear predictor by autocorrelation, quantised: whole numbers and the shift."""
+    f, n = x.astype(float), len(x)
+    r = np.array([f[: n - k] @ f[k:] for k in range(order + 1)])
+    lag = np.abs(np.arange(order)[:, None] - np.arange(order))
+    c = np.linalg.solve(r[lag] + np.eye(order) * (1e-6 * r[0] + 1e-6), r[1:])
     shift = max(0, min(15, precision - 2 - int(np.floor(np.log2(max(np.abs(c).max(), 1e-6))))))
     top = (1 << (precision - 1)) - 1
     return [int(v) for v in np.clip(np.round(c * 2**shift), -top, top)], shift
@@ -119,17 +127,22 @@ def _subframe(x: np.ndarray, lpc: int) -> np.ndarray:
         if best is None or cost < best:
             best, order, residual = cost, o, d
         d = d[1:] - d[:-1]
-    out = np.concatenate([_bits(0, 1), _bits(8 + order, 6), _bits(0, 1), np.unpackbits(raw[:order]), _rice(residual)])
-    if lpc and len(x) > 2 * lpc:
+    size, u, k = _folded(residual)
+    head = [_bits(0, 1), _bits(8 + order, 6), _bits(0, 1), np.unpackbits(raw[:order])]
+    size += 8 * order
+    if lpc and len(x) > 4 * lpc:
         c, shift = _fitted(x, lpc)
-        guess = sum(v * x[lpc - 1 - i : len(x) - 1 - i] for i, v in enumerate(c)) >> shift
-        head = [_bits(0, 1), _bits(31 + lpc, 6), _bits(0, 1), np.unpackbits(raw[:lpc]), _bits(9, 4), _bits(shift, 5), *(_bits(v & 1023, 10) for v in c)]
-        other = np.concatenate([*head, _rice(x[lpc:] - guess)])
-        out = min(out, other, key=len)
-    return out if len(out) < 8 * len(raw) + 8 else np.concatenate([_bits(2, 8), np.unpackbits(raw)])
+        guess = np.floor(np.convolve(x.astype(float), c)[lpc - 1 : len(x) - 1] * 2.0**-shift).astype(np.int32)  # exact: below 2**53
+        other, v, j = _folded(x[lpc:] - guess)
+        if other + 18 * lpc + 9 < size:
+            size, u, k = other + 18 * lpc + 9, v, j
+            head = [_bits(0, 1), _bits(31 + lpc, 6), _bits(0, 1), np.unpackbits(raw[:lpc]), _bits(9, 4), _bits(shift, 5), *(_bits(w & 1023, 10) for w in c)]
+    if size >= 8 * len(raw):
+        return np.concatenate([_bits(2, 8), np.unpackbits(raw)])
+    return np.concatenate([*head, _rice(u, k)])
 
 
-def encode(payload: bytes, block: int = BLOCK, lpc: int = 0, seek: int = SEEK) -> bytes:
+def encode(payload: bytes, block: int = BLOCK, lpc: int = LPC, seek: int = SEEK) -> bytes:
     """A FLAC stream of the payload's bytes, less 128, as 8-bit mono samples. lpc: order of fitted predictors, 0 for none."""
     x = np.frombuffer(payload, np.uint8).astype(np.int32) - 128
     if not len(x):
@@ -146,6 +159,8 @@ def encode(payload: bytes, block: int = BLOCK, lpc: int = 0, seek: int = SEEK) -
     sizes = [len(f) for f in frames]
     info = block.to_bytes(2, "big") * 2 + min(sizes).to_bytes(3, "big") + max(sizes).to_bytes(3, "big")
     info += (RATE << 44 | 0 << 41 | 7 << 36 | len(x)).to_bytes(8, "big") + hashlib.md5((x & 255).astype(np.uint8).tobytes()).digest()
+    if len(points) <= 18:  # a single point, at the start, tells nothing
+        return b"fLaC" + bytes([0x80]) + len(info).to_bytes(3, "big") + info + b"".join(frames)
     return b"fLaC" + bytes([0]) + len(info).to_bytes(3, "big") + info + bytes([0x83]) + len(points).to_bytes(3, "big") + points + b"".join(frames)
 
 
@@ -197,6 +212,8 @@ class _Bits:
         return (u >> 1) ^ -(u & 1)
 
 
+#: Frames of a stream that are read before their samples are restored together.
+GATHERED = 256
 #: Requests below this number are read one by one.
 FEW = 16
 
@@ -245,6 +262,38 @@ def _together(requests: list[tuple[np.ndarray, int, int, int]]) -> list[np.ndarr
     return found
 
 
+#: Samples that are restored in one table at most.
+TABLE = 2 << 20
+
+
+def _restored(parts: list[tuple]) -> list[np.ndarray]:
+    """Samples of subframes with fitted predictors (first samples, residuals, coefficients, shift, wasted bits).
+
+    Each sample needs those before it, so one sample of all the subframes is made at a time, the longest subframes first.
+    """
+    order, out, at = sorted(range(len(parts)), key=lambda i: -len(parts[i][1])), [None] * len(parts), 0
+    while at < len(order):
+        longest = len(parts[order[at]][1])
+        some = order[at : at + max(1, TABLE // max(1, longest))]
+        at += len(some)
+        p = max(len(parts[i][0]) for i in some)
+        x, c = np.zeros((p + longest, len(some)), np.int64), np.zeros((p, len(some)), np.int64)
+        shift = np.array([parts[i][3] for i in some])
+        size = np.array([len(parts[i][1]) for i in some])
+        for j, i in enumerate(some):
+            first, residual, coefficients, _, _ = parts[i]
+            x[p - len(first) : p, j], x[p : p + len(residual), j], c[p - len(first) :, j] = first, residual, coefficients[::-1]
+        active = len(some)
+        for t in range(longest):
+            while size[active - 1] <= t:
+                active -= 1
+            x[p + t, :active] += np.einsum("of,of->f", c[:, :active], x[t : t + p, :active]) >> shift[:active]
+        for j, i in enumerate(some):
+            first, wasted = parts[i][0], parts[i][4]
+            out[i] = x[p - len(first) : p + size[j], j] << wasted
+    return out
+
+
 def _solve(work: list[Steps]) -> list:
     """Runs all of work at once, answering their requests together; results in order."""
     out, waiting = [None] * len(work), {}
@@ -258,10 +307,17 @@ def _solve(work: list[Steps]) -> list:
     for i in range(len(work)):
         go(i, None)
     while waiting:
-        asked, waiting_ = list(waiting), list(waiting.values())
+        asked = dict(waiting)
         waiting.clear()
-        for i, answer in zip(asked, _together(waiting_), strict=True):
+        rice, fitted = [i for i in asked if isinstance(asked[i], tuple)], [i for i in asked if isinstance(asked[i], list)]
+        for i, answer in zip(rice, _together([asked[i] for i in rice]), strict=True):
             go(i, answer)
+        if fitted and not rice:  # subframes to restore gather until nothing else can be done
+            every = iter(_restored([x for i in fitted for x in asked[i]]))
+            for i in fitted:
+                go(i, [next(every) for _ in asked[i]])
+        else:
+            waiting.update({i: asked[i] for i in fitted})
     return out
 
 
@@ -279,7 +335,7 @@ def _residual(r: _Bits, n: int, order: int) -> Steps:
 
 
 def _samples(r: _Bits, n: int, depth: int) -> Steps:
-    """Samples of one subframe."""
+    """Samples of one subframe; for a fitted predictor what _restored() makes them of."""
     r.uint(1)
     kind, wasted = r.uint(6), r.uint(1)
     while wasted and not r.uint(1):
@@ -299,12 +355,10 @@ def _samples(r: _Bits, n: int, depth: int) -> Steps:
         x = np.concatenate([first, x])
     elif kind >= 32:
         order = kind - 31
-        out = r.ints(order, depth).tolist()
+        first = r.ints(order, depth)
         width, shift = r.uint(4) + 1, r.int(5)
         c = [r.int(width) for _ in range(order)]
-        for v in (yield from _residual(r, n, order)).tolist():
-            out.append(v + (sum(a * b for a, b in zip(c, out[: -order - 1 : -1], strict=True)) >> shift))
-        x = np.array(out, np.int64)
+        return first, (yield from _residual(r, n, order)), c, shift, wasted
     else:
         raise BadStream("unknown subframe")
     return x << wasted
@@ -329,7 +383,7 @@ def info(stream: bytes) -> dict:
 
 
 def _frame(stream: bytes, at: int, meta: dict) -> Steps:
-    """Number of the first sample, samples by channel, and where the next frame begins; both checksums are verified."""
+    """Number of the first sample, subframes, how channels are coded, and where the next frame begins; both checksums are verified."""
     if stream[at : at + 2] not in (b"\xff\xf8", b"\xff\xf9"):
         raise BadStream("no frame here")
     code, rate, channels, depth = stream[at + 2] >> 4, stream[at + 2] & 15, stream[at + 3] >> 4, stream[at + 3] >> 1 & 7
@@ -355,6 +409,14 @@ def _frame(stream: bytes, at: int, meta: dict) -> Steps:
         except BadStream:
             if end >= len(stream):
                 raise
+    end = p + 1 + (r.at + 7) // 8
+    if crc16(stream[at:end]) != int.from_bytes(stream[end : end + 2], "big"):
+        raise BadStream("a frame's checksum differs")
+    return number if stream[at + 1] & 1 else number * meta["block"], x, channels, end + 2
+
+
+def _joined(x: list[np.ndarray], channels: int) -> np.ndarray:
+    """Samples by channel from a frame's subframes."""
     if channels == 8:
         x[1] = x[0] - x[1]
     elif channels == 9:
@@ -362,10 +424,7 @@ def _frame(stream: bytes, at: int, meta: dict) -> Steps:
     elif channels == 10:
         mid = x[0] << 1 | x[1] & 1
         x = [(mid + x[1]) >> 1, (mid - x[1]) >> 1]
-    end = p + 1 + (r.at + 7) // 8
-    if crc16(stream[at:end]) != int.from_bytes(stream[end : end + 2], "big"):
-        raise BadStream("a frame's checksum differs")
-    return number if stream[at + 1] & 1 else number * meta["block"], np.stack(x), end + 2
+    return np.stack(x)
 
 
 def _blocks(stream: bytes, start: int) -> Steps:
@@ -374,11 +433,18 @@ def _blocks(stream: bytes, start: int) -> Steps:
     at = meta["frames"] + max((byte for sample, byte, _ in meta["seek"] if sample <= start), default=0)
     digest, size = hashlib.md5(), max(1, -(-meta["depth"] // 8))
     while at < len(stream):
-        first, x, at = yield from _frame(stream, at, meta)
-        if start == 0:
-            digest.update(x.T.astype("<i8").view(np.uint8).reshape(x.shape[1], x.shape[0], 8)[:, :, :size].tobytes())
-        if first + x.shape[1] > start:
-            out.append((first, x))
+        frames = []
+        while at < len(stream) and len(frames) < GATHERED:
+            *frame, at = yield from _frame(stream, at, meta)
+            frames.append(frame)
+        parts = [x for _, subframes, _ in frames for x in subframes if isinstance(x, tuple)]
+        made = iter((yield parts) if parts else ())
+        for first, subframes, channels in frames:
+            x = _joined([next(made) if isinstance(x, tuple) else x for x in subframes], channels)
+            if start == 0:
+                digest.update(np.ascontiguousarray(x.T, "<i8").view(np.uint8).reshape(x.shape[1], x.shape[0], 8)[:, :, :size].tobytes())
+            if first + x.shape[1] > start:
+                out.append((first, x.astype(np.int16 if meta["depth"] <= 16 else np.int32)))
     if start == 0 and any(meta["md5"]) and digest.digest() != meta["md5"]:
         raise BadStream("the samples' digest differs")
     return out
@@ -395,7 +461,7 @@ def padded(text: str | None) -> tuple[int, bytes]:
     return len(b), b.ljust(max(1, -(-len(b) // UNIT)) * UNIT, b" ")
 
 
-def stored(docs: DataFrame, text: str = "text", lpc: int = 0) -> DataFrame:
+def stored(docs: DataFrame, text: str = "text", lpc: int = LPC) -> DataFrame:
     """docs with n_bytes and media, the FLAC stream of the padded text, in place of the text. Null texts count as empty.
 
     lpc: order of fitted predictors that are tried beside the fixed ones, 0 for none. Other columns are kept, columns of
@@ -406,20 +472,18 @@ def stored(docs: DataFrame, text: str = "text", lpc: int = 0) -> DataFrame:
     schema = extended(docs.select(*keep), n_bytes="long", media="binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, len(whole), 256):
-                batch = whole.slice(at, 256)
-                pairs = [padded(t) for t in batch[text].to_pylist()]
-                yield pa.RecordBatch.from_arrays([*(batch[c] for c in keep), pa.array([n for n, _ in pairs], pa.int64()), pa.array([encode(p, lpc=lpc) for _, p in pairs], pa.binary())], [*keep, "n_bytes", "media"])
+        for batch in pieces(batches, text, rows=256):
+            pairs = [padded(t) for t in batch[text].to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in keep), pa.array([n for n, _ in pairs], pa.int64()), pa.array([encode(p, lpc=lpc) for _, p in pairs], pa.binary())], [*keep, "n_bytes", "media"])
 
     return docs.mapInArrow(run, schema)
 
 
 def _sets(streams: list[bytes | None]) -> Iterator[range]:
-    """Places of the streams that are decoded together: at most 512, and at most 8 MB unless a single one is longer."""
+    """Places of the streams that are decoded together: at most 512, and at most 2 MB unless a single one is longer."""
     at, size = 0, 0
     for i, s in enumerate(streams):
-        if i > at and (i - at == 512 or size + len(s or b"") > 8 << 20):
+        if i > at and (i - at == 512 or size + len(s or b"") > 2 << 20):
             yield range(at, i)
             at, size = i, 0
         size += len(s or b"")
@@ -441,7 +505,7 @@ def pcm(media: DataFrame, start: int = 0, outer: bool = False) -> DataFrame:
                 there, rows = iter(decode([streams[i] for i in some if streams[i]], start)), []
                 for i in some:
                     if streams[i]:
-                        rows += ((i, first, x.shape[1], (x[0] + 128).astype(np.uint8).tobytes()) for first, x in next(there))
+                        rows += ((i, first, x.shape[1], (x[0].astype(np.int16) + 128).astype(np.uint8).tobytes()) for first, x in next(there))
                     elif outer:
                         rows.append((i, None, None, None))
                 if rows:
@@ -510,7 +574,7 @@ def measured(media: DataFrame) -> DataFrame:
     return pcm(media, outer=True).mapInArrow(run, schema)
 
 
-def digest(docs: DataFrame, lpc: int = 0) -> DataFrame:
+def digest(docs: DataFrame, lpc: int = LPC) -> DataFrame:
     """The columns of op9. The media table is written to the shared folder, and all digests are of what is read back from it."""
     media = written(stored(docs.select("doc_id", "text"), lpc=lpc), "media")
     return measured(media).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
