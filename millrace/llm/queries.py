@@ -23,8 +23,10 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str, ranks: str = RANKS) -> DataFrame:
-    """All documents are inserted; those marked toxic are deleted and inserted again; the first batch is then tried once more."""
-    docs, marked = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels").filter("toxic = 1").select("doc_id").distinct()
+    """All documents are inserted; those marked toxic are deleted and inserted again, those of low quality revised to the
+    count of their trimmed texts; all is compacted, and the first batch is then tried once more."""
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    marked, poor = (labels.filter(c).select("doc_id").distinct() for c in ("toxic = 1", "quality = 0"))
     store = tokens.Rollup(spark, scratch(spark, "token-rollup"))
     store.commit("1-load", tokens.inserts(docs, ranks, "byte_bpe_50k"))
     toxic = store.current().join(marked, "doc_id", "left_semi")
@@ -34,6 +36,9 @@ def op2_token_counts(spark: SparkSession, sf_dir: str, ranks: str = RANKS) -> Da
     again.write.parquet(restored)
     store.commit("2-toxic", gone)
     store.commit("3-restored", spark.read.parquet(restored))
+    revised = tokens.inserts(docs.join(poor, "doc_id", "left_semi").withColumn("text", F.trim("text")), ranks, "byte_bpe_50k")
+    store.commit("4-revised", revised.withColumn("op", F.lit("revise")))
+    store.compact()
     store.commit("1-load", gone)
     return store.totals()
 

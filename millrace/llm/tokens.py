@@ -1,14 +1,16 @@
 """Token counts kept up to date by signed changes.
 
 A commit turns a batch of changes into signed rows (a retraction of what was counted, an insertion of what counts now),
-sums them by source, language and tokenizer version, and publishes both under the batch's name. Totals are the sum of all
-published deltas. A batch that is already there is left alone, so that a retry changes nothing.
+sums them by source, language and tokenizer version, and publishes both by one small file with the batch's name. Totals are
+the sum of all published deltas. A batch that is already there is left alone, so that a retry changes nothing.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import json
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -16,7 +18,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import extended, text_of
+from .common import extended, pieces, text_of
 
 #: The pre-tokenizer of the byte-level vocabularies, a fixed pattern of theirs; largest vocabulary file, in bytes.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -44,7 +46,7 @@ def counted(docs: DataFrame, ranks: str, version: str | None = None, text: str =
 
         lines = (x.split() for x in held.value.splitlines() if x.strip())
         coder = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in lines}, special_tokens={})
-        for batch in batches:
+        for batch in pieces(batches, text):
             n = [len(coder.encode_ordinary(t)) if t else 0 for t in batch[text].to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64()), pa.array([version] * len(n), pa.string())], [*batch.schema.names, "n_tokens", "tokenizer"])
 
@@ -54,24 +56,56 @@ def counted(docs: DataFrame, ranks: str, version: str | None = None, text: str =
 class Rollup:
     """Totals by source, language and tokenizer version below a folder that driver and executors share.
 
-    ``deltas/<batch>`` holds a batch's summed changes, ``rows/<batch>`` its signed rows, from which the current count of a
-    document is told. Both are written under a temporary name; renaming the delta commits. One writer at a time.
+    ``data/<unique name>`` holds a batch's signed rows, from which the current count of a document is told, and their sums.
+    ``commits/<batch>.json`` names these folders; it is written last, as a whole, and commits. Nothing is moved, so that any
+    store with whole-file writes will do; data without a commit is of no account. compact() commits the net rows of all
+    batches so far in place of theirs. One writer at a time.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
         self.fs, self.path = pafs.FileSystem.from_uri(self.folder)
-        for part in ("deltas", "rows", "_temporary"):
-            self.fs.create_dir(f"{self.path}/{part}", recursive=True)
+        self.fs.create_dir(f"{self.path}/commits", recursive=True)
+
+    def _commits(self) -> list[dict]:
+        out = []
+        for x in self.fs.get_file_info(pafs.FileSelector(f"{self.path}/commits")):
+            if x.base_name.endswith(".json"):
+                with self.fs.open_input_stream(x.path) as f:
+                    out.append(json.loads(f.read()))
+        return out
 
     def batches(self) -> list[str]:
-        """Names of the committed batches."""
-        return sorted(x.base_name for x in self.fs.get_file_info(pafs.FileSelector(f"{self.path}/deltas")))
+        """Names of the committed batches, compacted ones included."""
+        return sorted({b for c in self._commits() for b in c["batches"]})
 
     def _all(self, part: str, schema: str) -> DataFrame:
-        paths = [f"{self.folder}/{part}/{b}" for b in self.batches()]
+        commits = self._commits()
+        whole = max((c for c in commits if c.get("compacted")), key=lambda c: len(c["batches"]), default={"batches": []})
+        live = ([whole] if whole["batches"] else []) + [c for c in commits if not c.get("compacted") and not set(c["batches"]) & set(whole["batches"])]
+        paths = [f"{self.folder}/{c[part]}" for c in live]
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
+    def _publish(self, name: str, commit: dict) -> None:
+        with self.fs.open_output_stream(f"{self.path}/{name}.tmp") as f:
+            f.write(json.dumps(commit).encode())
+        self.fs.move(f"{self.path}/{name}.tmp", f"{self.path}/commits/{name}.json")  # one small file
+
+    def _put(self, rows: DataFrame) -> dict:
+        """Writes signed rows and their sums; returns the names of both."""
+        at = f"data/{uuid.uuid4().hex}"
+        rows.write.parquet(f"{self.folder}/{at}/rows")
+        rows = self.spark.read.schema(_ROW).parquet(f"{self.folder}/{at}/rows")
+        delta = rows.groupBy(*GROUP).agg(F.sum(F.col("sign").cast("long")).alias("n_docs"), F.sum(F.col("n_tokens") * F.col("sign")).alias("n_tokens"))
+        delta.write.parquet(f"{self.folder}/{at}/delta")
+        return {"rows": f"{at}/rows", "delta": f"{at}/delta"}
+
+    def compact(self) -> None:
+        """From now on the net rows of what is committed are read in place of all the batches' rows; batches stay known."""
+        known = self.batches()
+        net = self.current().select("doc_id", *GROUP, "n_tokens", F.col("copies").cast("int").alias("sign"))
+        self._publish(f"compacted-{uuid.uuid4().hex}", {"batches": known, "compacted": True} | self._put(net))
+
     def current(self) -> DataFrame:
         """doc_id, source, lang, tokenizer, n_tokens, copies of what counts now: signed rows that aren't retracted."""
         keys = ["doc_id", *GROUP, "n_tokens"]
@@ -79,7 +113,7 @@ class Rollup:
 
     def totals(self) -> DataFrame:
         """source, lang, tokenizer, n_docs, n_tokens; nulls are values of their own, groups without documents are left out."""
-        sums = self._all("deltas", "source string, lang string, tokenizer string, n_docs long, n_tokens long")
+        sums = self._all("delta", "source string, lang string, tokenizer string, n_docs long, n_tokens long")
         return sums.groupBy(*GROUP).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).filter("n_docs <> 0 or n_tokens <> 0")
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
@@ -99,21 +133,9 @@ class Rollup:
         old = self.current().alias("c").join(others.select("doc_id", "tokenizer").alias("o"), (F.col("c.doc_id") == F.col("o.doc_id")) & F.col("c.tokenizer").eqNullSafe(F.col("o.tokenizer")), "left_semi")
         retracted = old.select("doc_id", *GROUP, "n_tokens", (-F.col("copies")).cast("int").alias("sign"))
         rows = added.unionByName(revised).unionByName(retracted)
-        here = f"{self.folder}/_temporary/{batch}"
-        rows.write.mode("overwrite").parquet(f"{here}-rows")
-        rows = self.spark.read.schema(_ROW).parquet(f"{here}-rows")
-        delta = rows.groupBy(*GROUP).agg(F.sum(F.col("sign").cast("long")).alias("n_docs"), F.sum(F.col("n_tokens") * F.col("sign")).alias("n_tokens"))
-        delta.write.mode("overwrite").parquet(f"{here}-delta")
-        self._move(f"_temporary/{batch}-rows", f"rows/{batch}")
-        self._move(f"_temporary/{batch}-delta", f"deltas/{batch}")
+        self._publish(f"batch-{hashlib.sha256(batch.encode()).hexdigest()}", {"batches": [batch]} | self._put(rows))
         return True
 
-    def _move(self, source: str, target: str) -> None:
-        """Rows of a batch without a delta are left from a commit that broke off, and are replaced."""
-        if self.fs.get_file_info(f"{self.path}/{target}").type != pafs.FileType.NotFound:
-            self.fs.delete_dir(f"{self.path}/{target}")
-        self.fs.move(f"{self.path}/{source}", f"{self.path}/{target}")
-
 
 def inserts(docs: DataFrame, ranks: str, version: str | None = None) -> DataFrame:
     """Changes that insert each row of docs (doc_id, source, lang, text) with its count."""

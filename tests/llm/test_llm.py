@@ -1,17 +1,19 @@
 """Operators against brute force, round trips, and the cases every operator must bear."""
 
+import base64
 import gzip
 import hashlib
 import json
 import random
 import re
+import zlib
 from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.llm import common, decontaminate, flac, language, licenses, mixing, near_dedup, pii, quality, tokens, warc
+from millrace.llm import common, decontaminate, flac, language, licenses, mixing, near_dedup, pii, quality, queries, tokens, warc
 from millrace.llm.queries import RANKS
 
 random.seed(5)
@@ -358,3 +360,144 @@ def test_deduplicated_keeps_one_row_of_each_group(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, node int")
     got = sorted(((r.doc_id, r.text, r.node) for r in near_dedup.deduplicated(docs).collect()), key=str)
     assert got == sorted([(3, t, 2), (3, other, 3), (None, "solo words here", 4), (8, None, 5), (8, "", 5)], key=str)
+
+
+def test_letters_are_letters(spark):
+    docs = spark.createDataFrame([(i, t, "en" if i % 2 else "de") for i, t in enumerate(["the and of", "der die das", "½ ²", "Ⅷ 12", "_", "ß"] * 9)], "doc_id long, text string, lang string")
+    got = {r.text: (r.lang_pred, r.score) for r in language.predict(docs, language.fit(docs)).collect()}
+    assert [got[t] for t in ("½ ²", "Ⅷ 12", "_")] == [("und", 0.0)] * 3 and got["ß"][0] != "und"
+
+
+@pytest.mark.parametrize("sf", ["/root/testdata/sf0.01"])
+def test_held_out_accuracy(spark, sf):
+    docs, labels = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("documents", "labels"))
+    got = queries.op4_language(spark, sf).filter("held_out and lang_pred <> 'und'").join(docs.select("doc_id", "lang"), "doc_id").filter("lang is not null")
+    assert got.count() > 150 and got.filter("lang_pred = lang").count() / got.count() > 0.97
+    got = queries.op5_quality(spark, sf).filter("held_out").join(labels.select("doc_id", "quality"), "doc_id")
+    assert got.count() > 50 and got.filter("predicted = quality").count() / got.count() > 0.95
+
+
+def test_one_label_for_one_licence(spark):
+    texts = ["This page is licensed under CC BY 4.0.", "This page is licensed under CC BY-NC 4.0.", "This page is licensed under CC BY-SA 4.0.", "Licensed under CC BY 4.0. And so on. Licensed under CC BY-SA 4.0.", "a\nb"]
+    got = {r.doc_id: r.labels for r in licenses.digest(licenses.scan(docs_of(spark, texts))).collect()}
+    assert [got[i] for i in range(5)] == ["cc-by,cc-by-4.0", "cc-by,cc-by-nc-4.0", "cc-by,cc-by-sa-4.0", "cc-by,cc-by-4.0,cc-by-sa-4.0", ""]
+    assert licenses.scan(docs_of(spark, ["x"]).limit(0)).count() == 0
+
+
+def test_pii_secrets_by_their_context(spark):
+    rng = random.Random(4)
+    digest = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(39)) + "a1"[rng.random() < 0.5]
+    texts = [f'{say(3)} token = "{digest()}" {say(2)}' for _ in range(8)] + ['then token = "Zm9vYmFyLTEyMzQ1" end', f"commit {digest()} went in", "card 4539 1488 0343 6468 no"]
+    found = pii.find(docs_of(spark, texts))
+    got = {r.doc_id: r for r in found.collect()}
+    assert [[x.kind for x in got[i].spans] for i in range(11)] == [["secret"]] * 9 + [[], []] and not any(r.base for r in got.values())
+    assert got[8].spans[0].m == "Zm9vYmFyLTEyMzQ1"
+    told = {r.doc_id: r for r in pii.digest(found).collect()}
+    assert told[8].n_spans == told[8].n_added == 1 and told[8].spans == "secret:14:30"
+
+
+def test_pii_scores_brute_force(spark):
+    """The graph's scores on a small corpus, beside a direct count in Python."""
+    texts = [f"mail {say(1)} a{i}@b.example x" for i in range(6)] + [f"see {say(1)} v{i}.7 y" for i in range(3)] + ["mail w1 bob9 x", "see w2 +1 555 010 9999 y"]
+    found = pii.occurrences(docs_of(spark, texts)).collect()
+    edges = {(p, r.instance) for r in found for p in r.patterns if p}
+    is_email = lambda m: re.fullmatch(BASE["email"], m)
+    kinds = {m: "email" if is_email(m) else "phone" if m.startswith("+") else None for _, m in edges}
+    held = {}
+    for p, m in edges:
+        held.setdefault(p, set()).add(m)
+    held = {p: ms for p, ms in held.items() if len(ms) >= 3}
+    scores = {m: (k, 1.0) for m, k in kinds.items() if k}
+    for _ in range(3):
+        sure = {(p, k): sum(s for m in ms for kk, s in [scores.get(m, (None, 0))] if kk == k) / len(ms) for p, ms in held.items() for k in ("email", "phone")}
+        new = {}
+        for m in kinds:
+            for k in ("email", "phone"):
+                miss = np.prod([1.0001 - sure[p, k] for p, ms in held.items() if m in ms and sure[p, k] >= 0.7])
+                if not kinds[m] and 1 - miss >= 0.8:
+                    new[m] = (k, 1 - miss)
+        scores = {m: (k, 1.0) for m, k in kinds.items() if k} | new
+    got = {r.instance: (r.kind, pytest.approx(r.score, abs=1e-6)) for r in pii.discover(pii.occurrences(docs_of(spark, texts))).collect()}
+    assert got == {m: v for m, v in scores.items() if not kinds[m]}
+
+
+def test_flac_columns_brute_force(spark):
+    texts = ODD + [say(5000), "ab" * 4000]
+    docs = docs_of(spark, texts)
+    docs = docs.unionByName(docs)
+    rows = flac.digest(docs).collect()
+    assert len(rows) == 2 * len(texts) and flac.digest(docs.limit(0)).count() == 0
+    for r in rows:
+        p = (texts[r.doc_id] or "").encode()
+        p = p.ljust(max(1, -(-len(p) // 192)) * 192)
+        x, stream = np.frombuffer(p, np.uint8).astype(int) - 128, flac.encode(p)
+        assert (r.tail_crc32, r.media_bytes, r.media_sha256) == (zlib.crc32(p[-16:]), len(stream), hashlib.sha256(stream).hexdigest())
+        blocks, mean, steps, turns = r.feature.split(":")
+        assert int(blocks) == -(-len(p) // flac.BLOCK) and float(mean) == pytest.approx(x.mean(), abs=1e-4) and float(steps) == pytest.approx(np.abs(np.diff(x)).sum() / len(x), abs=1e-4)
+        assert float(turns) == pytest.approx(np.count_nonzero(np.diff(x < -32)) / len(x), abs=1e-4)
+
+
+def test_flac_foreign_streams():
+    """Frames that the encoder doesn't write: side and mid channels, escaped and several partitions, wasted bits, 5-bit parameters."""
+    b, n = flac._bits, 192
+    rng = np.random.default_rng(3)
+    left, right = rng.integers(-90, 90, n), rng.integers(-90, 90, n)
+
+    def verbatim(x, depth, wasted=0):
+        head = [b(0, 1), b(1, 6), b(1, 1), *([b(0, 1)] * (wasted - 1)), b(1, 1)] if wasted else [b(0, 1), b(1, 6), b(0, 1)]
+        return np.concatenate(head + [b(int(v) >> wasted & (1 << depth - wasted) - 1, depth - wasted) for v in x])
+
+    def parted(x, method, escaped):
+        """Order 0 predictor, two partitions; the second escaped if so."""
+        out, width = [b(0, 1), b(8, 6), b(0, 1), b(method, 2), b(1, 4)], 4 + method
+        for i, part in enumerate((x[: n // 2], x[n // 2 :])):
+            if escaped and i:
+                out += [b((1 << width) - 1, width), b(9, 5), *(b(int(v) & 511, 9) for v in part)]
+            else:
+                out.append(b(4, width))
+                for v in (int(v) for v in part):
+                    u = (v << 1) ^ (v >> 63)
+                    out += [b(1, (u >> 4) + 1), b(u & 15, 4)]
+        return np.concatenate(out)
+
+    def stream(channels, code, subframes):
+        head = bytes([0xFF, 0xF8, 1 << 4, code << 4 | 1 << 1, 0])
+        body = head + bytes([flac.crc8(head)]) + np.packbits(np.concatenate(subframes)).tobytes()
+        info = n.to_bytes(2, "big") * 2 + bytes(6) + (8000 << 44 | channels - 1 << 41 | 7 << 36 | n).to_bytes(8, "big") + bytes(16)
+        return b"fLaC" + bytes([0x80, 0, 0, 34]) + info + body + flac.crc16(body).to_bytes(2, "big")
+
+    read = lambda s: flac.decode([s])[0][0][1].tolist()
+    side, mid = left - right, (left + right) >> 1
+    both = [left.tolist(), right.tolist()]
+    assert read(stream(2, 1, [verbatim(left, 8), verbatim(right, 8)])) == both
+    assert read(stream(2, 8, [verbatim(left, 8), parted(side, 0, False)])) == both
+    assert read(stream(2, 9, [parted(side, 1, True), verbatim(right, 8)])) == both
+    assert read(stream(2, 10, [parted(mid, 1, False), parted(side, 0, True)])) == both
+    assert read(stream(1, 0, [verbatim(left // 4 * 4, 8, 2)])) == [(left // 4 * 4).tolist()]
+
+
+def test_rollup_counts_and_compaction(spark):
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(c) for a, c in (x.split() for x in Path(RANKS.removeprefix("file://")).read_bytes().splitlines() if x.strip())}
+    coder = tiktoken.Encoding("t", pat_str=tokens.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    texts = ODD + [f" {say(9)} " for _ in range(20)]
+    docs, want = docs_of(spark, texts), {}
+    docs = docs.unionByName(docs.filter("doc_id = 12"))
+    count = lambda t: len(coder.encode_ordinary(t or ""))
+    store = tokens.Rollup(spark, common.scratch(spark, "rollup"))
+    store.commit("a", tokens.inserts(docs, RANKS, "v"))
+    store.commit("b", tokens.inserts(docs.filter("doc_id in (10, 11)").withColumn("text", F.trim("text")), RANKS, "v").withColumn("op", F.lit("revise")))
+    for round_ in range(2):
+        want = {}
+        for r in docs.collect():
+            n, m = want.get((r.source, r.lang), (0, 0))
+            want[r.source, r.lang] = (n + 1, m + count(r.text.strip(" ") if r.doc_id in (10, 11) else r.text))
+        assert {(r.source, r.lang): (r.n_docs, r.n_tokens) for r in store.totals().collect()} == want
+        store.compact()
+        assert store.batches() == ["a", "b"] and not store.commit("a", tokens.inserts(docs, RANKS, "v"))
+    assert len(store._all("rows", tokens._ROW).inputFiles()) and tokens.Rollup(spark, store.folder).totals().count() == len(want)
+    store.commit("c", docs.select(F.lit("delete").alias("op"), "doc_id", "source", "lang", F.lit("v").alias("tokenizer"), F.lit(0).alias("n_tokens")))
+    assert store.totals().count() == 0
+    empty = tokens.Rollup(spark, common.scratch(spark, "rollup"))
+    assert empty.commit("none", tokens.inserts(docs.limit(0), RANKS, "v")) and empty.totals().count() == 0
