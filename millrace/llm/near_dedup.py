@@ -10,7 +10,9 @@ Lists are never expanded into all pairs first: each list's members meet its repr
 classes, and only pairs that lie in different classes of a list remain for the last, complete round. There, two sets meet
 in a value only if it is among the first that their own two sizes call for: sets of sizes a and b need an intersection of
 at least i = ceil(t (a + b) / (1 + t)), so that the first a - i + 1 values of one and b - i + 1 of the other share one. A
-member whose own changes fill these places meets nobody.
+member whose own changes fill these places meets nobody. Beside the values stands a short signature of each whole set, whether
+its values in each part of the hash range are odd in number: where two signatures differ, so do the sets, which bounds the
+intersection before a pair is made.
 """
 
 from __future__ import annotations
@@ -61,20 +63,31 @@ def shingle_sets(texts: list[str | None], width: int) -> tuple[list[np.ndarray],
     return sets, keys
 
 
+#: 64-bit words of a signature.
+SIGNS = 8
+
+
+def signature(values: np.ndarray) -> np.ndarray:
+    """Whether the number of values is odd, for each of 64 * SIGNS equal parts of the hash range, as SIGNS int64."""
+    cells = (values >> np.uint64(64 - (64 * SIGNS).bit_length() + 1)).astype(np.int64)
+    return np.packbits((np.bincount(cells, minlength=64 * SIGNS) & 1).astype(np.uint8)).view(np.int64)
+
+
 def retained(n: int, percent: int) -> int:
     """Size of the sketch of a set of n."""
     return n + percent * n // -100 + 1 if n else 0
 
 
 def _sketches(width: int, percent: int, frequent):
-    """key, n, sketch and far (whether the sketch's last value is frequent or wasn't among those counted first) beside other columns."""
+    """key, n, sketch, signs and far (whether the sketch's last value is frequent or wasn't among those counted first) beside other columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, rank = frequent.value
         for batch in pieces(batches, "text"):
             sets, keys = shingle_sets(batch["text"].to_pylist(), width)
-            sketches, far = [], []
+            sketches, far, signs = [], [], []
             for s in sets:
+                signs.append(signature(s))
                 k, reaches = retained(len(s), percent), False
                 if len(last) and k:
                     at = np.minimum(np.searchsorted(last, s), len(last) - 1)
@@ -87,8 +100,8 @@ def _sketches(width: int, percent: int, frequent):
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in sketches])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sketches)))
             others = [c for c in batch.schema.names if c != "text"]
-            columns = [*(batch[c] for c in others), pa.array(keys, pa.binary()), pa.array(map(len, sets), pa.int32()), lists, pa.array(far, pa.bool_())]
-            yield pa.RecordBatch.from_arrays(columns, [*others, "key", "n", "sketch", "far"])
+            columns = [*(batch[c] for c in others), pa.array(keys, pa.binary()), pa.array(map(len, sets), pa.int32()), lists, pa.array(signs, pa.list_(pa.int64())), pa.array(far, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, [*others, "key", "n", "sketch", "signs", "far"])
 
     return run
 
@@ -146,7 +159,7 @@ def _verified(width: int, percent: int):
 
 def _links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Those pairs (a, b), a table, whose full sets are similar enough. A node a with many pairs is dealt out over several tasks."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    ids = pairs.select(F.col("a").alias("node")).distinct().union(pairs.select(F.col("b").alias("node")).distinct()).distinct()
     ids = small(nodes.join(small(ids, MANY), "node").select("node", F.col("doc_id").alias("_dedup_of"), "same"), MANY)
     texts = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_dedup_of")) & (F.xxhash64("text") == F.col("same")))
     texts = written(texts.groupBy("node").agg(F.first("text").alias("text")), "texts")
@@ -164,7 +177,7 @@ def _near(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     Of two sketches, the one whose last value comes first lies whole within the reach of the other: its values that aren't
     common, and those of the other up to the last common one, are outside the intersection.
     """
-    ids = small(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), MANY)
+    ids = small(pairs.select(F.col("a").alias("node")).distinct().union(pairs.select(F.col("b").alias("node")).distinct()).distinct(), MANY)
     sketches = written(sketches.join(ids, "node", "left_semi"), "asked")
     x, y = (sketches.toDF(c, f"n{c}", f"s{c}") for c in "ab")
     both = pairs.join(x, "a").join(y, "b").withColumn("common", F.array_intersect("sa", "sb")).withColumn("c", F.size("common")).filter("c > 0")
@@ -207,7 +220,7 @@ def classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """
     spark = docs.sparkSession
     docs = text_of(docs, "doc_id", "text")
-    given, sketched = docs.select("doc_id", F.xxhash64("text").alias("same"), "text"), "doc_id long, same long, key binary, n int, sketch array<long>, far boolean"
+    given, sketched = docs.select("doc_id", F.xxhash64("text").alias("same"), "text"), "doc_id long, same long, key binary, n int, sketch array<long>, signs array<long>, far boolean"
     ranks = spark.sparkContext.broadcast(_ranked(_frequent(docs, width, True)))
     rows = given.mapInArrow(_sketches(width, percent, ranks), sketched)
     rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "sketches")
@@ -216,7 +229,7 @@ def classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     own = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "same", "row")).alias("x")
     nodes = written(rows.filter("n > 0").groupBy("key").agg(own, F.count("*").alias("copies")).select("key", F.col("x.row").alias("node"), "x.no_id", "x.doc_id", "x.same", "copies"), "nodes")
     copied = small(nodes.filter("copies > 1").select("key", "node"), MANY)
-    single = rows.filter("n > 0").join(copied, "key", "left").filter("node is null or node = row").select(F.col("row").alias("node"), "doc_id", "same", "n", "sketch", "far")
+    single = rows.filter("n > 0").join(copied, "key", "left").filter("node is null or node = row").select(F.col("row").alias("node"), "doc_id", "same", "n", "sketch", "signs", "far")
     # Sketches that reach far take up values not counted yet: those are counted now and, where frequent, ordered last too.
     # Other sketches stay as they are, since they end before all values that move.
     far = small(single.filter("far").select("node", "doc_id", "same"), MANY)
@@ -261,12 +274,15 @@ def classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     here = entries.join(root.drop("share"), "node")
     sizes = here.groupBy("value", "root").agg(F.count("*").alias("c"))
     largest = sizes.groupBy("value").agg(F.max(F.struct("c", "root")).alias("m"), F.count("*").alias("k")).filter("k > 1").select("value", F.col("m.root").alias("top"))
-    here = written(here.join(largest, "value"), "open")
-    few = here.filter("root <> top").select("value", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.col("pos").alias("pa"))
+    here = written(here.join(largest, "value").join(single.select("node", "signs"), "node"), "open")
+    few = here.filter("root <> top").select("value", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.col("pos").alias("pa"), F.col("signs").alias("sa"))
     meets = few.join(here, "value").filter(f"ra <> root and a <> node and (root = top or a < node) and 100 * least(n, na) >= {percent} * greatest(n, na)")
     # The value must be among the first that these two sizes call for.
     beyond = f"(({percent} * (n + na) + {99 + percent}) div {100 + percent})"
     meets = meets.filter(f"pa <= na - {beyond} and pos <= n - {beyond}")
+    # Half of what the sizes have over the differing signs is the most that the intersection can be.
+    differ = " + ".join(f"bit_count(sa[{i}] ^ signs[{i}])" for i in range(SIGNS))
+    meets = meets.filter(f"n + na - ({differ}) >= 2 * {beyond}")
     # What precedes a common value in both, and what follows it, bounds the intersection.
     meets = meets.filter(f"(least(pa, pos) + least(na - pa, n - pos)) * {100 + percent} >= {percent} * (n + na)")
     pairs = meets.groupBy(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).agg(F.first("n").alias("n"), F.first("na").alias("na"), F.count("*").alias("c"), F.max(F.least("pa", "pos")).alias("at"))
