@@ -21,6 +21,8 @@ from .common import extended, pieces, written
 BLOCK, RATE, SEEK = 4608, 8000, 64
 #: Order of the fitted predictors that are tried beside the fixed ones.
 LPC = 12
+#: How the media table is written: copies of a stream on one page cost little.
+PACKED = {"compression": "zstd", "parquet.compression.codec.zstd.level": "9", "parquet.page.size": str(8 << 20)}
 #: Payloads are filled with spaces up to a positive multiple of this.
 UNIT = 192
 
@@ -576,5 +578,5 @@ def measured(media: DataFrame) -> DataFrame:
 
 def digest(docs: DataFrame, lpc: int = LPC) -> DataFrame:
     """The columns of op9. The media table is written to the shared folder, and all digests are of what is read back from it."""
-    media = written(stored(docs.select("doc_id", "text"), lpc=lpc), "media")
+    media = written(stored(docs.select("doc_id", "text"), lpc=lpc), "media", **PACKED)
     return measured(media).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")

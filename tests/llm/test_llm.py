@@ -242,7 +242,7 @@ def test_flac_column(spark):
 
 def test_flac_media_is_stored_and_read_back(spark, monkeypatch):
     wrote = []
-    monkeypatch.setattr(flac, "written", lambda df, name: wrote.append(common.written(df, name)) or wrote[-1], raising=False)
+    monkeypatch.setattr(flac, "written", lambda df, name, **options: wrote.append(common.written(df, name, **options)) or wrote[-1], raising=False)
     docs = docs_of(spark, [*ODD, say(3000), say(3000)])
     docs = docs.unionByName(docs.filter("doc_id = 9").withColumn("doc_id", F.lit(None).cast("long")))
     out = flac.digest(docs)
