@@ -36,7 +36,8 @@ def op2_token_counts(spark: SparkSession, sf_dir: str, ranks: str = RANKS) -> Da
     again.write.parquet(restored)
     store.commit("2-toxic", gone)
     store.commit("3-restored", spark.read.parquet(restored))
-    revised = tokens.inserts(docs.join(poor, "doc_id", "left_semi").withColumn("text", F.trim("text")), ranks, "byte_bpe_50k")
+    # Counts meet the labels, not texts: a join of documents would shuffle them whole where the labels are many.
+    revised = tokens.inserts(docs.withColumn("text", F.trim("text")), ranks, "byte_bpe_50k").join(poor, "doc_id", "left_semi")
     store.commit("4-revised", revised.withColumn("op", F.lit("revise")))
     store.compact()
     store.commit("1-load", gone)

@@ -18,7 +18,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import extended, pieces, text_of
+from .common import extended, pieces, text_of, written
 
 #: The pre-tokenizer of the byte-level vocabularies, a fixed pattern of theirs; largest vocabulary file, in bytes.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -129,6 +129,7 @@ class Rollup:
         changes = changes.select(*(F.col(c).cast(k).alias(c) for c, k in kinds.items()))
         added = changes.filter("op = 'insert'").select("doc_id", *GROUP, "n_tokens", F.lit(1).alias("sign"))
         others = changes.filter("op in ('delete', 'revise') and doc_id is not null").groupBy("doc_id", "tokenizer").agg(F.max(F.struct("op", "source", "lang", "n_tokens")).alias("x"))
+        others = written(others, "changes")  # read twice below, counted once
         revised = others.filter("x.op = 'revise'").select("doc_id", "x.source", "x.lang", "tokenizer", "x.n_tokens", F.lit(1).alias("sign"))
         old = self.current().alias("c").join(others.select("doc_id", "tokenizer").alias("o"), (F.col("c.doc_id") == F.col("o.doc_id")) & F.col("c.tokenizer").eqNullSafe(F.col("o.tokenizer")), "left_semi")
         retracted = old.select("doc_id", *GROUP, "n_tokens", (-F.col("copies")).cast("int").alias("sign"))
