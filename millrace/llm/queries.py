@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, flac, language, licenses, mixing, near_dedup, pii, quality, tokens, warc
+from . import decontaminate, divergence, flac, language, licenses, mixing, near_dedup, pii, quality, sharding, tokens, warc, whitening
 from .common import scratch
 
 #: Where the vocabulary of op2 lies; a parameter of the operator.
@@ -83,6 +83,18 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.dealt(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -100,6 +112,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_licenses": op8_licenses,
     "op9_flac": op9_flac,
     "op10_warc": op10_warc,
+    "op11_divergence": op11_divergence,
+    "op12_whitening": op12_whitening,
+    "op13_sharding": op13_sharding,
     "pipeline": pipeline,
 }
 
@@ -172,4 +187,30 @@ select page_id, payload_bytes, payload_digest,
 from r
 """
 
-ORACLE_SQL: dict[str, str] = {"op3_near_dedup": _OP3, "op6_mixing": _OP6, "op7_decontaminate": _OP7, "op10_warc": _OP10}
+_OP11 = rf"""
+with docs as (
+  select row_number() over () r, coalesce(lang, '') lang, coalesce(source, '') source, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') w from documents
+), words as (select r, lang, source, unnest(w) term from docs),
+kept as (select lang, term from words group by 1, 2 having count(distinct r) >= 10),
+sizes as (select lang, count(*) v from kept group by 1),
+counts as (select lang, source, term, count(*) c from words join kept using (lang, term) group by 1, 2, 3),
+groups as (select distinct lang, source from docs),
+totals as (select g.lang, g.source, coalesce(sum(c), 0)::hugeint n from groups g left join counts t on g.lang = t.lang and g.source = t.source group by 1, 2),
+langs as (select lang, sum(n)::hugeint n from totals group by 1),
+dense as (
+  select t.lang, t.source, k.term, coalesce(c.c, 0) c, (1 + 1000000000::hugeint * (coalesce(c.c, 0) + 2) // (t.n + 2 * s.v))::bigint p
+  from totals t join kept k on t.lang = k.lang join sizes s on t.lang = s.lang left join counts c on c.lang = t.lang and c.source = t.source and c.term = k.term
+), whole as (
+  select k.lang, k.term, (1 + 1000000000::hugeint * (coalesce(sum(c.c), 0) + 2) // (any_value(l.n) + 2 * any_value(s.v)))::bigint q
+  from kept k join langs l using (lang) join sizes s using (lang) left join counts c on c.lang = k.lang and c.term = k.term group by 1, 2
+), apart as (
+  select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) f from dense a join dense b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by 1, 2, 3
+), pairs as (
+  select a.lang, a.source, 'pair' part, b.source as item, coalesce(f, 0)::bigint as value
+  from groups a join groups b on a.lang = b.lang and a.source <> b.source left join apart x on x.lang = a.lang and x.source = a.source and x.item = b.source
+), terms as (select lang, source, 'term' part, term as item, ((p - q) * (p - q) // (p + q))::bigint as value from dense join whole using (lang, term) where c > 0 and p > q),
+ranked as (select *, row_number() over (partition by lang, source, part order by value desc, item) as rank from (select * from pairs union all select * from terms))
+select lang, source, part, item, value, rank::int as rank from ranked where part = 'pair' or rank <= 10
+"""
+
+ORACLE_SQL: dict[str, str] = {"op3_near_dedup": _OP3, "op6_mixing": _OP6, "op7_decontaminate": _OP7, "op10_warc": _OP10, "op11_divergence": _OP11}
