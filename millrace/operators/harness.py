@@ -11,6 +11,10 @@ from ..functions import includes
 INTERNAL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+[.][A-Za-z]|(api[_-]?key|secret|token|password) *[=:]|[0-9]{13}"
 
 
+#: Entries of a matrix of roles that is broadcast.
+GRANTS = 10_000
+
+
 def latest_contract(contracts: DataFrame) -> DataFrame:
     """The newest active contract of each agent; of the same time, the greatest version."""
     w = Window.partitionBy("agent_id").orderBy(F.col("created_at").desc(), F.col("version").desc())
@@ -77,5 +81,7 @@ def feedback(approvals: DataFrame, runs: DataFrame) -> DataFrame:
 
 
 def permitted(actions: DataFrame, grants: DataFrame) -> DataFrame:
-    """actions (role, action, ..) that grants (role, action) allow."""
-    return actions.join(F.broadcast(grants.select("role", "action").distinct()), ["role", "action"], "left_semi")  # a matrix of roles
+    """actions (role, action, ..) that grants (role, action) allow; a matrix of at most GRANTS entries is sent to all tasks."""
+    rows = grants.select("role", "action").distinct()
+    rows = F.broadcast(rows) if rows.limit(GRANTS + 1).count() <= GRANTS else rows
+    return actions.join(rows, ["role", "action"], "left_semi")

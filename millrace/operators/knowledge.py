@@ -15,12 +15,21 @@ QUERY_ROWS = 20_000
 WORD, NAME = r"\p{L}+", r"^\p{Lu}\p{Ll}+$"
 
 
+def chunk_count(text: Column, size: int = 800, overlap: int = 0) -> Column:
+    """Number of a text's chunks, see chunk(); 0 for null and empty texts."""
+    if size <= overlap:
+        raise ValueError("the overlap must be below the size")
+    return F.when(F.length(text) > 0, F.greatest(F.ceil((F.length(text) - overlap) / (size - overlap)), F.lit(1)).cast("int")).otherwise(0)
+
+
+def name_count(text: Column) -> Column:
+    """Number of different names in a text, see names(); 0 for null texts."""
+    return F.coalesce(F.size(F.array_distinct(F.filter(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), _named))), F.lit(0))
+
+
 def chunk(docs: DataFrame, size: int = 800, overlap: int = 0) -> DataFrame:
     """doc_id, pos, chunk: pieces of ``size`` characters, each starting size - overlap after the one before. Empty texts have none."""
-    step = size - overlap
-    if step <= 0:
-        raise ValueError("the overlap must be below the size")
-    last = F.greatest(F.ceil((F.length("text") - overlap) / step), F.lit(1)).cast("int") - 1
+    step, last = size - overlap, chunk_count(F.col("text"), size, overlap) - 1
     at = docs.filter(F.length("text") > 0).select("doc_id", "text", F.explode(F.sequence(F.lit(0), last)).alias("pos"))
     return at.select("doc_id", F.col("pos").cast("long").alias("pos"), F.substring("text", F.col("pos") * step + 1, F.lit(size)).alias("chunk"))
 

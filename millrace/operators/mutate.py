@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,10 +15,12 @@ from ..functions import errors_message
 def upsert(current: DataFrame, changes: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """current with each key's last change (by order) in place of its row; op = 'delete' removes it.
 
-    changes: the columns of current, op, and order columns. Applying the same changes again changes nothing.
+    changes: the columns of current, op, and order columns. Applying the same changes again changes nothing, null keys
+    included: a null is a key like others.
     """
     last = changes.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*(F.col(c).desc() for c in order)))).filter("_n = 1").drop("_n")
-    kept = current.join(last.select(*keys), keys, "left_anti")
+    gone = last.select(*(F.col(k).alias(f"_key_{k}") for k in keys))
+    kept = current.join(gone, reduce(and_, (F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys)), "left_anti")
     return kept.unionByName(last.filter(F.coalesce(F.col("op"), F.lit("upsert")) != "delete").select(current.columns))
 
 

@@ -25,10 +25,10 @@ def metric_rows(metrics: dict[str, tuple[DataFrame, Column]]) -> DataFrame:
 def response_times(messages: DataFrame, conversation: str, order: list[str], role: str, asks: str, answers: str) -> DataFrame:
     """Each asking message with answered_at: the time (first of order) of the conversation's next answering message, null if none.
 
-    One sort by conversation and order; no pairs.
+    One sort by conversation and order, the newest first, and one pass that carries the last answer seen; no pairs.
     """
-    after = Window.partitionBy(conversation).orderBy(*order).rowsBetween(1, Window.unboundedFollowing)
-    answered = F.min(F.when(F.col(role) == answers, F.col(order[0]))).over(after)
+    later = Window.partitionBy(conversation).orderBy(*(F.col(c).desc() for c in order)).rowsBetween(Window.unboundedPreceding, -1)
+    answered = F.last(F.when(F.col(role) == answers, F.col(order[0])), True).over(later)
     return messages.withColumn("answered_at", answered).filter(F.col(role) == asks)
 
 

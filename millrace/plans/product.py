@@ -340,10 +340,8 @@ e as (select source, count(*) entity_count from (select distinct doc_id, source,
 select source, chunk_count, coalesce(entity_count, 0) entity_count from c left join e using (source)""")
 def kb_source_counts(spark, d):
     docs = table(spark, d, "documents").filter("length(text) > 0")
-    chunks = knowledge.chunk(docs.select("doc_id", "text")).groupBy("doc_id").agg(F.count("*").alias("chunks"))
-    names = knowledge.names(docs.select("doc_id", "text")).groupBy("doc_id").agg(F.count("*").alias("names"))
-    rows = docs.select("doc_id", "source").join(chunks, "doc_id").join(names, "doc_id", "left")
-    return analytics.metric_by(rows, ["source"], chunk_count=F.sum("chunks"), entity_count=F.coalesce(F.sum("names"), F.lit(0)))
+    t = F.col("text")
+    return analytics.metric_by(docs, ["source"], chunk_count=F.sum(knowledge.chunk_count(t)), entity_count=F.sum(knowledge.name_count(t)))
 
 
 @query("select o_orderstatus, o_orderpriority, count(*) n from orders group by grouping sets ((o_orderstatus), (o_orderpriority), ())")

@@ -211,9 +211,8 @@ def kb_dedupe_exact(spark, d):
 
 @query("select source, cast(sum(greatest(ceil(length(text) / 800.0), 1)) as bigint) chunk_count, count(*) docs from documents where length(text) > 0 group by 1")
 def kb_chunk_counts(spark, d):
-    docs = table(spark, d, "documents")
-    n = knowledge.chunk(docs.select("doc_id", "text")).groupBy("doc_id").agg(F.count("*").alias("n"))
-    return analytics.metric_by(n.join(docs.select("doc_id", "source"), "doc_id"), ["source"], chunk_count=F.sum("n"), docs=F.count("*"))
+    docs = table(spark, d, "documents").filter("length(text) > 0")
+    return analytics.metric_by(docs, ["source"], chunk_count=F.sum(knowledge.chunk_count(F.col("text"))), docs=F.count("*"))
 
 
 @query(r"""select page_id, regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) host, cast(len(regexp_extract_all(html, 'href="')) as bigint) n_links,

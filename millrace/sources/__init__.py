@@ -38,9 +38,18 @@ def facts(spark: SparkSession, rows: list[tuple[str, str, str]]) -> DataFrame:
 
 def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as a stream, ts as a timestamp."""
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    return raw.withColumn("ts", F.col("ts").cast("timestamp"))
+    return table_stream(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def table_stream(spark: SparkSession, sf_dir: str, name: str, files_per_batch: int | None = None) -> DataFrame:
+    """A Parquet table as a stream, be it a single file or a folder of part files; new part files are found as they come."""
+    at = f"{sf_dir}/{name}.parquet"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    single = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).isFile()
+    reader = spark.readStream.schema(spark.read.parquet(at).schema)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir) if single else reader.parquet(at)
 
 
 def files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
