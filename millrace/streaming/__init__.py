@@ -12,12 +12,16 @@ from ..functions import hmac_sha256
 from ..store import scratch
 
 
-def drained(stream: DataFrame, mode: str = "append", checkpoint: str | None = None, every: str | None = None) -> DataFrame:
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+def drained(stream: DataFrame, mode: str = "append", checkpoint: str | None = None, every: str | None = None, provider: str | None = None) -> DataFrame:
     """Runs a stream over all that is there and returns what it has put out, read from Parquet files in the shared folder.
 
     Executors write the rows; none pass the driver. checkpoint: a folder for state and output, by which a later call goes
     on and returns the output of all calls; by default a new one. every: run batches at this interval until nothing is left
-    (a service would let the query run on); by default as fast as they come.
+    (a service would let the query run on); by default as fast as they come. provider: the class of the state store, by
+    default the session's.
     """
     spark = stream.sparkSession
     folder = checkpoint or scratch(spark, "stream")
@@ -29,7 +33,12 @@ def drained(stream: DataFrame, mode: str = "append", checkpoint: str | None = No
         writer = writer.format("parquet").option("path", out)
     else:  # a batch that is tried again replaces its files; in complete mode each replaces the one before
         writer = writer.foreachBatch(lambda df, i: df.write.mode("overwrite").parquet(f"{out}/{i if mode == 'update' else 'all'}"))
-    running = writer.start()
+    usual = spark.conf.get(_PROVIDER)
+    spark.conf.set(_PROVIDER, provider or usual)
+    try:
+        running = writer.start()  # settings are taken over here
+    finally:
+        spark.conf.set(_PROVIDER, usual)
     if every:
         running.processAllAvailable()
         running.stop()
