@@ -20,6 +20,8 @@ from .common import extended, pieces, text_of
 UNKNOWN = "und"
 #: Hashed n-gram features; sizes of n-grams in bytes.
 FEATURES, SIZES = 4096, (1, 2, 3)
+#: Bytes of a text that are hashed at once.
+BLOCK = 1 << 18
 #: Bound of the sample that classifiers are fitted on: rows in all, dealt evenly to the languages.
 SAMPLE = 3000
 #: A text is ambiguous if the runner-up is at least this likely in relation to the winner.
@@ -29,17 +31,23 @@ _KEEP = np.array([b if b >= 128 or chr(b).isalpha() else 32 for b in range(256)]
 
 
 def features(text: str) -> np.ndarray:
-    """Square roots of hashed n-gram counts of the whole lower-cased text, of length 1. Other than letters are spaces."""
-    b = _KEEP[np.frombuffer(b" " + text.lower().encode("utf-8", "replace") + b" ", np.uint8)]
-    if len(b) > 1:
-        b = b[(b != 32) | (np.concatenate([[True], b[1:] != b[:-1]]))]  # runs of spaces count once
-    counts, h = np.zeros(FEATURES, np.int64), np.zeros(len(b), np.uint32)
-    for n in range(1, max(SIZES) + 1):
-        if len(b) < n:
-            break
-        h = h[: len(b) - n + 1] * np.uint32(0x01000193) + b[n - 1 :] + np.uint32(1)
-        if n in SIZES:
-            counts += np.bincount((h * np.uint32(0x9E3779B1)) >> np.uint32(20), minlength=FEATURES)
+    """Square roots of hashed n-gram counts of the whole lower-cased text, of length 1. Other than letters are spaces.
+
+    Bytes are taken in blocks, each with the last ones of the block before, so that memory grows with the text's bytes only.
+    """
+    data = np.frombuffer(b" " + text.lower().encode("utf-8", "replace") + b" ", np.uint8)
+    counts, carried, last = np.zeros(FEATURES, np.int64), np.zeros(0, np.uint32), 0
+    for at in range(0, len(data), BLOCK):
+        new = _KEEP[data[at : at + BLOCK]]
+        old, b = len(carried), np.concatenate([carried, new[(new != 32) | (np.concatenate([[last], new[:-1]]) != 32)]])  # runs of spaces count once
+        h = np.zeros(len(b), np.uint32)
+        for n in range(1, max(SIZES) + 1):
+            if len(b) < n:
+                break
+            h = h[: len(b) - n + 1] * np.uint32(0x01000193) + b[n - 1 :] + np.uint32(1)
+            if n in SIZES:
+                counts += np.bincount((h[max(0, old - n + 1) :] * np.uint32(0x9E3779B1)) >> np.uint32(20), minlength=FEATURES)
+        carried, last = b[max(0, len(b) - max(SIZES) + 1) :], int(new[-1])
     out = np.sqrt(counts).astype(np.float32)
     return out / max(float(np.linalg.norm(out)), 1e-9)
 
@@ -81,7 +89,7 @@ class Model:
 def _sampled(rows: DataFrame, quota: dict[str, float]) -> DataFrame:
     share = F.element_at(F.create_map(*(F.lit(x) for kv in quota.items() for x in kv)), F.col("lang"))
     draw = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) / 1e6
-    return rows.filter(draw < share)
+    return rows.withColumn("draw", draw).filter(F.col("draw") < share)
 
 
 def fit(docs: DataFrame, learn: Column | None = None, sample: int = SAMPLE, steps: int = 150) -> Model | None:
@@ -100,9 +108,11 @@ def fit(docs: DataFrame, learn: Column | None = None, sample: int = SAMPLE, step
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = [features(t).astype(np.float16).tobytes() for t in batch["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["lang"], pa.array(x, pa.binary())], ["doc_id", "lang", "x"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["lang"], batch["draw"], pa.array(x, pa.binary())], ["doc_id", "lang", "draw", "x"])
 
-    got = _sampled(rows, quota).mapInArrow(featured, "doc_id long, lang string, x binary").limit(2 * sample + 2 * len(sizes)).toPandas().sort_values(["lang", "doc_id"])
+    once = _sampled(rows, quota).groupBy("doc_id", "draw").agg(F.min(F.struct("lang", "text")).alias("r")).select("doc_id", "draw", "r.lang", "r.text")  # one row of an id that repeats
+    some = once.mapInArrow(featured, "doc_id long, lang string, draw double, x binary")
+    got = some.orderBy("draw", "doc_id").limit(2 * sample + 2 * len(sizes)).toPandas().sort_values(["lang", "doc_id"])
     if not len(got):
         return None
     x = np.stack([np.frombuffer(v, np.float16) for v in got["x"]]).astype(np.float32)

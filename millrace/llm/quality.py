@@ -7,6 +7,7 @@ The model is fitted on a bounded sample of labelled documents and applied to eve
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from operator import eq
@@ -22,22 +23,58 @@ from .common import extended, mixed, pieces, text_of
 SHAPES, DENSITIES, PASSAGE, HIDDEN = 192, 9, 400, 16
 #: Bounds of the fitting sample: documents, and passages of each of them.
 SAMPLE, SAMPLE_PASSAGES = 3000, 64
+#: Bytes of text whose passages are encoded at once, a multiple of PASSAGE; letters whose words are compared at once.
+BLOCK, PIECE = 64 * PASSAGE, 1 << 18
 #: Score from which a document counts as good.
 GOOD = 0.3
 
+_GAP = re.compile(r"\s")
 #: Shape of a byte: lower-case letters and bytes beyond ASCII are a, capitals A, digits 9, others stand for themselves.
 _SHAPE = np.array([97 if b >= 128 or 97 <= b <= 122 else 65 if 65 <= b <= 90 else 57 if 48 <= b <= 57 else b for b in range(256)], np.uint32)
 
 
-def passages(text: str | None) -> np.ndarray:
-    """Features of all passages of a whole text, float32; null and empty texts are one empty passage."""
+def repetition(text: str) -> float:
+    """Share of words that repeat the word before, in pieces of a text that end with a word."""
+    n, same, last, at = 0, 0, None, 0
+    while at < len(text):
+        end = _GAP.search(text, at + PIECE)
+        to = end.start() if end else len(text)
+        words = text[at:to].lower().split()
+        if words:
+            same += (words[0] == last) + sum(map(eq, words, words[1:]))
+            n, last = n + len(words), words[-1]
+        at = to
+    return same / max(n, 1)
+
+
+def blocks(text: str | None) -> Iterator[np.ndarray]:
+    """Features of all passages of a whole text, float32, in their order, at most about BLOCK bytes of text at once; null and
+    empty texts are one empty passage. A block ends with a line or, in a long line, with a passage."""
     b = np.frombuffer((text or "").encode("utf-8", "replace"), np.uint8)
-    out = np.zeros((1, SHAPES + DENSITIES), np.float32)
     if not len(b):
-        return out
-    new = np.concatenate([[True], b[:-1] == 10])
+        yield np.zeros((1, SHAPES + DENSITIES), np.float32)
+        return
+    repeats, at = repetition(text), 0
+    while at < len(b):
+        to = min(at + BLOCK, len(b))
+        if to < len(b) and len(lines := np.flatnonzero(b[at:to] == 10)):
+            to = at + int(lines[-1]) + 1
+        yield _features(b, at, to, repeats)
+        at = to
+
+
+def passages(text: str | None) -> np.ndarray:
+    """Features of all passages of a whole text together."""
+    return np.concatenate(list(blocks(text)))
+
+
+def _features(text: np.ndarray, at: int, to: int, repeats: float) -> np.ndarray:
+    """Of the passages between two places of a text's bytes, the first of which begins a passage."""
+    before = min(at, 2)  # bytes that shapes at the beginning look back on
+    b = text[at - before : to]
+    new = np.concatenate([[True], b[before:-1] == 10])
     start = np.flatnonzero(new)
-    within = np.arange(len(b)) - np.repeat(start, np.diff(np.append(start, len(b))))
+    within = np.arange(len(new)) - np.repeat(start, np.diff(np.append(start, len(new))))
     part = np.cumsum(new | (within % PASSAGE == 0)) - 1
     n = int(part[-1]) + 1
     size = np.bincount(part, minlength=n).astype(np.float32)
@@ -46,15 +83,13 @@ def passages(text: str | None) -> np.ndarray:
     h[:] = s * np.uint32(0x01000193)
     h[1:] += s[:-1] * np.uint32(0x85EBCA6B)
     h[2:] += s[:-2] * np.uint32(0xC2B2AE35)
-    cell = ((h * np.uint32(0x9E3779B1)) >> np.uint32(16)) % np.uint32(SHAPES)
+    cell = (((h * np.uint32(0x9E3779B1)) >> np.uint32(16)) % np.uint32(SHAPES))[before:]
     grams = np.bincount(part * SHAPES + cell, minlength=n * SHAPES).reshape(n, SHAPES)
     out = np.empty((n, SHAPES + DENSITIES), np.float32)
     out[:, :SHAPES] = np.sqrt(grams / size[:, None])
-    share = lambda mask: np.bincount(part, mask, n) / size
+    share = lambda mask: np.bincount(part, mask[before:], n) / size
     space = (s == 32) | (s == 10) | (s == 9)
     letter = (s == 97) | (s == 65)
-    words = text.lower().split()
-    repeats = sum(map(eq, words, words[1:])) / max(len(words), 1)  # of the whole text
     edge = np.concatenate([[False], space[:-1]]) & ~space
     same = np.concatenate([[False], b[1:] == b[:-1]])
     dense = [share(space), share(letter), share(s == 65), share(s == 57), share(~space & ~letter & (s != 57)), share(edge) * 4, share(same) * 4, np.log1p(size) / 8, np.full(n, repeats)]
@@ -81,6 +116,19 @@ class Model:
         z = np.add.reduceat(a[:, None] * h, start)
         return {"bag": bag, "h": h, "t": t, "s": s, "a": a, "z": z, "logit": z @ w["c"] + w["d"]}
 
+    def read(self, blocks: Iterator[np.ndarray]) -> tuple[float, float]:
+        """Probability of a good document from blocks of its passages, and the weight of the heaviest: the attention of all
+        passages, by a running maximum, sum of weights and weighted sum."""
+        w, most, total, z = self.w, -np.inf, 0.0, 0.0
+        for x in blocks:
+            h = np.tanh((x - self.mean) / self.scale @ w["W"] + w["b"])
+            e = (np.tanh(h @ w["V"]) / (1 + np.exp(-np.clip(h @ w["U"], -30, 30)))) @ w["a"]
+            top = max(most, float(e.max()))
+            held, e = np.exp(most - top), np.exp(e - top)
+            most, total, z = top, total * held + float(e.sum(dtype=np.float64)), z * held + (e @ h).astype(np.float64)
+        logit = z / total @ w["c"] + w["d"] + self.offset
+        return float(1 / (1 + np.exp(-np.clip(logit, -30, 30)))), 1 / total
+
     def score(self, bags: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
         """Probability of a good document for each bag, and its passages' attention."""
         start = np.cumsum([0, *map(len, bags[:-1])])
@@ -88,6 +136,20 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(f["logit"] + self.offset, -30, 30))), np.split(f["a"], start[1:])
 
 
+def gradient(m: Model, x: np.ndarray, start: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
+    """Derivatives of the mean weighted logistic loss of bags (see forward()) by the model's weights."""
+    f, p = m.forward(x, start), m.w
+    ds = (1 / (1 + np.exp(-np.clip(f["logit"], -30, 30))) - y) * weight / len(y)
+    dz = ds[:, None] * p["c"]
+    da = (dz[f["bag"]] * f["h"]).sum(1)
+    de = f["a"] * (da - np.add.reduceat(f["a"] * da, start)[f["bag"]])
+    gate = f["t"] * f["s"]
+    dg = de[:, None] * p["a"]
+    dt, du = dg * f["s"] * (1 - f["t"] ** 2), dg * gate * (1 - f["s"])
+    dh = (f["a"][:, None] * dz[f["bag"]] + dt @ p["V"].T + du @ p["U"].T) * (1 - f["h"] ** 2)
+    return {"W": x.T @ dh, "b": dh.sum(0), "V": f["h"].T @ dt, "U": f["h"].T @ du, "a": gate.T @ de, "c": f["z"].T @ ds, "d": ds.sum()}
+
+
 def train(bags: list[np.ndarray], y: np.ndarray, prior: float, epochs: int = 14, seed: int = 3) -> Model:
     """Fits by Adam on small groups of bags; ``prior`` is the share of good documents that scores are adjusted to."""
     rng, every = np.random.default_rng(seed), np.concatenate(bags)
@@ -103,16 +165,7 @@ def train(bags: list[np.ndarray], y: np.ndarray, prior: float, epochs: int = 14,
         for rows in np.array_split(rng.permutation(len(bags)), groups):
             start = np.cumsum([0, *(len(bags[i]) for i in rows[:-1])])
             x = (np.concatenate([bags[i] for i in rows]) - mean) / scale
-            f, p = m.forward(x, start), m.w
-            ds = (1 / (1 + np.exp(-np.clip(f["logit"], -30, 30))) - y[rows]) * weight[rows] / len(rows)
-            dz = ds[:, None] * p["c"]
-            da = (dz[f["bag"]] * f["h"]).sum(1)
-            de = f["a"] * (da - np.add.reduceat(f["a"] * da, start)[f["bag"]])
-            gate = f["t"] * f["s"]
-            dg = de[:, None] * p["a"]
-            dt, du = dg * f["s"] * (1 - f["t"] ** 2), dg * gate * (1 - f["s"])
-            dh = (f["a"][:, None] * dz[f["bag"]] + dt @ p["V"].T + du @ p["U"].T) * (1 - f["h"] ** 2)
-            grad = {"W": x.T @ dh, "b": dh.sum(0), "V": f["h"].T @ dt, "U": f["h"].T @ du, "a": gate.T @ de, "c": f["z"].T @ ds, "d": ds.sum()}
+            grad, p = gradient(m, x, start, y[rows], weight[rows]), m.w
             step += 1
             rate = 0.005 * (1 - 0.8 * epoch / epochs)
             for n, g in grad.items():
@@ -129,12 +182,16 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def _some(x: np.ndarray, doc_id: int, most: int) -> np.ndarray:
-    """At most ``most`` of a bag's passages, in their order."""
-    if len(x) <= most:
-        return x
-    draw = mixed(mixed(np.array([doc_id]).astype(np.uint64)) + np.arange(len(x), dtype=np.uint64))
-    return x[np.sort(np.argsort(draw, kind="stable")[:most])]
+def _some(text: str | None, doc_id: int, most: int) -> np.ndarray:
+    """At most ``most`` of a text's passages, by a hash of doc_id and place, in their order."""
+    x, place, seed, n = np.zeros((0, SHAPES + DENSITIES), np.float32), np.zeros(0, np.uint64), mixed(np.array([doc_id]).astype(np.uint64)), 0
+    for block in blocks(text):
+        x, place = np.concatenate([x, block]), np.concatenate([place, np.arange(n, n + len(block), dtype=np.uint64)])
+        n += len(block)
+        if len(x) > most:
+            keep = np.sort(np.argsort(mixed(seed + place), kind="stable")[:most])
+            x, place = x[keep], place[keep]
+    return x
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, sample: int = SAMPLE, most: int = SAMPLE_PASSAGES) -> Model | None:
@@ -152,15 +209,16 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, sample:
     draw = F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(1_000_000))
     share = F.when(F.col("y") == 1, min(1.0, sample / 2 / sizes[1])).otherwise(min(1.0, sample / 2 / sizes[0]))
     chosen = marks.withColumn("draw", draw).filter(F.col("draw") < share * 1_000_000)
-    rows = text_of(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most about ``sample`` rows
+    rows = text_of(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id")  # chosen: at most about ``sample`` rows
+    rows = rows.groupBy("doc_id", "draw", "y").agg(F.min("text").alias("text"))  # one row of an id that repeats
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = [_some(passages(t), i, most).astype(np.float16).tobytes() for i, t in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True)]
+            x = [_some(t, i, most).astype(np.float16).tobytes() for i, t in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["draw"], batch["y"], pa.array(x, pa.binary())], ["doc_id", "draw", "y", "x"])
 
     rows = rows.select("doc_id", "draw", "y", "text").mapInArrow(featured, "doc_id long, draw long, y int, x binary")
-    got = rows.limit(2 * sample).toPandas().sort_values(["draw", "doc_id"])
+    got = rows.orderBy("draw", "doc_id").limit(2 * sample).toPandas()
     bags = [np.frombuffer(v, np.float16).reshape(-1, SHAPES + DENSITIES).astype(np.float32) for v in got["x"]]
     y = got["y"].to_numpy()
     if len(set(y)) < 2:
@@ -183,8 +241,7 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFra
         for batch in pieces(batches, text, rows=64):
             score, most = np.full(len(batch), 0.5), np.ones(len(batch))
             for i, t in enumerate(batch[text].to_pylist() if m else []):
-                p, attention = m.score([passages(t)])
-                score[i], most[i] = p[0], attention[0].max()
+                score[i], most[i] = m.read(blocks(t))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score), pa.array((score >= GOOD).astype(np.int32)), pa.array(most)], [*batch.schema.names, "score", "predicted", "attention"])
 
     return docs.mapInArrow(run, schema)
