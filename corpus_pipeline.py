@@ -14,8 +14,14 @@ from millrace.llm.common import written
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised: others (null, empty, without letters) go. A null lang gets the prediction."""
-    found = language.predict(docs, language.fit(docs, ~language.held_out())).filter(F.col("lang_pred") != language.UNKNOWN)
+    """Documents whose language is recognised: others (null, empty, without letters) go. A null lang gets the prediction.
+
+    Where no row can be learned from, only texts without letters go, and lang stays as it is.
+    """
+    model = language.fit(docs, ~language.held_out())
+    if model is None:
+        return docs.filter(F.regexp_like("text", F.lit(r"\p{L}")))
+    found = language.predict(docs, model).filter(F.col("lang_pred") != language.UNKNOWN)
     return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(docs.columns)
 
 
