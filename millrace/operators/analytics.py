@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..store import carried
+
 
 def metric_by(df: DataFrame, keys: list[Column | str], **aggs: Column) -> DataFrame:
     """Aggregates by keys; partial sums come before the shuffle."""
@@ -36,24 +38,24 @@ def first_seen(df: DataFrame, key: str, ts: str) -> DataFrame:
 
 
 def not_converted(asks: DataFrame, buys: DataFrame, key: str, ts: str, seconds: int) -> DataFrame:
-    """Rows of asks that no buy of the key follows within the time: the next buy is found by one ordered pass for each key."""
-    marked = asks.withColumn("_buy", F.lit(None).cast("timestamp_ntz")).unionByName(buys.select(key, ts).withColumn("_buy", F.col(ts)), allowMissingColumns=True).withColumn("_ask", F.col("_buy").isNull())
-    w = Window.partitionBy(key).orderBy(F.col(ts).desc(), F.col("_ask")).rowsBetween(Window.unboundedPreceding, 0)
-    out = marked.withColumn("_next", F.last("_buy", True).over(w)).filter("_ask")
+    """Rows of asks that no buy of the key follows within the time: the next buy is carried back by ranges of time."""
+    marked = asks.withColumns({"_buy": F.lit(None).cast("timestamp_ntz"), "_bought": F.lit(0)}).unionByName(buys.select(key, ts).withColumns({"_buy": F.col(ts), "_bought": F.lit(1)}), allowMissingColumns=True)
+    out = carried(marked, key, [ts, "_bought"], {"_buy": "_next"}, "asks", newest_first=True).filter("_bought = 0")
     late = F.col("_next").isNull() | (F.col("_next") > F.col(ts) + F.make_interval(secs=F.lit(seconds)))
     return out.filter(late).select(asks.columns)
 
 
 def asof(left: DataFrame, facts: DataFrame, key: str, ts: str, fact_ts: str, values: list[str]) -> DataFrame:
-    """left with the values of the key's newest fact at or before ts (null if none): one sort by key and time, no pairs.
+    """left with the values of the key's newest fact at or before ts (null if none): facts are carried on by ranges of time, no pairs.
 
     Of facts at the same time the one with the greatest values counts. Columns of facts other than values are left out.
     """
     fact = F.struct(F.col(fact_ts).alias("_at"), *values)
-    right = facts.groupBy(key, F.col(fact_ts).alias(ts)).agg(F.max(fact).alias("_fact"))
-    both = left.withColumn("_left", F.lit(True)).unionByName(right, allowMissingColumns=True)
-    w = Window.partitionBy(key).orderBy(F.col(ts), F.col("_left").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn("_fact", F.last("_fact", True).over(w)).filter("_left").select(*left.columns, *(F.col(f"_fact.{v}").alias(v) for v in values))
+    right = facts.filter(F.col(key).isNotNull() & F.col(fact_ts).isNotNull()).groupBy(key, F.col(fact_ts).alias(ts)).agg(F.max(fact).alias("_fact"))
+    both = left.withColumn("_left", F.lit(1)).unionByName(right.withColumn("_left", F.lit(0)), allowMissingColumns=True)
+    both = carried(both, key, [ts, "_left"], {"_fact": "_newest"}, "facts").filter("_left = 1")
+    known = F.col(ts).isNotNull() & F.col(key).isNotNull()  # nothing is valid at no time or for no key
+    return both.select(*left.columns, *(F.when(known, F.col(f"_newest.{v}")).alias(v) for v in values))
 
 
 def overdue(df: DataFrame, last_ts: str, as_of: Column, days: int) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dot, strip_tags, unit_vector
+from ..store import written
 
 #: Rows of a query set that are sent to all tasks at once.
 QUERY_ROWS = 20_000
@@ -102,9 +103,17 @@ def cooccurrence(docs: DataFrame, reach: int = 10) -> DataFrame:
 
 
 def neighbours(edges: DataFrame, start: DataFrame, hops: int) -> DataFrame:
-    """id, hop of all nodes within that many hops of start (id) over edges (src, dst); the least hop of each."""
-    seen = start.select("id", F.lit(0).alias("hop")).distinct()
+    """id, hop of all nodes within that many hops of start (id) over edges (src, dst); the least hop of each.
+
+    Each hop's new nodes are written: a hop reads the edges of these only, and the plan stays as short however many hops there
+    are. It ends early where nothing new is found. Targets are made distinct before they meet the nodes that are known, so
+    that a hub costs its edges once.
+    """
+    found = [written(start.select("id", F.lit(0).alias("hop")).filter("id is not null").distinct(), "hop")]
     for hop in range(1, hops + 1):
-        new = seen.filter(F.col("hop") == hop - 1).join(edges, F.col("id") == F.col("src")).select(F.col("dst").alias("id")).distinct()
-        seen = seen.unionByName(new.join(seen.select("id"), "id", "left_anti").withColumn("hop", F.lit(hop)))
-    return seen
+        new = found[-1].join(edges, F.col("id") == F.col("src")).select(F.col("dst").alias("id")).filter("id is not null").distinct()
+        new = written(new.join(reduce(DataFrame.unionByName, found).select("id"), "id", "left_anti").withColumn("hop", F.lit(hop)), "hop")
+        if new.isEmpty():
+            break
+        found.append(new)
+    return reduce(DataFrame.unionByName, found)

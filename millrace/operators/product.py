@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..store import carried
+
 
 def decision_rates(runs: DataFrame, by: list[Column | str]) -> DataFrame:
     """runs (decision, confidence, passed, ..) by keys: runs, approval, edit and reject rate of those decided, mean_confidence, guardrail_failure_rate."""
@@ -25,11 +27,10 @@ def metric_rows(metrics: dict[str, tuple[DataFrame, Column]]) -> DataFrame:
 def response_times(messages: DataFrame, conversation: str, order: list[str], role: str, asks: str, answers: str) -> DataFrame:
     """Each asking message with answered_at: the time (first of order) of the conversation's next answering message, null if none.
 
-    One sort by conversation and order, the newest first, and one pass that carries the last answer seen; no pairs.
+    Answers are carried back from the newest on, by ranges of a conversation; no pairs, and no conversation in one task.
     """
-    later = Window.partitionBy(conversation).orderBy(*(F.col(c).desc() for c in order)).rowsBetween(Window.unboundedPreceding, -1)
-    answered = F.last(F.when(F.col(role) == answers, F.col(order[0])), True).over(later)
-    return messages.withColumn("answered_at", answered).filter(F.col(role) == asks)
+    said = messages.withColumn("_answer", F.when(F.col(role) == answers, F.col(order[0])))
+    return carried(said, conversation, order, {"_answer": "answered_at"}, "messages", newest_first=True, own=False).filter(F.col(role) == asks).drop("_answer")
 
 
 def conversation_view(conversations: DataFrame, messages: DataFrame, customers: DataFrame) -> DataFrame:

@@ -45,6 +45,32 @@ def running_totals(df: DataFrame, order: list[Column], value: str, before: str,
     return local.join(F.broadcast(offsets), "_part").withColumn(before, F.col(before) + F.col("_offset")).drop("_part", "_offset")
 
 
+def carried(df: DataFrame, group: str, order: list[str], values: dict[str, str], name: str, newest_first: bool = False, own: bool = True) -> DataFrame:
+    """Adds a column for each of values (new name by column): its last value that isn't null in the rows of group up to this
+    one (with own=False before this one), by order or, with newest_first, by order backwards.
+
+    A range sort by group and order, a pass within each range, and what comes over from earlier ranges: as ranges follow each
+    other, only one group of each can have begun before it, so that what is sent to all tasks is one row for a range. No group
+    meets in one task. Rows are written once, so that ranges stay put; order should determine the sequence.
+    """
+    by = [F.col(c).desc() if newest_first else F.col(c) for c in order]
+    parts = written(df.repartitionByRange(group, *by).withColumn("_part", F.spark_partition_id()), name)
+    within = Window.partitionBy("_part", group).orderBy(*by).rowsBetween(Window.unboundedPreceding, 0 if own else -1)
+    at, end = F.struct(*order), F.min_by if newest_first else F.max_by
+    ends = parts.groupBy("_part", F.col(group).alias("_group")).agg(*(end(F.struct(c), F.when(F.col(c).isNotNull(), at)).alias(f"_last_{c}") for c in values))
+    every = Window.partitionBy("_group").orderBy("_part")
+    earlier = every.rowsBetween(Window.unboundedPreceding, -1)
+    over = ends.select(F.col("_part").alias("_of"), "_group", F.row_number().over(every).alias("_n"), *(F.last(f"_last_{c}", True).over(earlier).alias(f"_over_{c}") for c in values)).filter("_n > 1").drop("_n")
+    local = parts.withColumns({new: F.last(c, True).over(within) for c, new in values.items()})
+    out = local.join(F.broadcast(over), (F.col("_part") == F.col("_of")) & F.col(group).eqNullSafe(F.col("_group")), "left")
+    return out.withColumns({new: F.coalesce(new, F.col(f"_over_{c}")[c]) for c, new in values.items()}).drop("_part", "_of", "_group", *(f"_over_{c}" for c in values))
+
+
+def numbered(df: DataFrame, group: str, order: str, number: str, name: str) -> DataFrame:
+    """Adds ``number``, from 0, by order within each value of group; rows of the same order are numbered in any way."""
+    return ranked(df, group, [order], number, f"_{number}_of", name).drop(f"_{number}_of")
+
+
 def ranked(df: DataFrame, group: str, order: list[str], rank: str, size: str, name: str) -> DataFrame:
     """Adds ``rank``, from 0, by order within each value of group, and ``size``, the rows of that value; no value meets in one task.
 
