@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
+from functools import partial, reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import dot, strip_tags, unit_vector
+from ..functions import strip_tags, unit_vector
 from ..store import written
 
-#: Rows of a query set that are sent to all tasks at once.
-QUERY_ROWS = 20_000
+#: Rows and bytes of a query set that are sent to all tasks at once.
+QUERY_ROWS, QUERY_BYTES = 4096, 16 << 20
+#: Passages, and bytes of passages, that are compared at once.
+PASSAGES, PASSAGE_BYTES = 1000, 2 << 20
 #: Words, and which of them are names.
 WORD, NAME = r"\p{L}+", r"^\p{Lu}\p{Ll}+$"
 
@@ -49,19 +54,78 @@ def links(pages: DataFrame) -> DataFrame:
 def top_cosine(queries: DataFrame, vectors: DataFrame, k: int = 5, floor: float = -1.0, block: int = QUERY_ROWS) -> DataFrame:
     """query_id, vec_id, score, rank: the k best vectors of each query, from ``floor`` on.
 
-    The query set is counted and goes to every task, in blocks if it is large (a scan of the vectors for each); tasks keep
-    their own best k for each query before anything is shuffled. Lengths are taken out once for each vector. Ties go to the
-    smaller vec_id.
+    The query set goes to every task, in blocks of at most ``block`` rows and QUERY_BYTES bytes (a scan of the vectors for each);
+    a task multiplies its vectors with a block as matrices and keeps its own best k for each query, so that what is shuffled
+    is k rows a query and task. Ties go to the smaller vec_id. Queries and vectors without a length, or of another width than
+    the queries' first, meet nobody.
     """
-    unit = lambda df, names: df.select("vec_id", unit_vector("embedding").alias("u")).filter("u is not null").toDF(*names)
-    q, v, blocks = unit(queries, ("query_id", "q")), unit(vectors, ("vec_id", "u")), -(-queries.count() // block)
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    unit = lambda df: df.select("vec_id", unit_vector("embedding").alias("u")).filter("u is not null and vec_id is not null")
+    q, v, spark = written(unit(queries), "queries"), unit(vectors), queries.sparkSession
+    n, width = q.agg(F.count("*"), F.max(F.size("u"))).first()
+    blocks = max(1, -(-n // max(1, min(block, QUERY_BYTES // (8 * (width or 1))))))
+    schema = "query_id long, vec_id long, score double"
     parts = []
-    for i in range(max(1, blocks)):
-        some = q if blocks < 2 else q.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
-        scored = v.join(F.broadcast(some), F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(dot("q", "u"), 4).alias("score"))
-        parts.append(scored.filter(F.col("score") >= floor).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k))
-    return reduce(DataFrame.unionByName, parts)
+    for i in range(blocks):
+        some = q.filter((F.size("u") == (width or 0)) & (F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == i)).toArrow()
+        held = spark.sparkContext.broadcast((some["vec_id"].to_numpy(), _matrix(some["u"].combine_chunks(), width)))
+        parts.append(v.filter(F.size("u") == (width or 0)).mapInArrow(partial(_best, held=held, k=k, floor=floor), schema))
+    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    return reduce(DataFrame.unionByName, parts).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def _matrix(column: pa.Array, width: int | None) -> np.ndarray:
+    return np.array(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(column), width or 1)
+
+
+def _best(batches: Iterator[pa.RecordBatch], held, k: int, floor: float) -> Iterator[pa.RecordBatch]:
+    """The k best of a task's vectors for each query of a block."""
+    ids, q = held.value
+    best_id, best = np.zeros((len(ids), 0), np.int64), np.zeros((len(ids), 0))
+    for batch in batches:
+        for at in range(0, len(batch) if len(ids) else 0, 2048):
+            some = batch.slice(at, 2048)
+            score = np.round(q @ _matrix(some["u"], q.shape[1]).T, 4)
+            them = some["vec_id"].to_numpy()
+            score[(ids[:, None] == them[None]) | (score < floor)] = -np.inf
+            both, every = np.concatenate([best, score], 1), np.concatenate([best_id, np.broadcast_to(them, score.shape)], 1)
+            order = np.lexsort((every, -both), 1)[:, :k]
+            best, best_id = np.take_along_axis(both, order, 1), np.take_along_axis(every, order, 1)
+    row, column = np.nonzero(best > -np.inf)
+    yield pa.RecordBatch.from_arrays([pa.array(ids[row], pa.int64()), pa.array(best_id[row, column], pa.int64()), pa.array(best[row, column], pa.float64())], ["query_id", "vec_id", "score"])
+
+
+def _parts(text: Column | str) -> Column:
+    return F.filter(F.split(text, r"[^A-Za-zÀ-ÿ]+"), lambda w: w != "")
+
+
+def containing(docs: DataFrame, passages: DataFrame, most: int = PASSAGES, size: int = PASSAGE_BYTES) -> DataFrame:
+    """docs' doc_id and item_id for each row of docs (doc_id, text) whose text contains a passage of passages (item_id, passage).
+
+    The longest inner word of a passage must be a word of the text; the words of a text that are such words lead to the passages
+    it is compared with, in the row that holds the text. Passages go to all tasks in blocks of at most ``most`` rows and about
+    ``size`` bytes (a scan of docs for each); texts never move. Passages of one or two words are compared with all texts. Null
+    passages and texts contain nothing; repeated rows on either side count each.
+    """
+    inner = F.filter(_parts("passage"), lambda w, i: (i > 0) & (i < F.size(_parts("passage")) - 1))  # first and last may be parts of longer words
+    anchor = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    draw = F.xxhash64(F.monotonically_increasing_id()).alias("_draw")
+    cases = written(passages.filter("passage is not null").select("item_id", "passage", anchor.alias("w"), draw), "passages")
+    n, total = cases.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("passage")), F.lit(0))).first()
+    blocks = max(1, -(-n // most), -(-total // size))
+    docs = docs.select("doc_id", "text").filter("text is not null")
+    found = []
+    for i in range(blocks):
+        some = cases.filter(F.pmod("_draw", F.lit(blocks)) == i).drop("_draw")
+        anchors = [r["w"] for r in some.select("w").filter("w is not null").distinct().collect()]  # at most ``most``
+        if anchors:
+            met = docs.withColumn("w", F.explode(F.array_intersect(_parts("text"), F.lit(anchors))))
+            found.append(met.join(F.broadcast(some), "w").filter(F.contains("text", F.col("passage"))).select("doc_id", "item_id"))
+        short = [(r["item_id"], r["passage"]) for r in some.filter("w is null").select("item_id", "passage").collect()]
+        if short:
+            told = F.array(*(F.struct(F.lit(k).alias("item_id"), F.lit(p).alias("p")) for k, p in short))
+            found.append(docs.select("doc_id", F.inline(F.filter(told, lambda x: F.contains(F.col("text"), x["p"])))).select("doc_id", "item_id"))
+    none = docs.select("doc_id").limit(0).withColumn("item_id", F.lit(None).cast(passages.schema["item_id"].dataType))
+    return reduce(DataFrame.unionByName, found, none)
 
 
 def answer(found: DataFrame, queries: DataFrame, floor: float) -> DataFrame:

@@ -18,9 +18,12 @@ def decision_rates(runs: DataFrame, by: list[Column | str]) -> DataFrame:
     return runs.groupBy(*by).agg(*(a.alias(n) for n, a in aggs.items()))
 
 
-def metric_rows(metrics: dict[str, tuple[DataFrame, Column]]) -> DataFrame:
-    """metric, value: one row for each aggregate of its own table."""
-    rows = [df.agg(a.cast("double").alias("value")).select(F.lit(name).alias("metric"), F.round("value", 6).alias("value")) for name, (df, a) in metrics.items()]
+def metric_rows(tables: list[tuple[DataFrame, dict[str, Column]]]) -> DataFrame:
+    """metric, value: a row for each of a table's aggregates, which are made in one pass over it."""
+    rows = []
+    for df, metrics in tables:
+        one = df.agg(*(a.cast("double").alias(n) for n, a in metrics.items()))
+        rows.append(one.select(F.inline(F.array(*(F.struct(F.lit(n).alias("metric"), F.round(n, 6).alias("value")) for n in metrics)))))
     return reduce(DataFrame.unionByName, rows)
 
 

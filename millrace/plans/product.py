@@ -47,17 +47,18 @@ def product_metrics(spark, d):
     buyers = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")).distinct().withColumn("_in", F.lit(1))
     last = table(spark, d, "conversations").groupBy("conv_id").agg(F.max_by("role", "turn").alias("role"))
     draft = F.col("k") % 17 == 0
-    return product.metric_rows({
-        "workspaces": (customers, F.count_distinct("c_nationkey")),
-        "onboarding_rate": (customers.join(buyers, "c_custkey", "left"), F.try_divide(F.count("_in"), F.count("*"))),
-        "kb_documents": (table(spark, d, "documents"), F.count("*")),
-        "handled_conversations": (last, F.count_if(F.col("role") == "assistant")),
-        "drafts": (e, F.count_if(draft)),
-        "draft_approval_rate": (e, F.try_divide(F.count_if(draft & (F.col("k") % 4 == 0)), F.count_if(draft))),
-        "takeover_rate": (e, F.try_divide(F.count_if(F.col("k") % 19 == 0), F.count("*"))),
-        "briefing_reads": (e, F.count_if(F.col("event_type") == "view")),
-        "briefing_clicks": (e, F.count_if(F.col("event_type") == "click")),
-    })
+    return product.metric_rows([
+        (customers.join(buyers, "c_custkey", "left"), {"workspaces": F.count_distinct("c_nationkey"), "onboarding_rate": F.try_divide(F.count("_in"), F.count("*"))}),
+        (table(spark, d, "documents"), {"kb_documents": F.count("*")}),
+        (last, {"handled_conversations": F.count_if(F.col("role") == "assistant")}),
+        (e, {
+            "drafts": F.count_if(draft),
+            "draft_approval_rate": F.try_divide(F.count_if(draft & (F.col("k") % 4 == 0)), F.count_if(draft)),
+            "takeover_rate": F.try_divide(F.count_if(F.col("k") % 19 == 0), F.count("*")),
+            "briefing_reads": F.count_if(F.col("event_type") == "view"),
+            "briefing_clicks": F.count_if(F.col("event_type") == "click"),
+        }),
+    ])
 
 
 _ANSWERS = """m as (select *, min(case when event_type = 'click' then ts end) over (partition by user_id order by ts, event_id rows between 1 following and unbounded following) answered_at

@@ -298,16 +298,7 @@ def route_response(spark, d):
 
 @query("select item_id, count(*) docs from documents join benchmark b on contains(documents.text, b.text) group by 1")
 def eval_contains(spark, d):
-    """The longest inner word of each passage picks the documents to compare, so that the containment test isn't all pairs."""
-    docs, cases = table(spark, d, "documents"), table(spark, d, "benchmark").select("item_id", F.col("text").alias("passage"))
-    words = lambda c: F.filter(F.split(c, r"[^A-Za-zÀ-ÿ]+"), lambda w: w != "")
-    inner = F.filter(words("passage"), lambda w, i: (i > 0) & (i < F.size(words("passage")) - 1))  # first and last may be parts of longer words
-    anchor = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    cases = cases.withColumn("w", anchor)
-    met = docs.select("doc_id", F.explode(F.array_distinct(words("text"))).alias("w")).join(cases.filter("w is not null").select("item_id", "w"), "w").select("doc_id", "item_id")
-    hits = met.join(docs.select("doc_id", "text"), "doc_id").join(cases, "item_id").filter(F.contains("text", F.col("passage"))).select("item_id", "doc_id")
-    short = docs.join(cases.filter("w is null"), F.contains("text", F.col("passage"))).select("item_id", "doc_id")  # one or two words
-    return analytics.metric_by(hits.unionByName(short), ["item_id"], docs=F.count("*"))
+    return analytics.metric_by(knowledge.containing(table(spark, d, "documents"), table(spark, d, "benchmark").select("item_id", F.col("text").alias("passage"))), ["item_id"], docs=F.count("*"))
 
 
 @query(f"select event_id, {_CHANNEL_SQL} channel, user_id from events")

@@ -30,6 +30,12 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def few(df: DataFrame, name: str, limit: int = 100_000) -> DataFrame:
+    """df, written, with a broadcast hint if it has at most ``limit`` rows; for narrow rows."""
+    df = written(df, name)
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
 def running_totals(df: DataFrame, order: list[Column], value: str, before: str, name: str) -> DataFrame:
     """Adds column ``before``: the sum of ``value`` over all rows that come earlier in ``order``.
 

@@ -2,12 +2,13 @@
 
 import random
 import time
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from millrace import sinks
-from millrace.operators import harness, mutate, product
+from millrace.operators import harness, knowledge, mutate, product
 from millrace.plans.registry import QUERIES
 from millrace.sources import table_stream
 
@@ -88,3 +89,28 @@ def test_repeated_ids_count_once_each(spark, tmp_path):
     docs.write.parquet(f"file://{tmp_path}/documents.parquet")
     assert {(r.source, r.chunk_count, r.docs) for r in QUERIES["kb_chunk_counts"](spark, f"file://{tmp_path}").collect()} == {("s", 3, 2), (None, 1, 1)}
     assert {(r.source, r.chunk_count, r.entity_count) for r in QUERIES["kb_source_counts"](spark, f"file://{tmp_path}").collect()} == {("s", 3, 2), (None, 1, 1)}
+
+
+@pytest.mark.parametrize("most", [1000, 3])
+def test_passages_in_texts_brute_force(spark, most):
+    rng = random.Random(2)
+    say = lambda n: " ".join(rng.choice(["uno", "dos", "tres", "Élan", "quatro", "x1", "12"]) for _ in range(n))
+    items = [(i, say(rng.randrange(1, 7))) for i in range(14)] + [(3, say(5)), (90, None), (91, ""), (92, "dos"), (93, "os tr"), (None, "uno dos tres")]
+    texts = [(i, say(rng.randrange(0, 30))) for i in range(60)] + [(5, "uno dos tres quatro"), (None, "uno dos tres"), (70, None), (71, ""), (72, items[2][1] + "s " + "pad " * 3000)]
+    docs, cases = spark.createDataFrame(texts, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, passage string").repartition(2)
+    got = Counter(map(tuple, knowledge.containing(docs, cases, most).collect()))
+    assert got == Counter((d, i) for d, t in texts for i, p in items if t is not None and p is not None and p in t)
+    assert knowledge.containing(docs, cases.limit(0)).count() == 0
+
+
+def test_cosine_brute_force(spark):
+    rng = random.Random(7)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(80)] + [(i, [1.0, 2.0, 0.0, 0.0]) for i in range(100, 140)] + [(3, [0.5, 0.5, 0.5, 0.1]), (200, None), (201, [0.0] * 4), (None, [1.0] * 4)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    good = [(i, x) for i, x in rows if i is not None and x and any(x)]
+    cos = lambda a, b: round(sum(p * q for p, q in zip(a, b, strict=True)) / sum(p * p for p in a) ** 0.5 / sum(q * q for q in b) ** 0.5, 4)
+    got = knowledge.top_cosine(v.filter("vec_id % 10 = 1 or vec_id = 100"), v, 4, 0.1, block=3).collect()
+    for i, x in good:
+        if i % 10 == 1 or i == 100:
+            want = sorted((-cos(x, y), j) for j, y in good if j != i and cos(x, y) >= 0.1)[:4]
+            assert [(-r.score, r.vec_id) for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == i] == want
