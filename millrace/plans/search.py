@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import knowledge, retrieval
+from ..operators import knowledge, pages, retrieval
 from ..sources import table
 from .registry import query
 
@@ -40,3 +40,10 @@ def kb_text_search(spark, d):
     index, q = retrieval.Index(v, "vector"), v.filter("vec_id % 100 = 0")
     found = index.search(q, 5, index.probes_for(q, vector="vector"), "vector").select("query_id", "vec_id", "score", F.col("rank").cast("long").alias("rank"))
     return found.join(knowledge.answer(found, q, 0.6), "query_id")
+
+
+@query()
+def kb_page_text(spark, d):
+    """Pages by their text without menus: entities decoded, tags by their quotes; see kb_link_extract for the plain count."""
+    t = pages.main_text(table(spark, d, "pages").select("page_id", "html"))
+    return t.select("page_id", "n_blocks", "kept", F.length("text").cast("long").alias("chars"), F.md5("text").alias("digest"))
