@@ -9,6 +9,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Generator, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -84,7 +85,9 @@ def _number(n: int) -> bytes:
     return bytes([(0xFF << (8 - size)) & 0xFF | n >> (6 * (size - 1)), *tail])
 
 
+@lru_cache(4096)
 def _bits(value: int, width: int) -> np.ndarray:
+    """For use in concatenations only: the same array each time."""
     return (value >> np.arange(width - 1, -1, -1) & 1).astype(np.uint8)
 
 
@@ -107,6 +110,9 @@ def _rice(u: np.ndarray, k: int) -> np.ndarray:
     return np.concatenate([_bits(0, 2), _bits(0, 4), _bits(k, 4), out])
 
 
+_TEN = np.arange(9, -1, -1)
+
+
 def _fitted(x: np.ndarray, order: int, precision: int = 10) -> tuple[list[int], int]:
     """Coefficients of a linear predictor by autocorrelation, quantised: whole numbers and the shift."""
     f, n = x.astype(float), len(x)
@@ -138,7 +144,7 @@ def _subframe(x: np.ndarray, lpc: int) -> np.ndarray:
         other, v, j = _folded(x[lpc:] - guess)
         if other + 18 * lpc + 9 < size:
             size, u, k = other + 18 * lpc + 9, v, j
-            head = [_bits(0, 1), _bits(31 + lpc, 6), _bits(0, 1), np.unpackbits(raw[:lpc]), _bits(9, 4), _bits(shift, 5), *(_bits(w & 1023, 10) for w in c)]
+            head = [_bits(0, 1), _bits(31 + lpc, 6), _bits(0, 1), np.unpackbits(raw[:lpc]), _bits(9, 4), _bits(shift, 5), (np.array(c)[:, None] >> _TEN & 1).astype(np.uint8).ravel()]
     if size >= 8 * len(raw):
         return np.concatenate([_bits(2, 8), np.unpackbits(raw)])
     return np.concatenate([*head, _rice(u, k)])
@@ -528,10 +534,10 @@ class _Stream:
         if offset != self.n:
             raise BadStream("a block is missing")
         self.digest.update(block)
-        x = np.frombuffer(block, np.uint8).astype(np.int64) - 128
+        x = np.frombuffer(block, np.uint8).astype(np.int32) - 128
         self.tail, self.n, self.blocks = (self.tail + block)[-16:], self.n + len(block), self.blocks + 1
         y = x if self.last is None else np.concatenate([[self.last], x])
-        self.total, self.steps, self.last = self.total + int(x.sum()), self.steps + int(np.abs(np.diff(y)).sum()), x[-1]
+        self.total, self.steps, self.last = self.total + int(x.sum(dtype=np.int64)), self.steps + int(np.abs(np.diff(y)).sum(dtype=np.int64)), x[-1]
         self.turns += int(np.count_nonzero((y[:-1] < -32) != (y[1:] < -32)))
 
     def out(self) -> tuple:
