@@ -386,4 +386,4 @@ def customer_rfm(spark, d):
     return analytics.metric_by(orders.select("o_orderdate", "o_totalprice", F.col("o_custkey").alias("c_custkey")).join(table(spark, d, "customer").select("c_custkey"), "c_custkey"), ["c_custkey"], recency=F.datediff(now, F.max("o_orderdate")).cast("long"), frequency=F.count("*"), monetary=_money("o_totalprice"))
 
 
-from . import live, past, people, product, rollups, search, spoken  # noqa: E402, F401  register their queries
+from . import live, named, past, people, product, rollups, search, spoken  # noqa: E402, F401  register their queries

@@ -1,0 +1,111 @@
+"""Names of several words and significant edges, beside plain Python."""
+
+import math
+import random
+import re
+from collections import Counter, defaultdict
+from itertools import combinations
+
+import pytest
+
+from millrace.operators import phrases
+
+TOKEN = re.compile(r"[^\W\d_]+")
+
+
+def plain_runs(text):
+    """(passage, run) as lists of words, from words and the gaps before them."""
+    out, tokens = [], []
+    last = None
+    for m in TOKEN.finditer(text or ""):
+        w = m.group()
+        named = len(w) > 1 and w[0].isupper() and w[1:].islower()
+        if named and last is not None and m.start() == last + 1 and text[last] == " " and len(tokens[-1]) < phrases.RUN:
+            tokens[-1].append(w)
+        else:
+            tokens.append([w])
+            if named:
+                out.append(len(tokens) - 1)
+        last = m.end() if named else None
+    return [(i // phrases.PASSAGE, tokens[i]) for i in out]
+
+
+def plain(texts):
+    found = [(r, p, run) for r, t in enumerate(texts) for p, run in plain_runs(t)]
+    low = Counter(w for t in texts for w in TOKEN.findall(t or "") if w.islower())
+    n = Counter(tuple(run[i : i + s]) for _, _, run in found for s in range(1, phrases.LONGEST + 1) for i in range(len(run) - s + 1))
+    known = {}
+    for g, c in n.items():
+        if c < phrases.SUPPORT:
+            continue
+        if len(g) == 1 and c > low[g[0].lower()]:
+            known[g] = c
+        if len(g) > 1 and all(a != b for a, b in zip(g, g[1:])) and 4 * c >= n[g[:-1]] + n[g[1:]]:
+            known[g] = c
+    named = []
+    for r, p, run in found:
+        i = 0
+        while i < len(run):
+            s = next((s for s in range(phrases.LONGEST, 0, -1) if i + s <= len(run) and tuple(run[i : i + s]) in known), 0)
+            if s:
+                named.append((r, p, " ".join(run[i : i + s])))
+            i += s or 1
+    held = defaultdict(set)
+    for r, p, name in named:
+        held[r, p].add(name)
+    t, margin = len(held), Counter(x for s in held.values() for x in s)
+    edges = {}
+    for (a, b), k in Counter(x for s in held.values() for x in combinations(sorted(s), 2)).items():
+        na, nb = margin[a], margin[b]
+        cells = [(k, na, nb), (na - k, na, t - nb), (nb - k, t - na, nb), (t - na - nb + k, t - na, t - nb)]
+        g2 = 2 * sum(o * math.log(o * t / (x * y)) for o, x, y in cells if o > 0)
+        if k >= phrases.MET and k * t > na * nb and g2 >= phrases.STRENGTH:
+            edges[a, b] = (k, round(g2, 6))
+    return {" ".join(g): c for g, c in known.items()}, Counter(named), edges
+
+
+def run(spark, texts):
+    docs = spark.createDataFrame([(t, 7, "x") for t in texts], "text string, row int, run string")
+    found = phrases.runs(docs)
+    known = phrases.gazetteer(found, phrases.lower_counts(docs))
+    named = phrases.names(found, known)
+    edges = {(e.src, e.dst): (e.passages, round(e.strength, 6)) for e in phrases.significant(named).collect()}
+    # rows are numbered otherwise than the list; the names of equal passages are compared
+    return {k.phrase: k.n for k in known.collect()}, Counter((x.passage, x.name) for x in named.collect()), edges
+
+
+def same(spark, texts):
+    known, named, edges = run(spark, texts)
+    known_, named_, edges_ = plain(texts)
+    assert known == known_ and edges == edges_
+    assert named == Counter({k: v for k, v in Counter((p, x) for r, p, x in named_.elements()).items()})
+    return known, edges
+
+
+def test_brute_force(spark):
+    rng = random.Random(3)
+    bits = ["New York", "New York City", "Ana Maria", "The", "the", "sees", "Élan", "McDonald", "A", "X1", "Big  Gap", "Line\nEnd", "Ho Ho Ho", "and", "Berlin,", "Paris", "é"]
+    texts = [None, "", " ", "Solo"] + [" ".join(rng.choice(bits) for _ in range(rng.choice([1, 6, 80]))) for _ in range(80)]
+    same(spark, texts + texts[:9])
+
+
+def test_names_and_what_only_begins_sentences(spark):
+    rng = random.Random(8)
+    texts = []
+    for i in range(60):
+        pair = ["Nguyen Van An", "Acme"] if i % 2 else ["Zalo", "Hue"]
+        texts.append("The man sees " + " and the ".join(pair) + " today. " + rng.choice(["the cat", "the dog"]))
+    known, edges = same(spark, texts)
+    assert "Nguyen Van An" in known and "The" not in known and set(edges) == {("Acme", "Nguyen Van An"), ("Hue", "Zalo")}
+
+
+def test_long_runs_and_nothing(spark):
+    same(spark, ["Aa Bb " * 50_000 + "end", "Aa Bb", "Aa"])
+    for texts in ([], [None], ["no names at all"]):
+        assert run(spark, texts) == ({}, Counter(), {})
+
+
+@pytest.mark.parametrize("n", [1, 40])
+def test_repeated_rows_count_each(spark, n):
+    known, _ = same(spark, ["Mia Lo met Jo"] * n)
+    assert known.get("Mia Lo") == (n if n > 1 else None)
