@@ -11,6 +11,8 @@ base format matches and rejects (a number that fails its check digit) are no ins
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +38,9 @@ NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9]", "phone": r"\+[0-9
 #: Identifier-like tokens: phone numbers, spaced cards, or runs without spaces and quotes that hold a digit or an at sign.
 TOKEN = r"\+[0-9][ ().0-9-]+[0-9]|(?<![0-9])[0-9]{4}(?:[ -][0-9]{3,6}){2,4}(?![0-9])|(?<![A-Za-z0-9._%+@-])(?=[A-Za-z._%+-]*+[0-9@])[A-Za-z0-9._%+@-]{6,}+"
 
+#: Code points of a block of text that redact() looks pieces up in.
+BLOCK = 1024
+
 
 def _digits(m: str) -> str:
     return f"regexp_replace({m}, '[^0-9]', '')"
@@ -62,20 +67,40 @@ def _let(value: str, body: str, name: str) -> str:
     return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
-def _ends(lens: str) -> str:
-    """SQL: running totals of an int array, in blocks of 128, so that long arrays cost little more than short ones."""
-    within = "aggregate(b, array(0), (a, v) -> array_append(a, element_at(a, -1) + v))"
-    blocks = f"transform(sequence(0, (size({lens}) - 1) div 128), k -> slice({lens}, k * 128 + 1, 128))"
-    runs = f"transform({blocks}, b -> slice({within}, 2, 128))"
-    offsets = "aggregate(r, array(0), (a, b) -> array_append(a, element_at(a, -1) + element_at(b, -1)))"
-    return _let(runs, _let(offsets, "flatten(transform(r, (b, k) -> transform(b, v -> v + o[k])))", "o"), "r")
+def _running(values: str, zero: str, op: Callable[[str, str], str]) -> str:
+    """SQL: running results of op over an int array, in blocks of 128, so that long arrays cost little more than short ones."""
+    within = f"aggregate(slice(y, k * 128 + 1, 128), array({zero}), (a, v) -> array_append(a, {op('element_at(a, -1)', 'v')}))"
+    runs = f"transform(sequence(0, (size(y) - 1) div 128), k -> slice({within}, 2, 128))"
+    offsets = f"aggregate(r, array({zero}), (a, b) -> array_append(a, {op('element_at(a, -1)', 'element_at(b, -1)')}))"
+    whole = _let(offsets, f"flatten(transform(r, (b, k) -> transform(b, v -> {op('o[k]', 'v')})))", "o")
+    return _let(values, _let(runs, whole, "r"), "y")
+
+
+def _sum(a: str, b: str) -> str:
+    return f"{a} + {b}"
+
+
+def _most(a: str, b: str) -> str:
+    return f"greatest({a}, {b})"
+
+
+def _free(spans: str, taken: str) -> str:
+    """SQL: those of spans that overlap none of taken, both arrays of (s, e, ...); each may overlap its own.
+
+    By place, with what ends latest of the taken ones up to a span, and what of them begins next after it.
+    """
+    both = f"array_sort(concat(transform({taken}, x -> named_struct('s', x.s, 'i', -1, 'e', x.e)), transform({spans}, (x, i) -> named_struct('s', x.s, 'i', i, 'e', x.e))))"
+    latest = _running("transform(z, x -> if(x.i < 0, x.e, 0))", "0", _most)
+    following = _running("transform(reverse(z), x -> if(x.i < 0, -x.s, -2147483647))", "-2147483647", _most)
+    clear = "filter(transform(z, (x, j) -> if(x.i >= 0 and t[j] <= x.s and -n[size(z) - 1 - j] >= x.e, x.i, -1)), i -> i >= 0)"
+    return _let(both, _let(latest, _let(following, f"transform({clear}, i -> {spans}[i])", "n"), "t"), "z")
 
 
 def _located(df: DataFrame, text: str, pattern: str, needs: str, out: str) -> DataFrame:
     """Adds array ``out`` of (s, e, m, left, right): matches with code point offsets and up to 40 characters of text on either side."""
     rx, test = pattern.replace("'", "\\'"), needs
     item = "named_struct('s', e[i] - char_length(m), 'e', e[i], 'm', m, 'left', right(g[i], 40), 'right', left(g[i + 1], 40))"
-    ends = _ends("transform(l, (m, i) -> char_length(m) + char_length(g[i]))")
+    ends = _running("transform(l, (m, i) -> char_length(m) + char_length(g[i]))", "0", _sum)
     found = _let(f"regexp_extract_all({text}, r'{rx}', 0)", _let(f"split({text}, r'{rx}', -1)", _let(ends, f"transform(l, (m, i) -> {item})", "e"), "g"), "l")
     none = "cast(array() as array<struct<s:int,e:int,m:string,left:string,right:string>>)"
     return df.withColumn(out, F.expr(f"if({text} rlike r'{test}' and {text} rlike r'{rx}', {found}, {none})"))
@@ -148,7 +173,7 @@ def find(docs: DataFrame, text: str = "text", **params) -> DataFrame:
     extra = extra.groupBy("text_key").agg(F.collect_set(F.struct("s", "e", "kind", F.col("instance").alias("m"))).alias("_extra"))
     extra = small(extra, 1_000_000)
     df = base_spans(docs.drop("base", "spans", "text_key"), text).withColumn("text_key", F.md5(text)).join(extra, "text_key", "left")
-    free = "filter(coalesce(_extra, array()), x -> not exists(base, b -> b.s < x.e and x.s < b.e))"
+    free = _free("_extra", "base")
     rank = " ".join(f"when '{k}' then {i}" for i, k in enumerate((*KINDS, SECRET)))
     every = f"transform(concat(base, {free}), x -> named_struct('s', x.s, 'k', case x.kind {rank} end, 'e', x.e, 'kind', x.kind, 'm', x.m))"
     spans = F.expr(f"if(_extra is null, base, transform(array_sort({every}), x -> named_struct('s', x.s, 'e', x.e, 'kind', x.kind, 'm', x.m)))")
@@ -157,15 +182,21 @@ def find(docs: DataFrame, text: str = "text", **params) -> DataFrame:
 
 def redact(found: DataFrame, text: str = "text") -> DataFrame:
     """find()'s rows with each span of the text, overlapping ones together, replaced by its kind in brackets."""
-    merge = (
-        "aggregate(spans, cast(array() as array<struct<s:int,e:int,kind:string>>), (a, x) -> if(size(a) > 0 and element_at(a, -1).e > x.s,"
-        " concat(slice(a, 1, size(a) - 1), array(named_struct('s', element_at(a, -1).s, 'e', greatest(element_at(a, -1).e, x.e), 'kind', element_at(a, -1).kind))),"
-        " concat(a, array(named_struct('s', x.s, 'e', x.e, 'kind', x.kind)))))"
-    )
+    first = "filter(sequence(0, size(spans) - 1), i -> i = 0 or m[i - 1] <= spans[i].s)"  # where what overlaps begins
+    merged = "transform(f, (i, j) -> named_struct('s', spans[i].s, 'e', m[if(j + 1 < size(f), f[j + 1], size(m)) - 1], 'kind', spans[i].kind))"
+    merge = _let(_running("transform(spans, x -> x.e)", "0", _most), _let(first, merged, "f"), "m")
     df = found.withColumn("_r", F.expr(f"if(size(spans) > 0, {merge}, null)"))
-    at = "if(i = 0, 0, _r[i - 1].e)"
-    pieces = f"transform(_r, (x, i) -> concat(substring({text}, {at} + 1, x.s - {at}), '[', upper(x.kind), ']'))"
-    whole = f"concat(array_join({pieces}, ''), substring({text}, element_at(_r, -1).e + 1))"
+
+    def piece(start: str, end: str) -> str:
+        """From blocks x of the text, so that no piece costs a way through all that is before it."""
+        one = f"substring(x[p.a div {BLOCK}], p.a % {BLOCK} + 1, p.b - p.a)"
+        between = f"array_join(slice(x, p.a div {BLOCK} + 2, (p.b - 1) div {BLOCK} - p.a div {BLOCK} - 1), '')"
+        more = f"concat(substring(x[p.a div {BLOCK}], p.a % {BLOCK} + 1), {between}, substring(x[(p.b - 1) div {BLOCK}], 1, (p.b - 1) % {BLOCK} + 1))"
+        return _let(f"named_struct('a', {start}, 'b', {end})", f"if(p.b <= p.a, '', if(p.a div {BLOCK} = (p.b - 1) div {BLOCK}, {one}, {more}))", "p")
+
+    pieces = f"transform(_r, (y, i) -> concat({piece('if(i = 0, 0, _r[i - 1].e)', 'y.s')}, '[', upper(y.kind), ']'))"
+    rest = piece("element_at(_r, -1).e", f"char_length({text})")
+    whole = _let(f"regexp_extract_all({text}, r'(?s).{{1,{BLOCK}}}+', 0)", f"concat(array_join({pieces}, ''), {rest})", "x")
     return df.withColumn(text, F.expr(f"if(_r is null, {text}, {whole})")).drop("_r")
 
 
