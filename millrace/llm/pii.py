@@ -2,9 +2,9 @@
 
 Everything is DataFrame and SQL functions. Four formats (email, ip, card, phone) give the seeds, and a fifth, of keys and
 digests, seeds secrets. Each identifier-like token is an instance with several lexical patterns, from narrow to wide: the
-words on its left, the last of them with the token's shape or with what follows, and the punctuation about it. Patterns and
-instances form a graph of distinct edges. Pattern confidence (share of trusted instances) and instance confidence (noisy-or
-over patterns) are computed in turn; tokens of confident patterns that no base format covers are reported as well, under
+words on its left, the last of them with the token's shape or with what follows, the words on its right, and the
+punctuation about it. Patterns and instances form a graph of distinct edges. Pattern confidence (share of trusted instances)
+and instance confidence (noisy-or over patterns) are computed in turn; tokens of confident patterns that no base format covers are reported as well, under
 the kind of the pattern. A secret is reported only where a confident pattern holds it, be it a seed or not. Tokens that a
 base format matches and rejects (a number that fails its check digit) are no instances.
 """
@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import small, written
@@ -133,20 +133,29 @@ def occurrences(docs: DataFrame, text: str = "text") -> DataFrame:
         F.concat(F.lit("word:"), near),
         F.concat(F.lit("shape:"), near, shape),
         F.concat(F.lit("follows:"), near, F.lit("*"), F.regexp_extract("right", r"^\s*+(\S+)", 1)),
+        F.concat(F.lit("after:*"), F.nullif(F.regexp_extract("right", r"^(\s++\S++\s++\S++)\s", 1), F.lit(""))),
         F.when(F.length(F.regexp_replace(signs, r"\s", "")) > 2, F.concat(F.lit("signs:"), signs)),
     ))
     return df.select("text_key", "s", "e", "instance", F.filter(every, lambda p: p != "words:").alias("patterns")).distinct()
 
 
-def discover(found: DataFrame, rounds: int = 3, min_support: int = 3, min_pattern: float = 0.7, min_instance: float = 0.8) -> DataFrame:
+def known(instance: str = "instance") -> Column:
+    """The kind of a token that is a whole match of a base format, or a secret by its form; null for others."""
+    base = [F.when(F.expr(f"regexp_like({instance}, r'^(?:{PATTERNS[k]})$') and {_valid(k, instance)}"), F.lit(k)) for k in KINDS]
+    return F.coalesce(*base, F.when(F.expr(f"regexp_like({instance}, r'^(?:{SECRETS})$')"), F.lit(SECRET)))
+
+
+def discover(found: DataFrame, rounds: int = 3, min_support: int = 3, min_pattern: float = 0.7, min_instance: float = 0.8, hidden: Column | None = None) -> DataFrame:
     """Instances that confident patterns give a kind: instance, kind, score. Seeds of the base kinds are left out.
 
     found: occurrences(). A pattern needs min_support distinct instances. Each round's scores are aggregates over
-    distinct (pattern, instance) edges, so that neither copies of a text nor a frequent pattern weigh more.
+    distinct (pattern, instance) edges, so that neither copies of a text nor a frequent pattern weigh more. Instances for
+    which ``hidden`` holds are no seeds, whatever their form; see found_again().
     """
-    kind = F.coalesce(*(F.when(F.expr(f"regexp_like(instance, r'^(?:{PATTERNS[k]})$') and {_valid(k, 'instance')}"), F.lit(k)) for k in KINDS), F.when(F.expr(f"regexp_like(instance, r'^(?:{SECRETS})$')"), F.lit(SECRET)))
     refused = F.expr(" or ".join(f"regexp_like(instance, r'^(?:{PATTERNS[k]})$')" for k in KINDS)) & F.col("kind").isNull()
-    edges = found.select(F.explode("patterns").alias("pattern"), "instance").distinct().withColumn("kind", kind).filter(~refused)
+    edges = found.select(F.explode("patterns").alias("pattern"), "instance").distinct().withColumn("kind", known()).filter(~refused)
+    if hidden is not None:
+        edges = edges.withColumn("kind", F.when(~hidden, F.col("kind")))
     edges = written(edges, "pii-edges")
     seeds = written(edges.filter("kind is not null").select("instance", "kind").distinct().withColumn("score", F.lit(1.0)), "pii-seeds")
     support = written(edges.groupBy("pattern").agg(F.count("*").alias("support")).filter(F.col("support") >= min_support), "pii-support")
@@ -161,6 +170,17 @@ def discover(found: DataFrame, rounds: int = 3, min_support: int = 3, min_patter
     return told.join(seeds.filter(F.col("kind") != SECRET).select("instance"), "instance", "left_anti")
 
 
+def found_again(docs: DataFrame, text: str = "text", share: int = 10, **params) -> DataFrame:
+    """kind, hidden, told, right: how well contexts alone find identifiers. A share-th of the known distinct identifiers, by
+    hash, are kept from the seeds; told are those of them that confident patterns give any kind, right those given theirs. What is
+    hidden counts against the patterns that hold it, as any token of unknown kind; a large share lowers all confidences."""
+    found, apart = written(occurrences(docs, text), "pii-tokens"), F.pmod(F.xxhash64("instance"), F.lit(share)) == 0
+    held = found.filter(apart).select("instance").distinct().withColumn("kind", known()).filter("kind is not null")
+    best = discover(found, hidden=apart, **params).groupBy("instance").agg(F.max_by("kind", F.struct("score", "kind")).alias("given"))
+    both = held.join(best, "instance", "left")
+    return both.groupBy("kind").agg(F.count("*").alias("hidden"), F.count("given").alias("told"), F.count_if(F.col("given") == F.col("kind")).alias("right"))
+
+
 def find(docs: DataFrame, text: str = "text", **params) -> DataFrame:
     """docs with columns ``base`` and ``spans``, arrays of (s, e, kind, m) with code point offsets, end exclusive.
 

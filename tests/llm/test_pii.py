@@ -53,3 +53,21 @@ def test_a_hundred_thousand_spans_in_one_text(spark):
     began = time.time()
     out = pii.redact(found).select(F.regexp_count("text", F.lit(r"\[EMAIL\], and")).alias("n"), F.contains("text", F.lit("@")).alias("left")).first()
     assert (out.n, out.left) == (n, False) and time.time() - began < 60
+
+
+def test_hidden_identifiers_are_found_again_by_their_contexts(spark):
+    """Contexts on the left, on the right and on both sides; numbers in other contexts are told nothing."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.choice([3, 5, 8])))
+    ip = lambda: ".".join(str(rng.randrange(256)) for _ in range(4))
+    texts = [f"{word()} {word()} write to {word()}{i}@{word()}.example {word()} {word()}" for i in range(120)]
+    texts += [f"{word()} {word()} {ip()} was the host {word()}" for _ in range(120)]
+    texts += [f"{word()} ring +1 555 {rng.randrange(100, 999)} {rng.randrange(1000, 9999)} at noon {word()}" for _ in range(120)]
+    texts += [f"{word()} {word()} in chapter {i}.{rng.randrange(9)}.{rng.randrange(9)}{i} {word()}" for i in range(100, 220)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.kind: r for r in pii.found_again(docs).collect()}
+    assert set(got) == {"email", "ip", "phone"}
+    for kind in got:
+        assert got[kind].hidden >= 5 and got[kind].right >= 0.9 * got[kind].hidden and got[kind].right == got[kind].told, got
+    assert pii.find(docs).filter("size(spans) > size(base)").count() == 0
+    assert pii.found_again(docs.limit(0)).count() == 0
