@@ -101,3 +101,23 @@ def test_sketches_of_little_and_nothing(spark):
     assert store.by("day", p50=0.5).count() == 0
     store.add("all", df)
     assert sorted((str(r.day)[:10], r.n, r.users, r.measured, r.p50) for r in store.by("day", p50=0.5).collect()) == [("2024-01-01", 2, 1, 0, None), ("2024-01-02", 2, 1, 2, 2.0)]
+
+
+def test_exact_rollup_of_large_groups(spark):
+    """Above the sizes to which sketches are exact: many users and values, null keys, a batch that is tried again."""
+    rng = random.Random(7)
+    rows = [(i, f"2024-01-{1 + i % 2:02d} {i % 24:02d}:30:00", None if i % 3 == 0 else f"k{i % 3}", None if i % 11 == 0 else rng.randrange(9_000), None if i % 7 == 0 else round(rng.expovariate(0.1), 2 + 4 * (i % 2))) for i in range(40_000)]
+    df = spark.createDataFrame(rows, "id int, ts string, k string, user int, v double").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    store = sketches.Rollup(spark, "ts", ["k"], "user", "v", exact=True)
+    for i in (0, 1, 2, 1):
+        store.add(f"b{i}", df.filter(F.pmod(F.hash("id"), F.lit(3)) == i))
+    for keys, of in (([], lambda r: r[1][:10]), (["k"], lambda r: (r[1][:10], r[2]))):
+        groups = {}
+        for r in rows:
+            groups.setdefault(of(r), []).append(r)
+        want = {}
+        for g, some in groups.items():
+            values = sorted(r[4] for r in some if r[4] is not None)
+            want[g] = (len(some), len({r[3] for r in some} - {None}), len(values), *(values[-(-len(values) * p // 100) - 1] for p in (50, 90, 99)))
+        got = store.by("day", keys, p50=0.5, p90=0.9, p99=0.99).collect()
+        assert {(str(r.day)[:10], r.k) if keys else str(r.day)[:10]: (r.n, r.users, r.measured, r.p50, r.p90, r.p99) for r in got} == want and len(got) == len(want)
