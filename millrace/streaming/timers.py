@@ -41,57 +41,75 @@ class Timed:
 
 class _Processor(StatefulProcessor):
     """The machine of each key. Events are held until the watermark has passed them and then taken in order of (at, id);
-    a timer wakes the key for its next held event, its limit, or to be forgotten."""
+    a timer wakes the key for its next held event, its limit, or to be forgotten.
+
+    Held events are a list with an entry for each batch, which holds all of the batch's, and are read only when one of them is
+    due; beside the status lie the time of the first held event and the timer, so that a batch takes a few calls of the state
+    store for a key, not some for each event.
+    """
 
     def __init__(self, machine: Timed):
         self.machine = machine
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.status = handle.getValueState("status", "status string, since long")
-        self.held = handle.getMapState("held", "at long, id long", "said string")
+        self.status = handle.getValueState("status", "status string, since long, next long, timer long")
+        self.held = handle.getListState("held", "at array<long>, id array<long>, said array<string>")
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        for r in rows:
-            self.held.updateValue((r["at"], r["id"]), (r["said"],))
-        return self._run(key, timerValues.getCurrentWatermarkInMs())
+        return self._run(key, timerValues.getCurrentWatermarkInMs(), [(r["at"], r["id"], r["said"]) for r in rows])
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        return self._run(key, timerValues.getCurrentWatermarkInMs())
+        return self._run(key, timerValues.getCurrentWatermarkInMs(), [])
 
-    def _run(self, key: tuple, watermark_ms: int) -> Iterator[Row]:
+    def _run(self, key: tuple, watermark_ms: int, new: list[tuple[int, int, str]]) -> Iterator[Row]:
         m, now, out = self.machine, watermark_ms * 1000, []
-        status, since = tuple(self.status.get()) if self.status.exists() else (m.start, None)
-        events = sorted((k[0], k[1], v[0]) for k, v in self.held.iterator())
+        before = self.status.get()
+        status, since, first, timer = before = tuple(before) if before is not None else (m.start, None, None, None)
+        due: list[tuple[int, int, str]] = []
+        if new:
+            first = min(e[0] for e in new) if first is None else min(first, min(e[0] for e in new))
+        if first is not None and first <= now:
+            held = [e for some in (self.held.get() if before[2] is not None else ()) for e in zip(*some, strict=True)]
+            every = {e[:2]: e[2] for e in [*held, *new]}
+            events = sorted((at, i, said) for (at, i), said in every.items())
+            due, rest = [e for e in events if e[0] <= now], [e for e in events if e[0] > now]
+            if rest:
+                self.held.put([tuple(map(list, zip(*rest, strict=True)))])
+            elif before[2] is not None:
+                self.held.clear()
+            first = rest[0][0] if rest else None
+        elif new:
+            self.held.appendValue(tuple(map(list, zip(*new, strict=True))))
 
         def timed(until: int) -> None:
             nonlocal status, since
-            while since is not None and (due := m.due(status, since)) is not None and due <= until:
-                status, since = m.limits[status][1], due
-                out.append(Row(key=key[0], at=due, status=status, cause=TIMER))
+            while since is not None and (end := m.due(status, since)) is not None and end <= until:
+                status, since = m.limits[status][1], end
+                out.append(Row(key=key[0], at=end, status=status, cause=TIMER))
             if m.keep and since is not None and status in m.over and since + m.keep <= until:
                 status, since = m.start, None
 
-        for at, i, said in events:
-            if at > now:
-                break
+        for at, _, said in due:
             timed(at)
             if (to := m.moves.get((status, said))) is not None and to != status:
                 status, since = to, at
                 out.append(Row(key=key[0], at=at, status=status, cause=said))
-            self.held.removeKey((at, i))
         timed(now)
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
-        waiting = [at for at, _, _ in events if at > now]
-        wake = [waiting[0]] if waiting else []
-        if since is None:
-            self.status.clear()
-        else:
-            self.status.update((status, since))
+        wake = [] if first is None else [first]
+        if since is not None:
             wake += [t for t in (m.due(status, since), since + m.keep if m.keep and status in m.over else None) if t is not None]
-        if wake:
-            self.handle.registerTimer(-(-min(wake) // 1000))  # of milliseconds, the first that isn't before it
+        after = -(-min(wake) // 1000) if wake else None  # of milliseconds, the first that isn't before it
+        if after != timer:
+            if timer is not None and timer > watermark_ms:  # else it fires in this batch and is gone
+                self.handle.deleteTimer(timer)
+            if after is not None:
+                self.handle.registerTimer(after)
+        if since is None and first is None:
+            if before != (m.start, None, None, None):
+                self.status.clear()
+        elif (status, since, first, after) != before:
+            self.status.update((status, since, first, after))
         return iter(out)
 
     def close(self) -> None:
