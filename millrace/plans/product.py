@@ -351,7 +351,7 @@ def surface_grouping_sets(spark, d):
     return o.groupingSets([["o_orderstatus"], ["o_orderpriority"], []], "o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n"))
 
 
-@udtf(returnType="word string, pos int", useArrow=True)
+@udtf(returnType="word string, pos int", useArrow=False)  # a call takes one row: with Arrow each would make batches of its own
 class SplitWords:
     """The words of a text with their places, from 0."""
 

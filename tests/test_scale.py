@@ -3,7 +3,10 @@
 import random
 from types import SimpleNamespace
 
+from pyspark.util import PythonEvalType
+
 from millrace.plans.live import SERVICE
+from millrace.plans.product import SplitWords
 from millrace.streaming import timers
 
 H = 3_600_000_000
@@ -64,3 +67,7 @@ def test_a_key_takes_few_calls_of_the_state_store():
             status, since = SERVICE.moves[status, said], when
             want.append((when, status, said))
     assert [(r["at"], r["status"], r["cause"]) for r in out] == want
+
+
+def test_a_row_of_a_table_function_makes_no_batch():
+    assert SplitWords.evalType == PythonEvalType.SQL_TABLE_UDF  # not SQL_ARROW_TABLE_UDF
