@@ -15,6 +15,8 @@ from ..store import written
 
 #: Rows and bytes of a query set that are sent to all tasks at once.
 QUERY_ROWS, QUERY_BYTES = 4096, 16 << 20
+#: Queries and vectors of a task that are multiplied in one go.
+AT_ONCE, VECTORS_AT_ONCE = 256, 2048
 #: Passages, and bytes of passages, that are compared at once.
 PASSAGES, PASSAGE_BYTES = 1000, 2 << 20
 #: Words, and which of them are names.
@@ -78,18 +80,31 @@ def _matrix(column: pa.Array, width: int | None) -> np.ndarray:
 
 
 def _best(batches: Iterator[pa.RecordBatch], held, k: int, floor: float) -> Iterator[pa.RecordBatch]:
-    """The k best of a task's vectors for each query of a block."""
+    """The k best of a task's vectors for each query of a block: of AT_ONCE queries at once, those scores are sorted that reach
+    the k-th best so far and of their own slice."""
     ids, q = held.value
-    best_id, best = np.zeros((len(ids), 0), np.int64), np.zeros((len(ids), 0))
+    best_id, best = np.zeros((len(ids), k), np.int64), np.full((len(ids), k), -np.inf)
     for batch in batches:
-        for at in range(0, len(batch) if len(ids) else 0, 2048):
-            some = batch.slice(at, 2048)
-            score = np.round(q @ _matrix(some["u"], q.shape[1]).T, 4)
-            them = some["vec_id"].to_numpy()
-            score[(ids[:, None] == them[None]) | (score < floor)] = -np.inf
-            both, every = np.concatenate([best, score], 1), np.concatenate([best_id, np.broadcast_to(them, score.shape)], 1)
-            order = np.lexsort((every, -both), 1)[:, :k]
-            best, best_id = np.take_along_axis(both, order, 1), np.take_along_axis(every, order, 1)
+        for at in range(0, len(batch) if len(ids) else 0, VECTORS_AT_ONCE):
+            some = batch.slice(at, VECTORS_AT_ONCE)
+            them, m = some["vec_id"].to_numpy(), _matrix(some["u"], q.shape[1]).T
+            for of in range(0, len(ids), AT_ONCE):
+                mine = slice(of, of + AT_ONCE)
+                score = np.round(q[mine] @ m, 4)
+                score[(ids[mine, None] == them[None]) | (score < floor)] = -np.inf
+                least = best[mine, -1:]
+                if score.shape[1] > k:
+                    least = np.maximum(least, np.partition(score, -k, 1)[:, -k, None])
+                row, column = np.nonzero((score >= least) & (score > -np.inf))
+                if not len(row):
+                    continue
+                n = len(score)
+                rows = np.concatenate([np.repeat(np.arange(n), k), row])
+                scores, every = np.concatenate([best[mine].ravel(), score[row, column]]), np.concatenate([best_id[mine].ravel(), them[column]])
+                order = np.lexsort((every, -scores, rows))
+                place = np.arange(len(order)) - np.searchsorted(rows[order], np.arange(n))[rows[order]]
+                order = order[place < k]  # k of each row, as each had k before
+                best[mine], best_id[mine] = scores[order].reshape(n, k), every[order].reshape(n, k)
     row, column = np.nonzero(best > -np.inf)
     yield pa.RecordBatch.from_arrays([pa.array(ids[row], pa.int64()), pa.array(best_id[row, column], pa.int64()), pa.array(best[row, column], pa.float64())], ["query_id", "vec_id", "score"])
 

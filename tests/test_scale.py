@@ -1,10 +1,14 @@
 """What keeps memory and calls of a task from growing with the input."""
 
 import random
+import tracemalloc
 from types import SimpleNamespace
 
+import numpy as np
+import pyarrow as pa
 from pyspark.util import PythonEvalType
 
+from millrace.operators import knowledge
 from millrace.plans.live import SERVICE
 from millrace.plans.product import SplitWords
 from millrace.streaming import timers
@@ -71,3 +75,25 @@ def test_a_key_takes_few_calls_of_the_state_store():
 
 def test_a_row_of_a_table_function_makes_no_batch():
     assert SplitWords.evalType == PythonEvalType.SQL_TABLE_UDF  # not SQL_ARROW_TABLE_UDF
+
+
+def test_top_vectors_of_many_queries_in_little_memory():
+    rng, k = np.random.default_rng(1), 5
+    ids, q, v = np.arange(4096), rng.integers(-2, 3, (4096, 8)) / 4.0, rng.integers(-2, 3, (3000, 8)) / 4.0  # many ties
+    batches = [pa.record_batch([pa.array(np.arange(at, at + 1500)), pa.array(list(v[at : at + 1500]))], ["vec_id", "u"]) for at in (1500, 0)]
+    tracemalloc.start()
+    (got,) = knowledge._best(iter(batches), SimpleNamespace(value=(ids, q)), k, 0.0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80e6
+    found = {}
+    for i, j, score in zip(*(c.to_pylist() for c in got.columns), strict=True):
+        found.setdefault(i, []).append((-score, j))
+    for i in range(0, 4096, 41):
+        score = np.round(q[i] @ v.T, 4)
+        assert sorted(found.get(i, [])) == sorted((-s, j) for j, s in enumerate(score) if j != i and s >= 0)[:k]
+    few = [b.slice(0, 3) for b in batches]
+    (got,) = knowledge._best(iter(few), SimpleNamespace(value=(ids[:2], q[:2])), 7, -9.0)  # fewer vectors than k
+    assert got.num_rows == 2 * 6 - 2
+    (none,) = knowledge._best(iter([]), SimpleNamespace(value=(ids[:2], q[:2])), 7, -9.0)
+    assert none.num_rows == 0
