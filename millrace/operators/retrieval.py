@@ -20,6 +20,8 @@ from ..store import written
 DIMS, WIDEST, _WORD = 256, 65_536, regex.compile(r"\p{L}+")
 #: Vectors that cells are fitted on, at most; rounds of fitting; cells at most, and their number by default as a power of the rows.
 SAMPLE, ROUNDS, MOST_CELLS = 20_000, 10, 4096
+#: Texts that are taken at once, and words whose features a task keeps.
+TEXTS, KNOWN = 256, 100_000
 #: Rows of an index and queries that are scored in one go.
 ROWS, QUERIES = 4096, 1024
 
@@ -33,12 +35,18 @@ def _words(text: str | None) -> Counter:
     return Counter(_WORD.findall(text.lower())) if text else Counter()
 
 
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, len(batch), TEXTS):
+            yield batch.slice(at, TEXTS)
+
+
 def text_vectors(docs: DataFrame, dims: int = DIMS, text: str = "text") -> DataFrame:
     """docs with vector, array<float> of length 1: signed feature hashing of the words, weighed by how rare their features are.
 
     A word's MD5 gives its feature and sign; a feature's entry is the signed count of its words, times
     1 + ln((1 + texts) / (1 + texts that have it)). Texts without letters, empty and null ones have a null vector, as have
-    those whose signed counts all cancel. What is gathered is a count for each feature, at most WIDEST. A column ``vector`` is replaced.
+    those whose signed counts all cancel. A task holds TEXTS texts and KNOWN words beside its batch. What is gathered is a count for each feature, at most WIDEST. A column ``vector`` is replaced.
     """
     if not 0 < dims <= WIDEST:
         raise ValueError(f"dims must be in 1 .. {WIDEST}")
@@ -47,11 +55,11 @@ def text_vectors(docs: DataFrame, dims: int = DIMS, text: str = "text") -> DataF
     def having(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, tuple[int, int]] = {}
         n, total = np.zeros(dims, np.int64), 0
-        for batch in batches:
+        for batch in _sliced(batches):
             for t in batch[text].to_pylist():
                 words = _words(t)
                 total += bool(words)
-                if len(known) > 500_000:
+                if len(known) > KNOWN:
                     known.clear()
                 features = {(known.get(w) or known.setdefault(w, _hashed(w, dims)))[0] for w in words}
                 n[list(features)] += 1
@@ -65,11 +73,11 @@ def text_vectors(docs: DataFrame, dims: int = DIMS, text: str = "text") -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, tuple[int, int]] = {}
-        for batch in batches:
+        for batch in _sliced(batches):
             out = []
             for t in batch[text].to_pylist():
                 v = np.zeros(dims)
-                if len(known) > 500_000:
+                if len(known) > KNOWN:
                     known.clear()
                 for w, n in _words(t).items():
                     feature, sign = known.get(w) or known.setdefault(w, _hashed(w, dims))

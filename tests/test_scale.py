@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.util import PythonEvalType
 
-from millrace.operators import knowledge
+from millrace.operators import knowledge, retrieval
 from millrace.plans.live import SERVICE
 from millrace.plans.product import SplitWords
 from millrace.streaming import timers
@@ -97,3 +97,9 @@ def test_top_vectors_of_many_queries_in_little_memory():
     assert got.num_rows == 2 * 6 - 2
     (none,) = knowledge._best(iter([]), SimpleNamespace(value=(ids[:2], q[:2])), 7, -9.0)
     assert none.num_rows == 0
+
+
+def test_texts_are_taken_in_slices():
+    batch = pa.record_batch([pa.array([f"w{i}" for i in range(1000)])], ["text"])
+    slices = list(retrieval._sliced(iter([batch])))
+    assert max(s.num_rows for s in slices) <= retrieval.TEXTS and pa.Table.from_batches(slices).equals(pa.Table.from_batches([batch]))
