@@ -41,53 +41,63 @@ def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, TEXTS)
 
 
-def text_vectors(docs: DataFrame, dims: int = DIMS, text: str = "text") -> DataFrame:
+def text_vectors(docs: DataFrame, dims: int = DIMS, text: str = "text", drop: bool = False) -> DataFrame:
     """docs with vector, array<float> of length 1: signed feature hashing of the words, weighed by how rare their features are.
 
     A word's MD5 gives its feature and sign; a feature's entry is the signed count of its words, times
     1 + ln((1 + texts) / (1 + texts that have it)). Texts without letters, empty and null ones have a null vector, as have
-    those whose signed counts all cancel. A task holds TEXTS texts and KNOWN words beside its batch. What is gathered is a count for each feature, at most WIDEST. A column ``vector`` is replaced.
+    those whose signed counts all cancel. A task holds TEXTS texts and KNOWN words beside its batch. What is gathered is a count for each feature, at most WIDEST. A column ``vector`` is replaced. Texts are
+    split once; their features are written beside docs' columns, with drop=True without the text's.
     """
     if not 0 < dims <= WIDEST:
         raise ValueError(f"dims must be in 1 .. {WIDEST}")
     docs = docs.drop("vector")
+    kept = [f for f in docs.schema.fields if not (drop and f.name == text)]
+    sparse = T.StructType([*kept, T.StructField("_features", T.ArrayType(T.IntegerType())), T.StructField("_counts", T.ArrayType(T.LongType()))])
 
-    def having(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, tuple[int, int]] = {}
-        n, total = np.zeros(dims, np.int64), 0
         for batch in _sliced(batches):
+            features, counts = [], []
             for t in batch[text].to_pylist():
-                words = _words(t)
-                total += bool(words)
+                v: dict[int, int] = {}
                 if len(known) > KNOWN:
                     known.clear()
-                features = {(known.get(w) or known.setdefault(w, _hashed(w, dims)))[0] for w in words}
-                n[list(features)] += 1
+                for w, n in _words(t).items():
+                    feature, sign = known.get(w) or known.setdefault(w, _hashed(w, dims))
+                    v[feature] = v.get(feature, 0) + sign * n
+                features.append(list(v))
+                counts.append(list(v.values()))
+            yield pa.RecordBatch.from_arrays([*(batch[f.name] for f in kept), pa.array(features, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int64()))], sparse.names)
+
+    stored = written(docs.mapInArrow(counted, sparse), "features")  # texts are read once, and features whose words cancel are there too
+
+    def having(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, total = np.zeros(dims, np.int64), 0
+        for batch in batches:
+            features = batch["_features"]
+            n += np.bincount(features.flatten().to_numpy(zero_copy_only=False), minlength=dims)
+            total += int((features.value_lengths().to_numpy(zero_copy_only=False) > 0).sum())
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(dims + 1)), pa.array(np.append(n, total))], ["feature", "n"])
 
-    rows = docs.select(text).mapInArrow(having, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()
+    rows = stored.select("_features").mapInArrow(having, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()
     count = np.zeros(dims + 1)
     for r in rows:
         count[r["feature"]] = r["n"]
     weight = np.log((1 + count[dims]) / (1 + count[:dims])) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, tuple[int, int]] = {}
         for batch in _sliced(batches):
-            out = []
-            for t in batch[text].to_pylist():
+            out, features, counts = [], batch["_features"], batch["_counts"]
+            for i in range(len(batch)):
                 v = np.zeros(dims)
-                if len(known) > KNOWN:
-                    known.clear()
-                for w, n in _words(t).items():
-                    feature, sign = known.get(w) or known.setdefault(w, _hashed(w, dims))
-                    v[feature] += sign * n
+                v[features[i].values.to_numpy(zero_copy_only=False)] = counts[i].values.to_numpy(zero_copy_only=False)
                 v *= weight
                 length = np.sqrt((v * v).sum())
                 out.append((v / length).astype(np.float32) if length else None)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.float32()))], [*batch.schema.names, "vector"])
+            yield pa.RecordBatch.from_arrays([*(batch[f.name] for f in kept), pa.array(out, pa.list_(pa.float32()))], [*(f.name for f in kept), "vector"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("vector", T.ArrayType(T.FloatType()))]))
+    return stored.mapInArrow(run, T.StructType([*kept, T.StructField("vector", T.ArrayType(T.FloatType()))]))
 
 
 def _units(vectors: DataFrame, vector: str) -> DataFrame:

@@ -19,7 +19,7 @@ v as (select r, n * idf as e from f join i using (feature)),
 s as (select r, count(*) filter (where e <> 0) n_dims, max(abs(e)) m, sum(abs(e)) a, sqrt(sum(e * e)) l from v group by 1)
 select doc_id, coalesce(case when l > 0 then n_dims end, 0) n_dims, round(case when l > 0 then m / l end, 4) heaviest, round(case when l > 0 then a / l end, 2) mass from w left join s using (r)""")
 def kb_text_vectors(spark, d):
-    v = retrieval.text_vectors(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.transform("vector", lambda e: F.abs(e.cast("double"))).alias("v"))
+    v = retrieval.text_vectors(table(spark, d, "documents").select("doc_id", "text"), drop=True).select("doc_id", F.transform("vector", lambda e: F.abs(e.cast("double"))).alias("v"))
     n = F.coalesce(F.size(F.filter("v", lambda e: e > 0)), F.lit(0))
     return v.select("doc_id", F.greatest(n, F.lit(0)).cast("long").alias("n_dims"), F.round(F.array_max("v"), 4).alias("heaviest"), F.round(F.aggregate("v", F.lit(0.0), lambda a, e: a + e), 2).alias("mass"))
 
@@ -36,7 +36,7 @@ def kb_index_topk(spark, d):
 def kb_text_search(spark, d):
     """The five documents most like each query document, by vectors of their words, and an answer or abstention from 0.6 on."""
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), "text")
-    v = retrieval.written(retrieval.text_vectors(docs).drop("text"), "text-vectors")
+    v = retrieval.written(retrieval.text_vectors(docs, drop=True), "text-vectors")
     index, q = retrieval.Index(v, "vector"), v.filter("vec_id % 100 = 0")
     found = index.search(q, 5, index.probes_for(q, vector="vector"), "vector").select("query_id", "vec_id", "score", F.col("rank").cast("long").alias("rank"))
     return found.join(knowledge.answer(found, q, 0.6), "query_id")

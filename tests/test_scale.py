@@ -6,6 +6,7 @@ from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 from pyspark.util import PythonEvalType
 
 from millrace.operators import knowledge, retrieval
@@ -103,3 +104,19 @@ def test_texts_are_taken_in_slices():
     batch = pa.record_batch([pa.array([f"w{i}" for i in range(1000)])], ["text"])
     slices = list(retrieval._sliced(iter([batch])))
     assert max(s.num_rows for s in slices) <= retrieval.TEXTS and pa.Table.from_batches(slices).equals(pa.Table.from_batches([batch]))
+
+
+def test_texts_are_split_once(spark):
+    """Each text's words are counted in one pass; a feature whose words cancel still counts as had."""
+    n = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def said(t):
+        n.add(1)
+        return t
+
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["a b c", "", None, "b b", "1 2"])], "doc_id int, t string").select("doc_id", said("t").alias("text"))
+    v = retrieval.text_vectors(docs, drop=True)
+    got = {r.doc_id: r.vector for r in v.collect()}
+    assert n.value == 5 and v.columns == ["doc_id", "vector"]
+    assert [i for i in range(5) if got[i] is None] == [1, 2, 4] and abs(sum(e * e for e in got[0]) - 1) < 1e-5
