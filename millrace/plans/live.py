@@ -54,7 +54,7 @@ union all select o_orderkey, null, null, count(*) from orders, mark where o_orde
   and not exists (select 1 from lineitem where l_orderkey = o_orderkey and l_shipdate between o_orderdate and o_orderdate + interval 60 day) group by 1""")
 def stream_run_trace(spark, d):
     """Orders as runs, their lines as calls within 60 days, both as streams; a run that no call follows comes when its time is over."""
-    runs = table_stream(spark, d, "orders").select(F.col("o_orderkey").alias("run_id"), F.col("o_orderdate").cast("timestamp").alias("started_at")).withWatermark("started_at", "25 hours")
-    calls = table_stream(spark, d, "lineitem").select(F.col("l_orderkey").alias("run_id"), F.col("l_linenumber").alias("call"), F.col("l_shipdate").cast("timestamp").alias("called_at")).withWatermark("called_at", "25 hours")
-    out = streaming.drained(joins.followed(runs, calls, ["run_id"], "started_at", "called_at", "60 days"))
+    runs = table_stream(spark, d, "orders").select(F.col("o_orderkey").alias("run_id"), F.col("o_orderdate").cast("timestamp").alias("started_at"))
+    calls = table_stream(spark, d, "lineitem").select(F.col("l_orderkey").alias("run_id"), F.col("l_linenumber").alias("call"), F.col("l_shipdate").cast("timestamp").alias("called_at"))
+    out = joins.followed_in_tables(runs, calls, ["run_id"], "started_at", "called_at", "60 days", "25 hours")
     return out.groupBy("run_id", "call", F.col("called_at").cast("timestamp_ntz").alias("called_at")).agg(F.count("*").alias("n"))

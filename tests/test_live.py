@@ -7,10 +7,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.plans.live import SERVICE
+from millrace.plans.registry import QUERIES
 from millrace.streaming import drained, joins, timers
 
 H = 3_600_000_000
 BASE = datetime(2024, 1, 1)
+SF = "/root/testdata/sf0.001"
 
 
 def folder_stream(spark, at, ddl):
@@ -125,3 +127,42 @@ def test_traces_of_streams(spark, tmp_path):
 def test_nothing_and_nulls(spark, tmp_path, rows):
     put(spark, f"{tmp_path}/in", "b=0", rows, EVENTS)
     assert drained(timers.changes(folder_stream(spark, f"{tmp_path}/in", EVENTS), "user_id", "ts", "event_id", "event_type", SERVICE), provider=timers.PROVIDER).count() == 0
+
+
+def test_run_trace_holds_no_state_in_memory(spark):
+    """The joined backlog lies in tables: no state store is opened, so a class that isn't there does no harm."""
+    want = sorted(map(str, QUERIES["stream_run_trace"](spark, SF).collect()))
+    usual = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "none.Such")
+    try:
+        assert sorted(map(str, QUERIES["stream_run_trace"](spark, SF).collect())) == want and want
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", usual)
+
+
+def test_followed_in_tables_as_in_the_state_store(spark, tmp_path):
+    """Files in shuffled order, rows twice, nulls, a restart: the rows of the join in the state store, some batches later too."""
+    at, rng = lambda h: BASE + timedelta(hours=h), random.Random(6)
+    runs = [(i, f"a{i % 3}", at(rng.randrange(60))) for i in range(60)] + [(None, "no key", at(1)), (3, "twice", at(7)), (3, "twice", at(7)), (8, "no time", None)]
+    calls = [(rng.randrange(70), n, "tool", at(rng.randrange(70))) for n in range(150)] + [(None, 900, "no key", at(1)), (3, 901, "edge", at(12)), (3, 902, "same time", at(7)), (3, 903, "no time", None)]
+    for rows, of in ((runs, "runs"), (calls, "calls")):
+        rng.shuffle(rows)
+        ddl = RUNS if of == "runs" else CALLS
+        for i in range(3):
+            put(spark, f"{tmp_path}/{of}", f"b={i}", rows[i::3], ddl)
+    stream = lambda n: folder_stream(spark, f"{tmp_path}/{n}", RUNS if n == "runs" else CALLS)
+    kept = f"file://{tmp_path}/kept"
+    tables = lambda: joins.followed_in_tables(stream("runs"), stream("calls"), ["run_id"], "started_at", "called_at", "5 hours", "100 hours", kept)
+    assert {r.tool_call_id for r in tables().collect()} - {None}  # pairs come at once, runs alone only past the watermark
+    for h in (400, 900):  # the first moves the watermark beyond all rows, the second finds only rows of the first
+        put(spark, f"{tmp_path}/runs", f"b={h}", [(10**6 + h, "end", at(h))], RUNS)
+        put(spark, f"{tmp_path}/calls", f"b={h}", [(10**6 + h, h, "end", at(h + 1)), (4, 5000 + h, "too late", at(2))][: 1 if h == 400 else 2], CALLS)
+        got = tables()
+    mark = lambda n, ts: stream(n).withWatermark(ts, "100 hours")
+    want = drained(joins.followed(mark("runs", "started_at"), mark("calls", "called_at"), ["run_id"], "started_at", "called_at", "5 hours"))
+    assert got.columns == want.columns
+    said = sorted(map(str, got.collect()))
+    assert said == sorted(map(str, want.collect())) and sum("tool_call_id=None" in s for s in said) > 10 and sum("'twice'" in s for s in said) >= 4
+    waits = spark.read.option("recursiveFileLookup", True).parquet(f"{kept}/open/4")
+    assert waits.count() <= 2  # nothing that is over is held
+    assert sorted(map(str, tables().collect())) == said  # nothing comes twice
