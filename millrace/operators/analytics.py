@@ -51,9 +51,9 @@ def asof(left: DataFrame, facts: DataFrame, key: str, ts: str, fact_ts: str, val
     Of facts at the same time the one with the greatest values counts. Columns of facts other than values are left out.
     """
     fact = F.struct(F.col(fact_ts).alias("_at"), *values)
-    right = facts.filter(F.col(key).isNotNull() & F.col(fact_ts).isNotNull()).groupBy(key, F.col(fact_ts).alias(ts)).agg(F.max(fact).alias("_fact"))
+    right = facts.filter(F.col(key).isNotNull() & F.col(fact_ts).isNotNull()).select(key, F.col(fact_ts).alias(ts), fact.alias("_fact"))
     both = left.withColumn("_left", F.lit(1)).unionByName(right.withColumn("_left", F.lit(0)), allowMissingColumns=True)
-    both = carried(both, key, [ts, "_left"], {"_fact": "_newest"}, "facts").filter("_left = 1")
+    both = carried(both, key, [ts, "_left", "_fact"], {"_fact": "_newest"}, "facts").filter("_left = 1")
     known = F.col(ts).isNotNull() & F.col(key).isNotNull()  # nothing is valid at no time or for no key
     return both.select(*left.columns, *(F.when(known, F.col(f"_newest.{v}")).alias(v) for v in values))
 

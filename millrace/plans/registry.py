@@ -179,8 +179,9 @@ with f as (select o_custkey k, o_orderdate as since, max(o_totalprice) price fro
 l as (select l_orderkey, l_linenumber, l_shipdate, o_custkey k, count(*) n from lineitem join orders on l_orderkey = o_orderkey group by all)
 select l_orderkey, l_linenumber, l_shipdate, n, price from l asof left join f on l.k = f.k and l.l_shipdate >= f.since""")
 def price_asof_facts(spark, d):
-    orders = table(spark, d, "orders")
-    left = table(spark, d, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("l_orderkey", "l_linenumber", "l_shipdate", F.col("o_custkey").alias("k")).agg(F.count("*").alias("n"))
+    orders, lines = table(spark, d, "orders"), table(spark, d, "lineitem")
+    n = store.tasks(spark, orders.count() + lines.count())
+    left = store.dealt(lines, n, "l_orderkey").join(store.dealt(orders, n, "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey")).groupBy("l_orderkey", "l_linenumber", "l_shipdate", F.col("o_custkey").alias("k")).agg(F.count("*").alias("n"))
     facts = orders.select(F.col("o_custkey").alias("k"), F.col("o_orderdate").alias("at"), F.col("o_totalprice").alias("price"))
     return analytics.asof(left, facts, "k", "l_shipdate", "at", ["price"]).drop("k")
 

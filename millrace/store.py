@@ -9,6 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: Rows that one task sorts or holds, on average: more rows make more tasks, not larger ones.
+ROWS = 500_000
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder path below spark.checkpoint.dir, which driver and executors share.
 
@@ -30,6 +34,16 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def tasks(spark: SparkSession, rows: int) -> int | None:
+    """Into how many partitions so many rows go; None if one task can hold them (then as many as the session likes)."""
+    return max(-(-rows // ROWS), spark.sparkContext.defaultParallelism) if rows > ROWS else None
+
+
+def dealt(df: DataFrame, n: int | None, *keys: str) -> DataFrame:
+    """df in n partitions by keys; as it is for None."""
+    return df.repartition(n, *keys) if n else df
+
+
 def few(df: DataFrame, name: str, limit: int = 100_000) -> DataFrame:
     """df, written, with a broadcast hint if it has at most ``limit`` rows; for narrow rows."""
     df = written(df, name)
@@ -57,17 +71,21 @@ def carried(df: DataFrame, group: str, order: list[str], values: dict[str, str],
 
     A range sort by group and order, a pass within each range, and what comes over from earlier ranges: as ranges follow each
     other, only one group of each can have begun before it, so that what is sent to all tasks is one row for a range. No group
-    meets in one task. Rows are written once, so that ranges stay put; order should determine the sequence.
+    meets in one task, and there are more ranges the more rows there are (``ROWS``). Rows are written as they come, so that
+    looking for the ranges doesn't compute them again, and by ranges, so that these stay put; order should determine the sequence.
     """
     by = [F.col(c).desc() if newest_first else F.col(c) for c in order]
-    parts = written(df.repartitionByRange(group, *by).withColumn("_part", F.spark_partition_id()), name)
+    df = written(df, f"{name}-rows")
+    n = tasks(df.sparkSession, df.count())
+    ranges = df.repartitionByRange(*([n] if n else []), group, *by)
+    parts = written(ranges.withColumn("_part", F.spark_partition_id()), name)
     within = Window.partitionBy("_part", group).orderBy(*by).rowsBetween(Window.unboundedPreceding, 0 if own else -1)
     at, end = F.struct(*order), F.min_by if newest_first else F.max_by
-    ends = parts.groupBy("_part", F.col(group).alias("_group")).agg(*(end(F.struct(c), F.when(F.col(c).isNotNull(), at)).alias(f"_last_{c}") for c in values))
+    ends = dealt(parts, n, "_part", group).groupBy("_part", F.col(group).alias("_group")).agg(*(end(F.struct(c), F.when(F.col(c).isNotNull(), at)).alias(f"_last_{c}") for c in values))
     every = Window.partitionBy("_group").orderBy("_part")
     earlier = every.rowsBetween(Window.unboundedPreceding, -1)
     over = ends.select(F.col("_part").alias("_of"), "_group", F.row_number().over(every).alias("_n"), *(F.last(f"_last_{c}", True).over(earlier).alias(f"_over_{c}") for c in values)).filter("_n > 1").drop("_n")
-    local = parts.withColumns({new: F.last(c, True).over(within) for c, new in values.items()})
+    local = dealt(parts, n, "_part", group).withColumns({new: F.last(c, True).over(within) for c, new in values.items()})
     out = local.join(F.broadcast(over), (F.col("_part") == F.col("_of")) & F.col(group).eqNullSafe(F.col("_group")), "left")
     return out.withColumns({new: F.coalesce(new, F.col(f"_over_{c}")[c]) for c, new in values.items()}).drop("_part", "_of", "_group", *(f"_over_{c}" for c in values))
 

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from millrace import store
 from millrace.operators import analytics, history, knowledge
+from millrace.plans.registry import QUERIES
 
 
 @pytest.fixture
@@ -51,6 +52,27 @@ def test_asof_over_ranges(spark, ranges):
     assert len(got) == 700
 
 
+def test_more_rows_make_more_tasks_of_a_carry(spark, monkeypatch):
+    """However few partitions the session has, no task gets many times what it may hold; facts of one time count by value."""
+    monkeypatch.setattr(store, "ROWS", 100, raising=False)
+    left = spark.range(3000).selectExpr("case when id % 3 = 0 then 'hot' else 'k' || id % 40 end k", "cast(id as int) t", "id i")
+    facts = spark.range(900).selectExpr("case when id % 2 = 0 then 'hot' else 'k' || id % 40 end k", "cast(id div 7 * 50 as int) at", "id * 37 % 101 v")
+    out = analytics.asof(left, facts, "k", "t", "at", ["v"])
+    assert max(r[0] for r in out.groupBy(F.spark_partition_id()).agg(F.count("*")).select("count(1)").collect()) < 600
+    told = {}
+    for r in facts.collect():
+        told.setdefault(r.k, []).append((r["at"], r.v))
+    got = out.collect()
+    assert len(got) == 3000 and all(r.v == max((x for x in told.get(r.k, []) if x[0] <= r.t), default=(None, None))[1] for r in got)
+
+
+def test_asof_of_lines_in_more_tasks(spark, monkeypatch):
+    want = sorted(map(str, QUERIES["price_asof_facts"](spark, "/root/testdata/sf0.001").collect()))
+    monkeypatch.setattr(store, "ROWS", 1000, raising=False)
+    got = QUERIES["price_asof_facts"](spark, "/root/testdata/sf0.001")
+    assert sorted(map(str, got.collect())) == want and got.rdd.getNumPartitions() >= 7
+
+
 SCHEMA = T.StructType([T.StructField("name", T.StringType()), T.StructField("n", T.LongType()), T.StructField("tags", T.ArrayType(T.StringType()))])
 DDL = "id string, at int, seq int, op string, payload string"
 
