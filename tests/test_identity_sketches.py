@@ -121,3 +121,15 @@ def test_exact_rollup_of_large_groups(spark):
             want[g] = (len(some), len({r[3] for r in some} - {None}), len(values), *(values[-(-len(values) * p // 100) - 1] for p in (50, 90, 99)))
         got = store.by("day", keys, p50=0.5, p90=0.9, p99=0.99).collect()
         assert {(str(r.day)[:10], r.k) if keys else str(r.day)[:10]: (r.n, r.users, r.measured, r.p50, r.p90, r.p99) for r in got} == want and len(got) == len(want)
+
+
+def test_links_are_numbers_in_the_order_of_ids(spark, monkeypatch):
+    """Texts aren't sorted round by round: what the steps link are short numbers, of which the least is the least id's."""
+    seen, told = [], identity.written
+    monkeypatch.setattr(identity, "written", lambda df, name, **o: seen.append((name, df.dtypes)) or told(df, name, **o))
+    rows = [(f"a{i}", "web", f"m{i // 2}@x.co", None, f"r{(i + 1) // 2}", 0) for i in range(30)] + [("b1", "web", None, None, None, 0), ("b1", "app", "q@x.co", None, None, 0), ("b2", None, " Q@x.co", "+84 90 123 456", None, 0), (None, "web", "m1@x.co", None, None, 0)]
+    df = spark.createDataFrame(rows, ACCOUNTS).repartition(3)
+    got = {(r.account_id, r.contact) for r in identity.resolved(df, KEYS).collect()}
+    assert got == {(f"a{i}", "a0") for i in range(30)} | {("b1", "b1"), ("b2", "b1"), (None, None)}
+    assert all(t == "bigint" for name, types in seen if name in ("edges", "large-star", "small-star") for _, t in types)
+    assert sorted(map(tuple, identity.contacts(df, KEYS).collect())) == [("a0", 30, "web", 15, 0, 16), ("b1", 2, "app,web", 1, 1, 0)]
