@@ -92,10 +92,25 @@ def _sampled(rows: DataFrame, quota: dict[str, float]) -> DataFrame:
     return rows.withColumn("draw", draw).filter(F.col("draw") < share)
 
 
+def trained(languages: list[str], who: np.ndarray, x: np.ndarray, steps: int) -> Model:
+    """The classifiers of languages from rows of features, ``who`` being each row's language by index."""
+    each = (1 / (np.bincount(who) * len(languages)))[who].astype(np.float32)[:, None]  # languages weigh the same
+    code = codewords(len(languages))
+    y, w, b = code[who], np.zeros((FEATURES, code.shape[1]), np.float32), np.zeros(code.shape[1], np.float32)
+    mw, mb = np.zeros_like(w), np.zeros_like(b)
+    for _ in range(steps):  # logistic regression of all bits at once, with momentum
+        pull = -y / (1 + np.exp(np.clip(y * (x @ w + b), -30, 30))) * each
+        mw, mb = 0.9 * mw + x.T @ pull + 1e-5 * w, 0.9 * mb + pull.sum(0)
+        w, b = w - 4.0 * mw, b - 0.4 * mb
+    wrong = ((y * (x @ w + b) <= 0) * each).sum(0)
+    return Model(languages, code, w, b, np.clip(1 - 2 * wrong, 0.05, 1).astype(np.float32))
+
+
 def fit(docs: DataFrame, learn: Column | None = None, sample: int = SAMPLE, steps: int = 150) -> Model | None:
     """The classifiers, from rows of docs (doc_id, text, lang) where ``learn`` holds, with text and lang; None if there are none.
 
-    Each language gives about sample / languages rows, chosen by a hash of doc_id, so that reruns agree.
+    Each language gives about sample / languages rows, chosen by a hash of doc_id, so that reruns agree. The task that
+    these rows meet in fits the classifiers; the driver gets their weights only, whatever the sample's size.
     """
     rows = text_of(docs if learn is None else docs.filter(learn), "doc_id", "text", "lang").filter("lang is not null and text is not null")
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(10_001).collect()}
@@ -110,24 +125,27 @@ def fit(docs: DataFrame, learn: Column | None = None, sample: int = SAMPLE, step
             x = [features(t).astype(np.float16).tobytes() for t in batch["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["lang"], batch["draw"], pa.array(x, pa.binary())], ["doc_id", "lang", "draw", "x"])
 
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [batch for batch in batches if len(batch)]
+        if not got:
+            return
+        got = pa.Table.from_batches(got).sort_by([("lang", "ascending"), ("doc_id", "ascending")])
+        x = np.empty((len(got), FEATURES), np.float32)
+        for i, v in enumerate(got["x"]):
+            x[i] = np.frombuffer(v.as_buffer(), np.float16)
+        languages, who = np.unique(got["lang"].to_numpy().astype(object), return_inverse=True)
+        m = trained(list(languages), who, x, steps)
+        parts = [v.astype(np.float32).tobytes() for v in (m.weights, m.bias, m.trust)]
+        yield pa.RecordBatch.from_arrays([pa.array([m.languages], pa.list_(pa.string())), *(pa.array([v], pa.binary()) for v in parts)], ["languages", "weights", "bias", "trust"])
+
     once = _sampled(rows, quota).groupBy("doc_id", "draw").agg(F.min(F.struct("lang", "text")).alias("r")).select("doc_id", "draw", "r.lang", "r.text")  # one row of an id that repeats
     some = once.mapInArrow(featured, "doc_id long, lang string, draw double, x binary")
-    got = some.orderBy("draw", "doc_id").limit(2 * sample + 2 * len(sizes)).toPandas().sort_values(["lang", "doc_id"])
-    if not len(got):
+    some = some.orderBy("draw", "doc_id").limit(2 * sample + 2 * len(sizes)).select("doc_id", "lang", "x").coalesce(1)
+    told = some.mapInArrow(fitted, "languages array<string>, weights binary, bias binary, trust binary").collect()
+    if not told:
         return None
-    x = np.stack([np.frombuffer(v, np.float16) for v in got["x"]]).astype(np.float32)
-    languages = sorted(set(got["lang"]))
-    who = np.searchsorted(np.array(languages, object), got["lang"].to_numpy(object))
-    each = (1 / (np.bincount(who) * len(languages)))[who].astype(np.float32)[:, None]  # languages weigh the same
-    code = codewords(len(languages))
-    y, w, b = code[who], np.zeros((FEATURES, code.shape[1]), np.float32), np.zeros(code.shape[1], np.float32)
-    mw, mb = np.zeros_like(w), np.zeros_like(b)
-    for _ in range(steps):  # logistic regression of all bits at once, with momentum
-        pull = -y / (1 + np.exp(np.clip(y * (x @ w + b), -30, 30))) * each
-        mw, mb = 0.9 * mw + x.T @ pull + 1e-5 * w, 0.9 * mb + pull.sum(0)
-        w, b = w - 4.0 * mw, b - 0.4 * mb
-    wrong = ((y * (x @ w + b) <= 0) * each).sum(0)
-    return Model(languages, code, w, b, np.clip(1 - 2 * wrong, 0.05, 1).astype(np.float32))
+    languages, weights, bias, trust = told[0]
+    return Model(languages, codewords(len(languages)), *(np.frombuffer(v, np.float32).reshape(shape) for v, shape in ((weights, (FEATURES, -1)), (bias, -1), (trust, -1))))
 
 
 def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:

@@ -3,6 +3,7 @@
 import math
 import subprocess
 import sys
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -166,3 +167,19 @@ def test_repeated_ids_leave_the_sample_as_it_is(spark):
     assert set(language._sampled(docs, {"de": 1.0, "en": 1.0}).columns) >= {"doc_id", "draw"}
     scores = [sorted((r.doc_id, round(r.score, 6)) for r in quality.predict(docs, quality.fit(d, labels)).collect()) for d in (docs, often)]
     assert scores[0] == scores[1]
+
+
+def test_language_sample_stays_out_of_the_driver(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    language.fit(docs.limit(50))  # imports and the session's first uses aren't measured
+    tracemalloc.start()
+    m = language.fit(docs)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    rows = sorted((r.lang, r.doc_id, r.text) for r in docs.filter("lang is not null and text is not null").collect())
+    assert most < 4 << 20 < 2 * language.FEATURES * len(rows)  # less than the features of the rows that are learned from, even as halves
+    x = np.stack([language.features(t).astype(np.float16).astype(np.float32) for _, _, t in rows])
+    want = language.trained(m.languages, np.array([m.languages.index(r[0]) for r in rows]), x, 150)
+    assert m.languages == sorted({r[0] for r in rows}) and (m.code == want.code).all()
+    for a, b in ((m.weights, want.weights), (m.bias, want.bias), (m.trust, want.trust)):
+        assert a.dtype == b.dtype and a.shape == b.shape and np.allclose(a, b, atol=1e-4)
